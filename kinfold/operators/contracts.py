@@ -5,7 +5,7 @@ from __future__ import annotations
 from functools import reduce
 from typing import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 
 def payload_hash(df: DataFrame, part: str, order: Column, text: Column, bucket: Column) -> DataFrame:
@@ -92,3 +92,13 @@ def source_checks(records: DataFrame, groups: DataFrame, record: str, group: str
         check(records, "source_present", no_source == 0, no_source),
         check(per_group, "unique_group_registry", repeated_group == 0, repeated_group),
     ], run_id)
+
+
+def record_access(spark: SparkSession, path: str, event: str, limit: int) -> None:
+    """Append one access to a frozen contract's ledger; refuse beyond ``limit``."""
+    history = spark.read.parquet(path)
+    used = history.where(F.col("event") == event).count()
+    if used >= limit:
+        raise RuntimeError(f"{event} was already recorded {used} times")
+    history.where("event = 'frozen'").withColumns(
+        {"event": F.lit(event), "access": F.lit(used + 1)}).write.mode("append").parquet(path)

@@ -52,7 +52,7 @@ def unordered_pairs(df: DataFrame, keys: Sequence[str], member: str, value: str)
 
 def leave_one_out_mean(df: DataFrame, keys: Sequence[str], unit: str, value: str) -> DataFrame:
     """Mean over the other units, for every omitted unit: total minus the unit's own share."""
-    own = df.groupBy(*keys, unit).agg(F.sum(value).alias("_s"), F.count(value).alias("_n"))
+    own = df.groupBy(*keys, unit).agg(F.coalesce(F.sum(value), F.lit(0.0)).alias("_s"), F.count(value).alias("_n"))
     total = own.groupBy(*keys).agg(F.sum("_s").alias("_ts"), F.sum("_n").alias("_tn"))
     joined = own.join(total, list(keys)) if keys else own.withColumns({"_ts": total.select("_ts").scalar(), "_tn": total.select("_tn").scalar()})
     rest = F.col("_tn") - F.col("_n")

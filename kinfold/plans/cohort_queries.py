@@ -172,13 +172,13 @@ def a9(spark, sf):
 
 @query("a23_label_source_audit", with_views("records", """
 WITH mx AS (SELECT group_id FROM records GROUP BY 1 HAVING count(DISTINCT class3) > 1)
-SELECT 'class' AS level, coalesce(class3, 'ALL') AS unit, count(*) AS records, count(DISTINCT group_id) AS n_groups, count(DISTINCT block) AS n_blocks, NULL AS classes, CAST(NULL AS BIGINT) AS mixed_groups FROM records GROUP BY GROUPING SETS ((), (class3))
+SELECT 'class' AS level, coalesce(class3, 'ALL') AS unit, count(*) AS records, count(DISTINCT group_id) AS n_groups, count(DISTINCT block) AS n_blocks, NULL AS classes, CAST(0 AS BIGINT) AS mixed_groups FROM records GROUP BY GROUPING SETS ((), (class3))
 UNION ALL SELECT 'block', CAST(block AS VARCHAR), count(*), count(DISTINCT group_id), 1, string_agg(DISTINCT class3, ';' ORDER BY class3), count(DISTINCT mx.group_id) FROM records LEFT JOIN mx USING (group_id) GROUP BY block"""))
 def a23(spark, sf):
     base = records(spark, sf)
     top = R.class_source_summary(base, "class3", "group_id", "block").select(
         F.lit("class").alias("level"), F.col("class3").alias("unit"), "records", "n_groups", "n_blocks",
-        F.lit(None).cast("string").alias("classes"), F.lit(None).cast("bigint").alias("mixed_groups"))
+        F.lit(None).cast("string").alias("classes"), F.lit(0).cast("bigint").alias("mixed_groups"))
     blocks = R.block_label_audit(base, "class3", "group_id", "block").select(
         F.lit("block").alias("level"), F.col("block").cast("string").alias("unit"), "records", "n_groups",
         F.lit(1).cast("bigint").alias("n_blocks"), "classes", "mixed_groups")

@@ -34,12 +34,12 @@ def j2(spark, sf):
 
 
 @query("j3_availability_flag", with_views("records", """
-WITH a AS (SELECT group_id, avg(f_total) AS m FROM records GROUP BY 1), b AS (SELECT group_id, avg(f_total) AS m2, count(*) AS n FROM records WHERE record_id % 5 = 0 GROUP BY 1)
+WITH a AS (SELECT group_id, max(f_total) AS m FROM records GROUP BY 1), b AS (SELECT group_id, max(f_total) AS m2, count(*) AS n FROM records WHERE record_id % 5 = 0 GROUP BY 1)
 SELECT group_id, m2 IS NOT NULL AS available, coalesce(n, 0) AS n_other, round(abs(m - m2), 4) AS abs_difference FROM a LEFT JOIN b USING (group_id)"""))
 def j3(spark, sf):
     base = records(spark, sf)
-    a = base.groupBy("group_id").agg(F.avg("f_total").alias("m"))
-    b = base.where("record_id % 5 = 0").groupBy("group_id").agg(F.avg("f_total").alias("m2"), F.count("*").alias("n"))
+    a = base.groupBy("group_id").agg(F.max("f_total").alias("m"))
+    b = base.where("record_id % 5 = 0").groupBy("group_id").agg(F.max("f_total").alias("m2"), F.count("*").alias("n"))
     return a.join(b, "group_id", "left").select("group_id", F.col("m2").isNotNull().alias("available"), F.coalesce("n", F.lit(0)).alias("n_other"), F.round(F.abs(F.col("m") - F.col("m2")), 4).alias("abs_difference"))
 
 
@@ -121,7 +121,7 @@ def j12(spark, sf):
 
 @query("j13_feature_agreement", """
 SELECT p_brand || '2O' || p_size AS feature, p_partkey AS position FROM part WHERE p_partkey % 3 = 0
- AND p_brand || p_size IN (SELECT p_brand || p_size FROM part WHERE p_partkey % 5 = 0) AND p_brand || p_size IN (SELECT p_brand || p_size FROM part WHERE p_partkey % 7 = 0)""")
+ AND p_brand || '2O' || p_size IN (SELECT p_brand || '2O' || p_size FROM part WHERE p_partkey % 5 = 0) AND p_brand || '2O' || p_size IN (SELECT p_brand || '2O' || p_size FROM part WHERE p_partkey % 7 = 0)""")
 def j13(spark, sf):
     part = table(spark, sf, "part")
     raw = lambda unit, cond: part.where(cond).select(F.concat("p_brand", F.lit("₂O"), "p_size", F.lit(unit)).alias("raw"), F.col("p_partkey").alias("position"))
