@@ -34,7 +34,7 @@ def quantile_bins(df: DataFrame, keys: Sequence[str], value: str, bins: int, out
     names = [f"_q{i}" for i in range(bins + 1)]
     edges = exact_quantiles(df, keys, {n: (value, i / bins) for i, n in enumerate(names)})
     packed = edges.select(*keys, F.array_distinct(F.array(*names)).alias("_edges"))
-    placed = df.join(packed, list(keys))
+    placed = df.join(packed, list(keys)) if keys else df.withColumn("_edges", packed.scalar())
     code = F.greatest(F.size(F.filter("_edges", lambda e: e < F.col(value))), F.lit(1))
     return placed.select(*df.columns, code.alias(out))
 
