@@ -11,7 +11,7 @@ from typing import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from kinfold.operators.ordered import HOT_ROWS, average_ranks, largest_key, ordered_totals, with_buckets
+from kinfold.operators.ordered import HOT_ROWS, attach, average_ranks, largest_key, ordered_totals, with_buckets
 from kinfold.session import cut
 
 
@@ -256,7 +256,7 @@ def fit_temperature(df: DataFrame, keys: Sequence[str], true: str, scores: Seque
         if span is None:
             source = rows.withColumns({"_lo": F.lit(math.log(low)), "_hi": F.lit(math.log(high))})
         else:
-            source = rows.join(span, keys)
+            source = attach(rows, span, keys)
         at = lambda i: F.col("_lo") + (F.col("_hi") - F.col("_lo")) * F.lit(i / (points - 1))
         loss = source.groupBy(*keys).agg(
             F.min("_lo").alias("_lo"), F.min("_hi").alias("_hi"), F.count("*").alias("n"),

@@ -237,8 +237,11 @@ def evaluate_trial(oof: DataFrame, group: str, label: str, family: str, params:
 
 
 def tune(prepared: DataFrame, folds: Sequence[int], family: str, trials: DataFrame, features: Sequence[str], label: str, group: str, record: str,
-         seed: int, done: DataFrame | None = None, threads: int = 4) -> DataFrame:
-    """Evaluate the trials that are not done yet, as concurrent jobs; returns one row per trial."""
+         seed: int, done: DataFrame | None = None, threads: int = 4) -> tuple[DataFrame, dict]:
+    """Evaluate the trials that are not done yet, as concurrent jobs.
+
+    Returns one row per trial and the out-of-fold scores of each trial by number.
+    """
     todo = trials.where(F.col("model") == family)
     if done is not None:
         todo = todo.join(done, ["model", "trial_number"], "left_anti")
@@ -247,12 +250,14 @@ def tune(prepared: DataFrame, folds: Sequence[int], family: str, trials: DataFra
     def job(r):
         def run():
             oof = out_of_fold(prepared, folds, family, r["params"], features, label, group, record, 2, seed + int(r["trial_number"]), [])
-            return cut(evaluate_trial(oof, group, label, family, r["params"]).select(
+            row = cut(evaluate_trial(oof, group, label, family, r["params"]).select(
                 F.lit(family).alias("model"), F.lit(int(r["trial_number"])).alias("trial_number"), F.lit("COMPLETE").alias("state"),
                 F.lit(json.dumps(r["params"])).alias("params_json"), "roc_auc", "average_precision", "f1", "fold_sd", "complexity", "converged"))
+            return row, oof
         return run
 
-    return reduce(DataFrame.unionByName, run_jobs([job(r) for r in rows], threads))
+    finished = run_jobs([job(r) for r in rows], threads)
+    return reduce(DataFrame.unionByName, [row for row, _ in finished]), {int(r["trial_number"]): oof for r, (_, oof) in zip(rows, finished)}
 
 
 def nested_evaluation(df: DataFrame, features: Sequence[str], label: str, group: str, block: str, record: str, trials: DataFrame,
@@ -281,11 +286,10 @@ def nested_evaluation(df: DataFrame, features: Sequence[str], label: str, group:
             def job(family, index, fold=fold, repeat=repeat, inner_prepared=inner_prepared, n_inner=n_inner, outer_rows=outer_rows):
                 def run():
                     base = seed + repeat * 10000 + fold * 1000 + index * 100
-                    results = cut(tune(inner_prepared, range(n_inner), family, trials, features, label, group, record, base, threads=1))
+                    results, scores = tune(inner_prepared, range(n_inner), family, trials, features, label, group, record, base, threads=1)
                     best = S.choose_trial(results.withColumn("one", F.lit(1)), ["one"]).first()
                     params = json.loads(best["params_json"])
-                    inner_oof = out_of_fold(inner_prepared, range(n_inner), family, params, features, label, group, record, 2, base, [])
-                    groups = R.group_scores(inner_oof.withColumn("one", F.lit(1)), ["one"], group, label, "fold", "score")
+                    groups = R.group_scores(scores[int(best["trial_number"])].withColumn("one", F.lit(1)), ["one"], group, label, "fold", "score")
                     cutoff = S.choose_threshold(M.grid_metrics(groups, ["one"], label, "score", [round(0.1 + i * 0.005, 3) for i in range(161)]), ["one"]).first()
                     model = fit(outer_rows.where("is_training"), family, params, features, label, group, record, 2, base)
                     scored = score(model, outer_rows.where("not is_training")).select(

@@ -23,6 +23,14 @@ SAMPLES = 256
 HOT_ROWS = 2_000_000
 
 
+def attach(df: DataFrame, other: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Join on ``keys``; without keys ``other`` is a single row and comes in as a scalar subquery."""
+    if keys:
+        return df.join(other, list(keys))
+    row = other.select(F.struct("*").alias("_row")).scalar()
+    return df.withColumn("_row", row).select(*df.columns, "_row.*")
+
+
 def hot_keys(df: DataFrame, keys: Sequence[str], limit: int = HOT_ROWS) -> DataFrame | None:
     """Keys with more than ``limit`` rows, or None when there are none (the usual case).
 
@@ -155,7 +163,7 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], specs: Mapping[str, tupl
     used = sorted({c for c, _ in specs.values()})
     if not keys:
         found = _hot_quantiles(df.select(F.lit(1).alias("_one"), *used), ["_one"], specs).drop("_one")
-        return found.join(df.agg(*also)) if also else found
+        return attach(found, df.agg(*also), []) if also else found
     cold = df.join(hot, keys, "left_anti").groupBy(*keys).agg(*plain, *also)
     large = df.join(hot, keys, "left_semi")
     found = _hot_quantiles(large.select(*keys, *used), keys, specs)

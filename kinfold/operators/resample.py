@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from kinfold.functions.draws import bootstrap_counts, draw_uniform, replicate_column
 from kinfold.operators import metrics as M
-from kinfold.operators.ordered import largest_key, ordered_totals, positions
+from kinfold.operators.ordered import attach, largest_key, ordered_totals, positions
 from kinfold.session import cut
 
 
@@ -88,7 +88,7 @@ def mean_abs_interval(df: DataFrame, keys: Sequence[str], unit: str, value: str,
     each = per_unit.join(draws, unit).groupBy(*keys, "replicate").agg(
         (F.sum(F.col("weight") * F.col("_s")) / F.sum(F.col("weight") * F.col("_n"))).alias("mean_abs"))
     whole = per_unit.groupBy(*keys).agg((F.sum("_s") / F.sum("_n")).alias("estimate"))
-    return whole.join(interval(each, keys, "mean_abs"), list(keys)) if keys else whole.join(interval(each, keys, "mean_abs"))
+    return attach(whole, interval(each, keys, "mean_abs"), keys)
 
 
 def spearman_interval(df: DataFrame, keys: Sequence[str], unit: str, x: str, y: str, replicates: int, seed: int,
@@ -103,7 +103,7 @@ def spearman_interval(df: DataFrame, keys: Sequence[str], unit: str, x: str, y:
     draws = unit_draws(rows, unit, replicates, seed)
     whole = M.spearman(rows, keys, x, y, "estimate", min_rows=min_rows, min_distinct=min_distinct, max_rows=bound)
     each = M.spearman(rows.join(draws, unit), [*keys, "replicate"], x, y, "rho", weight=F.col("weight"), min_rows=3, min_distinct=2, max_rows=bound)
-    return whole.join(interval(each, keys, "rho"), list(keys)) if keys else whole.join(interval(each, [], "rho"))
+    return attach(whole, interval(each, keys, "rho"), keys)
 
 
 def sign_consistency(df: DataFrame, keys: Sequence[str], rho: str, expected: int) -> DataFrame:
@@ -147,11 +147,11 @@ def component_inference(df: DataFrame, unit: str, x: str, y: str, replicates: in
     from kinfold.operators.rollup import component_medians
 
     comp = cut(component_medians(df, [], unit, [x, y]))
-    boot = spearman_interval(comp, [], unit, x, y, replicates, seed, min_rows=8, min_distinct=2)
+    boot = cut(spearman_interval(comp, [], unit, x, y, replicates, seed, min_rows=8, min_distinct=2))
     null = permutation_spearman(comp, unit, x, y, permutations, seed)
     observed = boot.select("estimate").scalar()
     p = null.agg(permutation_p(null, observed).alias("permutation_p"), F.count("rho").alias("permutations_valid"))
-    return boot.select("estimate", "ci_low", "ci_high", F.col("n").alias("components"), F.col("replicates_valid").alias("bootstraps_valid")).join(p)
+    return attach(boot.select("estimate", "ci_low", "ci_high", F.col("n").alias("components"), F.col("replicates_valid").alias("bootstraps_valid")), p, [])
 
 
 def weighted_medians(df: DataFrame, keys: Sequence[str], value: str, weight: Column, out: str, max_rows: int | None) -> DataFrame:

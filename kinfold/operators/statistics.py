@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from kinfold.operators import graph
 from kinfold.operators.metrics import ece, reliability, spearman
-from kinfold.operators.ordered import exact_quantiles, hot_keys, medians, ordered_totals
+from kinfold.operators.ordered import attach, exact_quantiles, hot_keys, medians, ordered_totals
 from kinfold.session import cut
 
 
@@ -22,11 +22,11 @@ def robust_z(df: DataFrame, keys: Sequence[str], value: str, out: str) -> DataFr
     keys = list(keys)
     df = cut(df)
     hot = hot_keys(df, keys)
-    center = medians(df, keys, {"_mid": value}, hot).join(df.groupBy(*keys).agg(F.stddev_samp(value).alias("_sd")), keys)
-    away = df.join(center, keys).withColumn("_d", F.abs(F.col(value) - F.col("_mid")))
+    center = medians(df, keys, {"_mid": value}, hot, also=[F.stddev_samp(value).alias("_sd")])
+    away = attach(df, center, keys).withColumn("_d", F.abs(F.col(value) - F.col("_mid")))
     spread = medians(away, keys, {"_mad": "_d"}, hot)
     scale = F.when(F.col("_mad") > 0, F.col("_mad") * 1.4826).when(F.col("_sd") > 0, F.col("_sd"))
-    return away.join(spread, keys).select(*df.columns, ((F.col(value) - F.col("_mid")) / scale).alias(out))
+    return attach(away, spread, keys).select(*df.columns, ((F.col(value) - F.col("_mid")) / scale).alias(out))
 
 
 def quantile_bins(df: DataFrame, keys: Sequence[str], value: str, bins: int, out: str = "bin") -> DataFrame:
@@ -34,7 +34,7 @@ def quantile_bins(df: DataFrame, keys: Sequence[str], value: str, bins: int, out
     names = [f"_q{i}" for i in range(bins + 1)]
     edges = exact_quantiles(df, keys, {n: (value, i / bins) for i, n in enumerate(names)})
     packed = edges.select(*keys, F.array_distinct(F.array(*names)).alias("_edges"))
-    placed = df.join(packed, list(keys)) if keys else df.withColumn("_edges", packed.scalar())
+    placed = attach(df, packed, keys)
     code = F.greatest(F.size(F.filter("_edges", lambda e: e < F.col(value))), F.lit(1))
     return placed.select(*df.columns, code.alias(out))
 
@@ -60,7 +60,7 @@ def density(df: DataFrame, keys: Sequence[str], value: str, points: int) -> Data
     span = df.groupBy(*keys).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"), F.count(value).alias("_n"),
                                  (F.stddev_samp(value) * F.pow(F.count(value), F.lit(-0.2))).alias("_h"))
     at = lambda i: F.col("_lo") + (F.col("_hi") - F.col("_lo")) * i / F.lit(float(points - 1))
-    rows = df.where(F.col(value).isNotNull()).join(span, keys)
+    rows = attach(df.where(F.col(value).isNotNull()), span, keys)
     sums = rows.groupBy(*keys, "_lo", "_hi", "_n", "_h").agg(*[
         F.sum(F.exp(F.lit(-0.5) * F.pow((at(F.lit(i)) - F.col(value)) / F.col("_h"), F.lit(2.0)))).alias(f"_s{i}") for i in range(points)])
     opened = sums.select("*", F.posexplode(F.array(*[F.col(f"_s{i}") for i in range(points)])).alias("point", "_s"))

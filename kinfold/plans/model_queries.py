@@ -127,9 +127,9 @@ def trial_numbers(spark, sf, n):
 def l7(spark, sf):
     ready = prepared(spark, sf)
     trials = cut(L.trial_table(trial_numbers(spark, sf, 3), "trial", ["rf", "gbt"], 5))
-    done = L.tune(ready, range(2), "rf", trials.where("trial_number < 1"), DIMS, "target", "group_id", "vec_id", 42)
+    done, _ = L.tune(ready, range(2), "rf", trials.where("trial_number < 1"), DIMS, "target", "group_id", "vec_id", 42)
     # resume: finished trials are skipped
-    rest = L.tune(ready, range(2), "rf", trials, DIMS, "target", "group_id", "vec_id", 42, done=done.select("model", "trial_number"))
+    rest, _ = L.tune(ready, range(2), "rf", trials, DIMS, "target", "group_id", "vec_id", 42, done=done.select("model", "trial_number"))
     return done.unionByName(rest)
 
 
