@@ -8,21 +8,18 @@ from typing import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 
-def payload_hash(df: DataFrame, part: str, order: Column, text: Column, bucket: Column) -> DataFrame:
-    """Order-independent SHA-256 of a table.
+def payload_hash(df: DataFrame, part: str, text: Column) -> DataFrame:
+    """Order-independent hash of a table from one aggregation.
 
-    Rows are hashed per bucket in canonical order, then the bucket hashes are hashed: no task and no
-    row ever holds the whole table, only one bucket. ``bucket`` has to depend on the row alone.
+    Every row's SHA-256 is cut into eight 32-bit numbers; their sums over all rows and the row count are
+    hashed again. Sums commute, so partial aggregation does the work and no task gathers rows, however
+    many there are; a changed, added, dropped or repeated row changes the sums.
     """
-    per_bucket = df.select(bucket.alias("_bucket"), order.alias("_order"), text.alias("_text")).groupBy("_bucket").agg(
-        F.sha2(F.concat_ws("\n", F.transform(
-            F.array_sort(F.collect_list(F.struct("_order", "_text"))), lambda s: s["_text"])), 256).alias("_digest"))
-    lines = F.transform(
-        F.array_sort(F.collect_list(F.struct("_bucket", "_digest"))),
-        lambda s: F.concat(F.lpad(s["_bucket"].cast("string"), 9, "0"), F.lit(":"), s["_digest"]))
-    return per_bucket.agg(
-        F.sha2(F.concat_ws("\n", lines), 256).alias("payload_hash"), F.count("*").alias("buckets")
-    ).select(F.lit(part).alias("part"), "payload_hash", "buckets")
+    digest = df.select(F.sha2(text, 256).alias("_d"))
+    piece = lambda i: F.conv(F.substring("_d", 8 * i + 1, 8), 16, 10).cast("decimal(20,0)")
+    sums = [F.sum(piece(i)).cast("decimal(38,0)").cast("string").alias(f"_p{i}") for i in range(8)]
+    return digest.agg(F.count("*").alias("rows"), *sums).select(
+        F.lit(part).alias("part"), F.sha2(F.concat_ws(":", F.col("rows").cast("string"), *[f"_p{i}" for i in range(8)]), 256).alias("payload_hash"), "rows")
 
 
 def key_violations(df: DataFrame, key: Sequence[str]) -> DataFrame:

@@ -293,6 +293,8 @@ def spearman(df: DataFrame, keys: Sequence[str], x: str, y: str, out: str = "rho
     w = F.lit(1.0) if weight is None else weight
     pairs = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(*keys, x, y).agg(F.sum(w).alias("_w"))
     if max_rows is None:
+        max_rows = largest_key(df, keys)
+    if max_rows > hot_rows:
         pairs = cut(pairs)
         max_rows = largest_key(pairs, keys)
     wcol = F.col("_w")

@@ -261,7 +261,7 @@ def tune(prepared: DataFrame, folds: Sequence[int], family: str, trials: DataFra
 
 
 def nested_evaluation(df: DataFrame, features: Sequence[str], label: str, group: str, block: str, record: str, trials: DataFrame,
-                      repeats: int = 1, outer: int = 2, inner: int = 2, families: Sequence[str] = FAMILIES, k: int = 5, seed: int = 42, threads: int = 4):
+                      repeats: int = 1, outer: int = 2, inner: int = 2, families: Sequence[str] = FAMILIES, k: int = 5, seed: int = 42, threads: int = 8):
     """Repeated nested grouped evaluation.
 
     Per repeat: grouped outer folds; per outer fold: inner folds over its training blocks, trials, choice
@@ -276,6 +276,7 @@ def nested_evaluation(df: DataFrame, features: Sequence[str], label: str, group:
         dealt = cut(splits.grouped_split(df, block, label, 2, outer, [seed + repeat * 10000 + i for i in range(4)]))
         placed = df.join(dealt.select(block, F.col("fold").alias("own_fold")), block)
         prepared = prepare_folds(placed, record, "own_fold", outer, features, k)
+        jobs, names = [], []
         for fold in range(outer):
             train = placed.where(F.col("own_fold") != fold).drop("own_fold")
             parts = cut(splits.inner_split(train, block, label, 2, [inner, 2], seed + repeat * 10000 + fold * 1000))
@@ -299,10 +300,14 @@ def nested_evaluation(df: DataFrame, features: Sequence[str], label: str, group:
                     return cut(scored), results.withColumns({"repeat": F.lit(repeat), "outer_fold": F.lit(fold)}), model
                 return run
 
-            for (scored, results, model), family in zip(run_jobs([job(f, i) for i, f in enumerate(families)], threads), families):
-                oof_parts.append(scored)
-                trial_parts.append(results)
-                bundles[(repeat, fold, family)] = model
+            for index, family in enumerate(families):
+                jobs.append(job(family, index))
+                names.append((repeat, fold, family))
+        # all folds and families of a repeat are independent jobs
+        for (scored, results, model), name in zip(run_jobs(jobs, threads), names):
+            oof_parts.append(scored)
+            trial_parts.append(results)
+            bundles[name] = model
     return reduce(DataFrame.unionByName, oof_parts), reduce(DataFrame.unionByName, trial_parts), bundles
 
 

@@ -7,8 +7,9 @@ earlier buckets, one row per bucket, are added. The cut points are the values wi
 hashes; results are exact for any cut points. Equal values are aggregated before either path, so a
 value holding a third of all rows is one row by then.
 
-The aggregated values are written to the shared folder once, because both paths read them more than
-once and recomputing the input for every branch would cost more than one compact write.
+The aggregated values of very large keys are written to the shared folder once, because the bucketed
+path reads them several times and recomputing the input for every branch would cost more than one
+compact write. Ordinary keys stay in one lazy plan.
 """
 
 from __future__ import annotations
@@ -37,7 +38,7 @@ def hot_keys(df: DataFrame, keys: Sequence[str], limit: int = HOT_ROWS) -> DataF
     One aggregation over the key columns alone. The answer is at most rows / limit keys.
     """
     if not keys:
-        return df.limit(limit + 1).agg(F.count("*").alias("n")).where(F.col("n") > limit) if df.count() > limit else None
+        return df.limit(0) if df.count() > limit else None  # only told apart from None
     found = df.groupBy(*keys).count().where(F.col("count") > limit).select(*keys)
     return None if found.isEmpty() else cut(found)
 
@@ -80,6 +81,9 @@ def ordered_totals(df: DataFrame, keys: Sequence[str], order: str, totals: Mappi
         .agg(*[F.sum(c).alias(t) for t, c in totals.items()])
     )
     if max_rows is None:
+        # rows bound distinct values; counting them reads the key columns only
+        max_rows = largest_key(df, keys)
+    if max_rows > hot_rows:
         level = cut(level)
         max_rows = largest_key(level, keys)
     if max_rows <= hot_rows:
