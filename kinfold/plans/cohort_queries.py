@@ -191,7 +191,7 @@ def a24(spark, sf):
     return R.class_support(records(spark, sf), "class3", "group_id", "block")
 
 
-TOKENS = split_ids("source_ids")
+TOKENS = lambda: split_ids("source_ids")
 REFS = "refs AS (SELECT DISTINCT group_id, block, unnest(string_split(source_ids, ';')) AS source FROM records)"
 
 
@@ -200,19 +200,19 @@ WITH {REFS}, j AS (SELECT group_id, string_agg(DISTINCT source, ';' ORDER BY sou
 SELECT group_id, min(block) AS block, count(*) AS n_records, count(*) FILTER (class3 = 'F') AS "n_F", count(*) FILTER (class3 = 'O') AS "n_O", count(*) FILTER (class3 = 'P') AS "n_P", any_value(sources) AS sources
 FROM records JOIN j USING (group_id) GROUP BY 1"""))
 def a25(spark, sf):
-    return R.block_registry(records(spark, sf), "group_id", "block", TOKENS, "class3", CLASSES)
+    return R.block_registry(records(spark, sf), "group_id", "block", TOKENS(), "class3", CLASSES)
 
 
 @query("a26_source_graph_audit", with_views("records", f"""
 WITH {REFS} SELECT source, min(block) AS block, count(*) AS n_groups, count(*) > 1 AS shared, min(block) = max(block) AS inside_one_block FROM refs GROUP BY 1"""))
 def a26(spark, sf):
-    return R.source_graph_audit(records(spark, sf), "group_id", "block", TOKENS)
+    return R.source_graph_audit(records(spark, sf), "group_id", "block", TOKENS())
 
 
 @query("a28_input_validation", with_views("records", f"""
 WITH {REFS} SELECT class3, count(DISTINCT block) AS blocks, count(*) AS records, count(DISTINCT group_id) AS n_groups, count(DISTINCT block) >= 5 AS enough_blocks, (SELECT count(DISTINCT source) FROM refs) AS sources_total FROM records GROUP BY 1"""))
 def a28(spark, sf):
-    return R.validation_summary(records(spark, sf), "group_id", "block", "class3", TOKENS, 5)
+    return R.validation_summary(records(spark, sf), "group_id", "block", "class3", TOKENS(), 5)
 
 
 @query("a29_missingness_manifest", with_views("records", f"""
