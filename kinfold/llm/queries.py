@@ -6,7 +6,7 @@ from typing import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from kinfold.llm import byte_bpe, prefix_tokens
+from kinfold.llm import byte_bpe, near_dedup, prefix_tokens
 
 QUERIES: dict[str, Callable] = {}
 SQL: dict[str, str] = {}
@@ -37,6 +37,11 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("p.n_tokens").alias("n_tokens"), (F.col("p.n_tokens") > TOKEN_LIMIT).alias("over_limit"))
 
 
+@query("op7_hyperminhash_dedup")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 @query("op8_byte_bpe")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
