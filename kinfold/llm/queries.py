@@ -6,7 +6,7 @@ from typing import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from kinfold.llm import byte_bpe, near_dedup, prefix_tokens
+from kinfold.llm import byte_bpe, near_dedup, prefix_tokens, quality
 
 QUERIES: dict[str, Callable] = {}
 SQL: dict[str, str] = {}
@@ -49,3 +49,11 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select(
         "doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
         F.sha2("ids", 256).alias("ids_sha256"), F.sha2("raw", 256).alias("decoded_sha256"))
+
+
+@query("op9_divergence_rules")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = quality.divergence_rules(table(spark, sf_dir, "documents", "doc_id", "text", "lang"))
+    return judged.select(
+        "row.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "character_distance", "word_distance",
+        "base_failed", "kept")
