@@ -32,6 +32,9 @@ BUCKET_BITS = 7
 MANTISSA_BITS = 26
 ROWS = 5
 LEADER_ROUNDS = 3
+SMALL = 64
+BLOCK = 512
+CHUNK = 8_192
 ERRORS = 5.0
 
 
@@ -139,6 +142,69 @@ def _confirm(pairs: DataFrame, sets: DataFrame, percent: int, kind: str) -> Data
     return joined.mapInArrow(confirm, f"a {kind}, b {kind}").distinct()
 
 
+def _spanning(near: np.ndarray, labels: list) -> list[tuple[int, int]]:
+    """Of the near pairs of a block, enough to join the components that they join."""
+    parent = {c: c for c in labels}
+
+    def root(c):
+        while parent[c] != c:
+            parent[c] = parent[parent[c]]
+            c = parent[c]
+        return c
+
+    kept = []
+    for i, j in near:
+        a, b = root(labels[i]), root(labels[j])
+        if a != b:
+            parent[a] = b
+            kept.append((i, j))
+    return kept
+
+
+def _dense_links(hot: DataFrame, full: DataFrame, percent: int, kind: str) -> DataFrame:
+    """Links between the components inside groups of documents that meet in large buckets.
+
+    ``hot`` holds ``(band, id, component)``. The buckets' stars are joined to groups; a group is cut into blocks of
+    about ``BLOCK`` documents, and each pair of blocks is compared exactly as a product of token matrices. Only links
+    that join components leave a task, so the output grows with the documents, not with their pairs.
+    """
+    lead = hot.groupBy("band").agg(F.min("id").alias("a"))
+    group = cut(components(hot.join(lead, "band").select("a", F.col("id").alias("b")).distinct(), "a", "b").select(F.col("node").alias("id"), F.col("component").alias("group")))
+    parts = group.groupBy("group").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"))
+    member = hot.select("id", "component").distinct().join(group, "id").join(parts, "group").join(full, "id")
+    member = member.withColumn("own", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+    dealt = member.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select(
+        "group", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "own", "id", "component", "members")
+
+    def compare(block: pa.Table) -> pa.Table:
+        ids, labels = block.column("id").to_pylist(), block.column("component").to_pylist()
+        own, p, q = (block.column(c).to_numpy() for c in ("own", "p", "q"))
+        sets = [np.frombuffer(x, U) for x in block.column("members").to_pylist()]
+        sizes = np.array([len(x) for x in sets], np.int64)
+        doc = np.repeat(np.arange(len(sets)), sizes)
+        _, token, uses = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        often = uses[token] > 1
+        column = np.cumsum(uses > 1) - 1
+        doc, token = doc[often], column[token[often]]
+        order = np.argsort(token, kind="stable")
+        doc, token = doc[order], token[order]
+        left, right = np.flatnonzero(own == p), np.flatnonzero(own == q)
+        both = np.zeros((len(left), len(right)), np.float32)
+        for low in range(0, int(token[-1]) + 1 if len(token) else 0, CHUNK):
+            at = slice(*np.searchsorted(token, (low, low + CHUNK)))
+            grid = np.zeros((len(sets), CHUNK), np.float32)
+            grid[doc[at], token[at] - low] = 1
+            both += grid[left] @ grid[right].T
+        both = both.astype(np.int64)
+        number = {c: k for k, c in enumerate(dict.fromkeys(labels))}
+        lab = np.array([number[c] for c in labels])
+        near = (100 * both >= percent * (sizes[left][:, None] + sizes[right][None, :] - both)) & (lab[left][:, None] != lab[right][None, :])
+        kept = _spanning(np.stack([left[np.nonzero(near)[0]], right[np.nonzero(near)[1]]], 1), labels)
+        return pa.table({"a": pa.array([ids[i] for i, _ in kept], block.schema.field("id").type), "b": pa.array([ids[j] for _, j in kept], block.schema.field("id").type)})
+
+    return dealt.groupBy("group", "p", "q").applyInArrow(compare, f"a {kind}, b {kind}")
+
+
 def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", percent: int = 85, rows: int = ROWS,
                     mantissa: int = MANTISSA_BITS, size: int = SHINGLE, leader_rounds: int = LEADER_ROUNDS) -> DataFrame:
     """One row per row of ``df``: ``(key, n_shingles, component_id, kept)``.
@@ -175,12 +241,20 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", perc
                 break
         else:
             current = current.withColumn("component", F.col("id"))
+        dense = None
         if turn < leader_rounds:
             order = [F.col("id"), F.struct("n_shingles", "id"), F.struct(F.xxhash64("id", "band"), F.col("id"))][turn % 3]
             lead = current.groupBy("band").agg(F.min_by(F.struct("id", "n_shingles", "component"), order).alias("l"))
             met = current.join(lead, "band").where("component <> l.component").select(
                 F.col("l.id").alias("a"), F.col("id").alias("b"), F.col("l.n_shingles").alias("na"), F.col("n_shingles").alias("nb"))
         else:
+            large = current.groupBy("band").count().where(F.col("count") > SMALL).select("band")
+            hot = cut(current.join(large, "band").select("band", "id", "component"))
+            if not hot.isEmpty():
+                wanted = hot.select("id").distinct()
+                full = df.select(F.col(key).alias("id"), F.col(text).alias("text")).join(wanted, "id").mapInArrow(full_sets, f"id {kind}, members binary")
+                dense = cut(_dense_links(hot, full, percent, kind).distinct())
+            current = current.join(large, "band", "left_anti")
             other = current.select("band", F.col("id").alias("b"), F.col("n_shingles").alias("nb"), F.col("component").alias("cb"))
             met = current.select("band", F.col("id").alias("a"), F.col("n_shingles").alias("na"), F.col("component").alias("ca")).join(
                 other, "band").where("ca < cb").select("a", "b", "na", "nb")
@@ -191,12 +265,13 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", perc
         if turn < leader_rounds:
             likely = likely.groupBy("b").agg(F.max_by("a", F.struct("estimate", "a")).alias("a"))
         likely = cut(likely.select("a", "b"))
-        if likely.isEmpty():
-            continue
-        wanted = likely.select(F.col("a").alias("id")).union(likely.select(F.col("b").alias("id"))).distinct()
-        sets = df.select(F.col(key).alias("id"), F.col(text).alias("text")).join(wanted, "id").mapInArrow(full_sets, f"id {kind}, members binary")
-        found = cut(_confirm(likely, sets, percent, kind))
-        if found.isEmpty():
+        found = dense
+        if not likely.isEmpty():
+            wanted = likely.select(F.col("a").alias("id")).union(likely.select(F.col("b").alias("id"))).distinct()
+            sets = df.select(F.col(key).alias("id"), F.col(text).alias("text")).join(wanted, "id").mapInArrow(full_sets, f"id {kind}, members binary")
+            near_links = cut(_confirm(likely, sets, percent, kind))
+            found = near_links if dense is None else near_links.unionByName(dense)
+        if found is None or found.isEmpty():
             continue
         links = found if links is None else links.unionByName(found)
         label = cut(components(links, "a", "b").select(F.col("node").alias("id"), "component"))

@@ -6,7 +6,7 @@ from typing import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from kinfold.llm import byte_bpe, chat, langid, near_dedup, prefix_tokens, quality
+from kinfold.llm import byte_bpe, chat, langid, mixing, near_dedup, prefix_tokens, quality
 
 QUERIES: dict[str, Callable] = {}
 SQL: dict[str, str] = {}
@@ -69,6 +69,40 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("p.n_tokens").alias("n_tokens"), (F.col("p.n_tokens") > TOKEN_LIMIT).alias("over_limit"))
 
 
+MIX_SQL = r"""
+WITH docs AS (
+  SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents
+), sources AS (
+  SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM docs GROUP BY source
+), own AS (
+  SELECT source, source_size, 3 * source_size AS cap,
+    CASE (row_number() OVER (ORDER BY source IS NULL, source) - 1) % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS weight FROM sources
+), level AS (
+  SELECT cap / weight AS ratio, sum(cap) AS cap_at, sum(weight) AS weight_at FROM own GROUP BY 1
+), swept AS (
+  SELECT ratio, ((SELECT sum(source_size) FROM own) - coalesce(sum(cap_at) OVER earlier, 0))
+    / ((SELECT sum(weight) FROM own) - coalesce(sum(weight_at) OVER earlier, 0)) AS share FROM level
+  WINDOW earlier AS (ORDER BY ratio ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+), goals AS (
+  SELECT source, source_size, CASE WHEN s.share IS NULL THEN CAST(cap AS DOUBLE) ELSE least(CAST(cap AS DOUBLE), s.share * weight) END AS target,
+    CAST(('0x' || substr(md5('7:' || coalesce('s' || source, 'n')), 1, 8)) AS BIGINT) / 4294967296.0 AS u
+  FROM own, (SELECT min_by(share, ratio) AS share FROM swept WHERE share <= ratio) AS s
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY source ORDER BY size, doc_id) AS place FROM docs WHERE size > 0
+  UNION ALL SELECT *, NULL FROM docs WHERE size = 0
+), counted AS (
+  SELECT doc_id, size, source_size, target,
+    coalesce(least(floor(place * (target / source_size) + u) - floor((place - 1) * (target / source_size) + u), 3), 0) AS copies
+  FROM ranked JOIN goals ON ranked.source IS NOT DISTINCT FROM goals.source
+)
+SELECT doc_id, size, source_size, target, CAST(copies AS BIGINT) AS copies, CAST(copies * size AS BIGINT) AS taken FROM counted"""
+
+
+@query("op6_source_mixing", MIX_SQL)
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents", "doc_id", "text", "source"))
+
+
 @query("op7_hyperminhash_dedup")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents", "doc_id", "text"))
