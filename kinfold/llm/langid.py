@@ -2,8 +2,9 @@
 
 For every language a raw-content zstandard dictionary is made from a bounded sample of its labelled texts.
 A lower-cased text is encoded with each dictionary in pieces of fixed size (so that a long text can't stand in for the
-dictionary), and the language with the smallest sum of sizes is chosen, ties to the smaller code. Where the
-second smallest is hardly larger, the choice is marked as rejected.
+dictionary), and the language with the smallest sum of sizes is chosen. Where the second smallest is hardly
+larger, the text is encoded once more at a higher level; if the margin stays narrow, the choice is marked as
+rejected. Ties go to the language with more labelled texts, then to the smaller code.
 """
 
 from __future__ import annotations
@@ -17,8 +18,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 SAMPLE_TEXTS = 96
 SAMPLE_CHARS = 1_024
 MOST_LANGUAGES = 1_000
-PIECE_CHARS = 2_048
-LEVEL = 3
+PIECE_CHARS = 1_024
+LEVELS = (9, 12)
 NARROW = 0.01
 
 
@@ -44,31 +45,40 @@ def train(df: DataFrame, text: str = "text", lang: str = "lang", texts: int = SA
     found: dict[str, list] = {}
     for r in few.collect():
         found.setdefault(r["lang"], []).append((r["h"], r["part"]))
-    return {code: "\n".join(p for _, p in sorted(parts)[:texts]).lower().encode("utf-8") for code, parts in sorted(found.items())}
+    order = sorted(found, key=lambda code: (-{r["lang"]: r["n"] for r in sizes}[code], code))
+    return {code: "\n".join(p for _, p in sorted(found[code])[:texts]).lower().encode("utf-8") for code in order}
 
 
 class Classifier:
-    def __init__(self, contents: dict[str, bytes], level: int = LEVEL):
+    """Languages in the order of ``contents`` where sizes tie."""
+
+    def __init__(self, contents: dict[str, bytes], levels: tuple[int, ...] = LEVELS):
         import zstandard
 
-        self.codes = sorted(contents)
-        self.encoders = []
-        for code in self.codes:
-            own = zstandard.ZstdCompressionDict(contents[code], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-            own.precompute_compress(level=level)
-            self.encoders.append(zstandard.ZstdCompressor(dict_data=own, write_checksum=False, write_content_size=False, write_dict_id=False))
+        self.codes = list(contents)
+        self.levels = []
+        for level in levels:
+            encoders = []
+            for code in self.codes:
+                own = zstandard.ZstdCompressionDict(contents[code], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+                own.precompute_compress(level=level)
+                encoders.append(zstandard.ZstdCompressor(dict_data=own, write_checksum=False, write_content_size=False, write_dict_id=False))
+            self.levels.append(encoders)
 
     def __call__(self, text: str | None) -> tuple[str, float, bool]:
         """``(language, score, rejected)``; the score is the share of bytes saved against the second best."""
         if not text or not self.codes or not any(c.isalpha() for c in text):
             return "und", 0.0, True
+        if len(self.codes) == 1:
+            return self.codes[0], 1.0, False
         text = text.lower()
         pieces = [text[k:k + PIECE_CHARS].encode("utf-8") for k in range(0, len(text), PIECE_CHARS)]
-        sizes = sorted((sum(len(e.compress(p)) for p in pieces), code) for e, code in zip(self.encoders, self.codes))
-        if len(sizes) == 1:
-            return sizes[0][1], 1.0, False
-        margin = (sizes[1][0] - sizes[0][0]) / sizes[1][0]
-        return sizes[0][1], min(max(margin, 0.0), 1.0), margin < NARROW
+        for encoders in self.levels:
+            sizes = sorted((sum(len(e.compress(p)) for p in pieces), k) for k, e in enumerate(encoders))
+            margin = (sizes[1][0] - sizes[0][0]) / sizes[1][0]
+            if margin >= NARROW:
+                break
+        return self.codes[sizes[0][1]], min(margin, 1.0), margin < NARROW
 
 
 def predict(contents: dict[str, bytes], text: str) -> Column:
