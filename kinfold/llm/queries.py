@@ -6,7 +6,7 @@ from typing import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from kinfold.llm import byte_bpe, chat, langid, mixing, near_dedup, prefix_tokens, quality
+from kinfold.llm import byte_bpe, chat, langid, mixing, near_dedup, prefix_tokens, quality, warc
 
 QUERIES: dict[str, Callable] = {}
 SQL: dict[str, str] = {}
@@ -123,3 +123,18 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select(
         "row.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "character_distance", "word_distance",
         "base_failed", "kept")
+
+
+WARC_SQL = """
+WITH own AS (
+  SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages
+), chief AS (
+  SELECT *, max(page_id) OVER (PARTITION BY payload_digest, payload_bytes) AS top FROM own
+)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN payload_bytes >= 1000 AND page_id < top THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN payload_bytes >= 1000 AND page_id < top THEN top END AS refers_to FROM chief"""
+
+
+@query("op10_warc_chain", WARC_SQL)
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive_round_trip(table(spark, sf_dir, "pages", "page_id", "url", "html"))
