@@ -6,7 +6,7 @@ from typing import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from kinfold.llm import byte_bpe, chat, langid, mixing, near_dedup, prefix_tokens, quality, warc
+from kinfold.llm import ann, byte_bpe, chat, langid, mixing, near_dedup, prefix_tokens, quality, warc
 
 QUERIES: dict[str, Callable] = {}
 SQL: dict[str, str] = {}
@@ -60,6 +60,12 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", "held_out", langid.predict(learned, "text").alias("p")).select("doc_id", "held_out", "p.*")
 
 
+@query("op4_graph_neighbours")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings", "vec_id", "embedding")
+    return ann.search(ann.build_index(vectors), vectors.where(F.col("vec_id") % 100 == 0))
+
+
 @query("op5_prefix_token_counts")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
