@@ -48,10 +48,16 @@ def pieces(offsets: np.ndarray, most: int = PIECE_BYTES) -> Iterator[tuple[int,
         low = high
 
 
-def word_hashes(raw: np.ndarray, offsets: np.ndarray, fold: bool = True) -> tuple[np.ndarray, np.ndarray]:
-    """``(hashes, first)``: 64-bit hashes of all words, and per text the index of its first one (and the end)."""
-    if fold:
-        raw = np.where((raw >= 65) & (raw <= 90), raw + 32, raw).astype(np.uint8)
+FOLDED = np.arange(256, dtype=np.uint8)
+FOLDED[65:91] += 32
+
+
+def word_hashes(raw: np.ndarray, offsets: np.ndarray, table: np.ndarray = FOLDED) -> tuple[np.ndarray, np.ndarray]:
+    """``(hashes, first)``: 64-bit hashes of all words, and per text the index of its first one (and the end).
+
+    ``table`` replaces each byte first; by default A-Z by a-z.
+    """
+    raw = table[raw]
     inside = ~((raw == 32) | ((raw >= 9) & (raw <= 13)))
     edge = np.zeros(len(raw) + 1, bool)
     edge[offsets] = True

@@ -6,7 +6,7 @@ from typing import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from kinfold.llm import ann, byte_bpe, chat, langid, mixing, near_dedup, prefix_tokens, quality, warc
+from kinfold.llm import ann, byte_bpe, chat, langid, lines, mixing, near_dedup, prefix_tokens, quality, warc
 
 QUERIES: dict[str, Callable] = {}
 SQL: dict[str, str] = {}
@@ -52,6 +52,12 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.format_conversations(given.unionByName(extra)))
 
 
+@query("op2_line_dedup")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = lines.dedupe_lines(table(spark, sf_dir, "documents", "doc_id", "text"))
+    return done.select("row.doc_id", "n_lines", "n_removed", F.col("kept_text").alias("text"))
+
+
 @query("op3_language_id")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents", "doc_id", "text", "lang")
