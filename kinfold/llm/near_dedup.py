@@ -17,11 +17,12 @@ candidate is lost.
 from __future__ import annotations
 
 import hashlib
+from functools import reduce
 from typing import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from kinfold.llm.hashing import U, mixed, pieces, shingle_hashes, text_bytes, word_hashes
 from kinfold.operators.graph import components
@@ -31,10 +32,10 @@ SHINGLE = 5
 BUCKET_BITS = 7
 MANTISSA_BITS = 26
 ROWS = 5
-LEADER_ROUNDS = 3
+LEADERS_TRIED = 2
 SMALL = 64
-BLOCK = 512
-CHUNK = 8_192
+BLOCK = 2_048
+CHUNK = 2_048
 ERRORS = 5.0
 
 
@@ -206,7 +207,7 @@ def _dense_links(hot: DataFrame, full: DataFrame, percent: int, kind: str) -> Da
 
 
 def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", percent: int = 85, rows: int = ROWS,
-                    mantissa: int = MANTISSA_BITS, size: int = SHINGLE, leader_rounds: int = LEADER_ROUNDS) -> DataFrame:
+                    mantissa: int = MANTISSA_BITS, size: int = SHINGLE) -> DataFrame:
     """One row per row of ``df``: ``(key, n_shingles, component_id, kept)``.
 
     ``component_id`` is the smallest key that can be reached over links of at least ``percent`` / 100, ``kept`` says
@@ -230,51 +231,53 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", perc
             for low, sets in _sets(batch.column(1), size):
                 yield pa.RecordBatch.from_arrays([ids.slice(low, len(sets)), pa.array([s.tobytes() for s in sets], pa.binary())], names=["id", "members"])
 
-    label, links = None, None
-    for turn in range(leader_rounds + 1):
-        current = members
-        if label is not None:
-            current = members.join(label, "id", "left").withColumn("component", F.coalesce("component", "id"))
-            open_bands = current.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("band")
-            current = cut(current.join(open_bands, "band"))
-            if current.isEmpty():
-                break
-        else:
-            current = current.withColumn("component", F.col("id"))
-        dense = None
-        if turn < leader_rounds:
-            order = [F.col("id"), F.struct("n_shingles", "id"), F.struct(F.xxhash64("id", "band"), F.col("id"))][turn % 3]
-            lead = current.groupBy("band").agg(F.min_by(F.struct("id", "n_shingles", "component"), order).alias("l"))
-            met = current.join(lead, "band").where("component <> l.component").select(
-                F.col("l.id").alias("a"), F.col("id").alias("b"), F.col("l.n_shingles").alias("na"), F.col("n_shingles").alias("nb"))
-        else:
-            large = current.groupBy("band").count().where(F.col("count") > SMALL).select("band")
-            hot = cut(current.join(large, "band").select("band", "id", "component"))
-            if not hot.isEmpty():
-                wanted = hot.select("id").distinct()
-                full = df.select(F.col(key).alias("id"), F.col(text).alias("text")).join(wanted, "id").mapInArrow(full_sets, f"id {kind}, members binary")
-                dense = cut(_dense_links(hot, full, percent, kind).distinct())
-            current = current.join(large, "band", "left_anti")
-            other = current.select("band", F.col("id").alias("b"), F.col("n_shingles").alias("nb"), F.col("component").alias("cb"))
-            met = current.select("band", F.col("id").alias("a"), F.col("n_shingles").alias("na"), F.col("component").alias("ca")).join(
-                other, "band").where("ca < cb").select("a", "b", "na", "nb")
+    def sets_of(ids: DataFrame) -> DataFrame:
+        rows = df.select(F.col(key).alias("id"), F.col(text).alias("text")).join(ids, "id")
+        return rows.mapInArrow(full_sets, f"id {kind}, members binary")
+
+    def confirmed(met: DataFrame, best: int | None) -> DataFrame | None:
+        """Links among the met pairs ``(a, b, na, nb)``; with ``best``, of each ``b`` only the most likely are tried."""
         met = met.where(near).distinct()
         met = met.join(regs.select(F.col("id").alias("a"), F.col("registers").alias("ra")), "a").join(
             regs.select(F.col("id").alias("b"), F.col("registers").alias("rb")), "b").select("a", "b", "na", "nb", "ra", "rb")
         likely = _estimate(met, percent / 100, mantissa, kind)
-        if turn < leader_rounds:
-            likely = likely.groupBy("b").agg(F.max_by("a", F.struct("estimate", "a")).alias("a"))
+        if best is not None:
+            order = Window.partitionBy("b").orderBy(F.desc("estimate"), "a")
+            likely = likely.withColumn("k", F.row_number().over(order)).where(F.col("k") <= best)
         likely = cut(likely.select("a", "b"))
-        found = dense
-        if not likely.isEmpty():
-            wanted = likely.select(F.col("a").alias("id")).union(likely.select(F.col("b").alias("id"))).distinct()
-            sets = df.select(F.col(key).alias("id"), F.col(text).alias("text")).join(wanted, "id").mapInArrow(full_sets, f"id {kind}, members binary")
-            near_links = cut(_confirm(likely, sets, percent, kind))
-            found = near_links if dense is None else near_links.unionByName(dense)
-        if found is None or found.isEmpty():
-            continue
-        links = found if links is None else links.unionByName(found)
-        label = cut(components(links, "a", "b").select(F.col("node").alias("id"), "component"))
+        if likely.isEmpty():
+            return None
+        wanted = likely.select(F.col("a").alias("id")).union(likely.select(F.col("b").alias("id"))).distinct()
+        return cut(_confirm(likely, sets_of(wanted), percent, kind))
+
+    def labelled(links: DataFrame) -> DataFrame:
+        return cut(components(links, "a", "b").select(F.col("node").alias("id"), "component"))
+
+    # every member with two leaders of each of its buckets
+    orders = (F.struct("id"), F.struct(F.xxhash64("id", "band"), F.col("id")))
+    lead = cut(members.groupBy("band").agg(*[F.min_by(F.struct("id", "n_shingles"), o).alias(f"l{k}") for k, o in enumerate(orders)]))
+    met = reduce(DataFrame.unionByName, [
+        members.join(lead, "band").where(F.col("id") != F.col(f"l{k}.id")).select(
+            F.col(f"l{k}.id").alias("a"), F.col("id").alias("b"), F.col(f"l{k}.n_shingles").alias("na"), F.col("n_shingles").alias("nb"))
+        for k in range(len(orders))])
+    links = confirmed(met, LEADERS_TRIED)
+    label = None if links is None else labelled(links)
+    # what lies in different components then
+    current = members.withColumn("component", F.col("id")) if label is None else members.join(label, "id", "left").withColumn(
+        "component", F.coalesce("component", "id"))
+    open_bands = current.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("c")).where("lo <> hi")
+    current = cut(current.join(open_bands.select("band", "c"), "band"))
+    hot = current.where(F.col("c") > SMALL).select("band", "id", "component")
+    few = current.where(F.col("c") <= SMALL)
+    other = few.select(F.col("band").alias("o"), F.col("id").alias("b"), F.col("n_shingles").alias("nb"), F.col("component").alias("cb"))
+    rest = few.join(other, (F.col("band") == F.col("o")) & (F.col("component") < F.col("cb"))).select(
+        F.col("id").alias("a"), "b", F.col("n_shingles").alias("na"), "nb")
+    found = [confirmed(rest, None)]
+    if not hot.isEmpty():
+        found.append(cut(_dense_links(hot, sets_of(hot.select("id").distinct()), percent, kind)))
+    found = [f for f in found if f is not None and not f.isEmpty()]
+    if found:
+        label = labelled(reduce(DataFrame.unionByName, found if links is None else [links, *found]))
     reps = classes.select("set_key", F.col("id").alias("rep"))
     if label is not None:
         reps = reps.join(label.withColumnRenamed("id", "rep"), "rep", "left").select("set_key", F.coalesce("component", "rep").alias("component"))
