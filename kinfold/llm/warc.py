@@ -34,7 +34,8 @@ def records(df: DataFrame, key: str = "page_id", url: str = "url", payload: str
     own = df.select(F.col(key).alias("id"), F.regexp_replace(F.regexp_replace(F.col(url), "\r", "%0D"), "\n", "%0A").alias("url"), F.coalesce(F.col(payload), F.lit("")).alias("body"))
     own = own.withColumn("size", F.octet_length("body")).withColumn("digest", F.sha1(F.col("body").cast("binary")))
     shared = own.where((F.col("size") >= least) & F.col("id").isNotNull()).groupBy("digest", "size").agg(F.max("id").alias("chief"), F.count("*").alias("n"))
-    shared = shared.where("n > 1").select(F.col("digest").alias("d"), F.col("size").alias("s"), "chief")
+    # written first, so that its size is known: a short list of shared payloads leaves the pages where they are
+    shared = cut(shared.where("n > 1").select(F.col("digest").alias("d"), F.col("size").alias("s"), "chief"))
     both = own.join(shared, (F.col("digest") == F.col("d")) & (F.col("size") == F.col("s")) & F.col("id").isNotNull(), "left")
     both = both.withColumn("revisits", F.coalesce(F.col("chief") != F.col("id"), F.lit(False)))
     name = lambda c: F.concat(F.lit(f"<{NAME}"), c.cast("string"), F.lit(">"))
@@ -60,32 +61,49 @@ def _header(name: str) -> Column:
     return F.nullif(F.regexp_extract("head", rf"(?:^|\r\n){name}: ([^\r\n]*)", 1), F.lit(""))
 
 
+def _parts(spark: SparkSession, path: str) -> DataFrame:
+    """What lies between two magics: ``(file, block, row, part)``. Rows are numbered alike in every scan of the files."""
+    return spark.read.option("lineSep", MAGIC).text(path).select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("row"), F.col("value").cast("binary").alias("part"))
+
+
+def _framed(df: DataFrame) -> DataFrame:
+    """Adds what the header of ``part`` says and, of its payload as far as the part holds it, size and digest."""
+    # headers are ASCII lines, so characters and bytes agree up to the blank line
+    text = F.substring("part", 1, 65_536).cast("string")
+    df = df.withColumn("head", F.when(F.locate("\r\n\r\n", text) > 0, F.substring_index(text, "\r\n\r\n", 1)))
+    length = F.regexp_extract("head", r"(?:^|\r\n)Content-Length: (\d{1,15})(?:\r|$)", 1)
+    df = df.withColumn("length", F.nullif(length, F.lit("")).cast("long")).withColumn("head_bytes", F.octet_length("head"))
+    df = df.withColumn("complete", F.octet_length("part") >= F.col("head_bytes") + 4 + F.col("length"))
+    return df.withColumn("payload", _payload()).withColumn("payload_bytes", F.octet_length("payload").cast("long")).withColumn(
+        "payload_digest", F.sha1("payload"))
+
+
+def _payload() -> Column:
+    """The body behind the HTTP header of a response that is complete."""
+    block = F.substring("part", F.col("head_bytes") + 5, F.col("length").cast("int"))
+    http = F.locate("\r\n\r\n", F.substring(block, 1, 4096).cast("string"))
+    return F.when(F.col("complete") & (_header("WARC-Type") == "response"), F.substring(block, http + 4, F.octet_length(block)))
+
+
 def candidates(spark: SparkSession, path: str) -> DataFrame:
-    """``(file, at, next, part)``: every place with a magic, the offset of its successor and the bytes up to the next magic.
+    """Every place with a magic: ``(file, at, next, row)``, its header and what :func:`_framed` found, without the bytes.
 
-    ``next`` is null where no header follows. An empty archive gives no rows.
+    ``at`` is its offset and ``next`` that of its successor, null where no header follows. An empty archive gives no rows.
     """
-    read = spark.read.option("lineSep", MAGIC).text(path).select(
-        F.col("value").cast("binary").alias("part"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
-        F.monotonically_increasing_id().alias("row"))
-    read = cut(read)  # the row numbers must not change between the readers of them
     size = F.octet_length("part") + len(MAGIC)
-    inside = Window.partitionBy("file", "block").orderBy("row").rowsBetween(Window.unboundedPreceding, -1)
-    blocks = read.groupBy("file", "block").agg(F.sum(size).alias("bytes"))
+    seen = _framed(_parts(spark, path)).withColumn("size", size).drop("part", "payload")
+    seen = cut(seen)
+    blocks = seen.groupBy("file", "block").agg(F.sum("size").alias("bytes"))
     before = F.coalesce(F.sum("bytes").over(Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     blocks = blocks.select(F.col("file").alias("f"), F.col("block").alias("b"), before.alias("base"))
-    shifts = read.select("file", "block", "row", size.alias("size")).withColumn("shift", F.coalesce(F.sum("size").over(inside), F.lit(0)))
-    starts = shifts.join(blocks, (F.col("file") == F.col("f")) & (F.col("block") == F.col("b"))).select("row", (F.col("base") + F.col("shift") - len(MAGIC)).alias("at"))
-    head_end = F.locate("\r\n\r\n", F.col("text"))
-    found = read.join(starts, "row").where("at >= 0")
-    # headers are ASCII lines, so characters and bytes agree up to the blank line
-    found = found.withColumn("text", F.substring("part", 1, 65_536).cast("string")).withColumn("end", head_end)
-    found = found.withColumn("head", F.when(F.col("end") > 0, F.substring("text", F.lit(1), F.col("end"))))
-    head_bytes = F.octet_length(F.substring("text", F.lit(1), F.col("end") - 1))
-    length = F.expr("try_cast(nullif(regexp_extract(head, '(?:^|\\r\\n)Content-Length: (\\\\d{1,15})\\r', 1), '') as bigint)")
-    found = found.withColumn("length", length).withColumn("head_bytes", head_bytes)
+    inside = Window.partitionBy("file", "block").orderBy("row").rowsBetween(Window.unboundedPreceding, -1)
+    seen = seen.withColumn("shift", F.coalesce(F.sum("size").over(inside), F.lit(0)))
+    placed = seen.join(blocks, (F.col("file") == F.col("f")) & (F.col("block") == F.col("b")))
+    placed = placed.withColumn("at", F.col("base") + F.col("shift") - len(MAGIC)).where("at >= 0")
     following = F.col("at") + len(MAGIC) + F.col("head_bytes") + 4 + F.col("length") + 4
-    return found.select("file", "at", "part", "head", "head_bytes", "length", following.alias("next"))
+    return placed.withColumn("next", following).drop("f", "b", "base", "shift", "block", "size")
 
 
 def reachable(links: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -108,30 +126,38 @@ def reachable(links: DataFrame, max_rounds: int = 60) -> DataFrame:
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
-    """``(record_id, record_type, refers_to, target, digest, payload)`` of all true records.
+    """``(record_id, record_type, refers_to, target, digest, payload_bytes, payload_digest, file, row, complete)`` per true record.
 
-    ``payload`` is binary: the body behind the HTTP header, null for revisits. Parts that no chain reaches are bytes of
-    the record before them and are put back in order.
+    Sizes and digests are those of the payloads as they are read, null for revisits. Parts that no chain reaches are bytes
+    of the record before them: such records are put together from their parts in a second scan.
     """
     found = cut(candidates(spark, path))
-    true = reachable(found.select("file", "at", "next").where("next is not null")).join(found.select("file", "at"), ["file", "at"], "left_semi")
+    links = found.select("file", "at", "next").where("next is not null")
+    true = reachable(links).join(links.select("file", "at"), ["file", "at"], "left_semi")
     marked = found.join(true.withColumn("sound", F.lit(True)), ["file", "at"], "left")
     order = Window.partitionBy("file").orderBy("at")
-    owners = marked.select("file", "at", F.last(F.when(F.col("sound"), F.col("at")), ignorenulls=True).over(order).alias("owner"))
-    stray = owners.where("at <> owner").select("file", "at", "owner")
-    extra = found.select("file", "at", "part").join(stray, ["file", "at"]).groupBy("file", "owner").agg(
-        F.array_sort(F.collect_list(F.struct("at", "part"))).alias("more"))
-    rest = F.aggregate("more", F.lit("").cast("binary"), lambda a, x: F.concat(a, F.lit(MAGIC).cast("binary"), x["part"]))
-    whole = marked.where("sound").join(extra.withColumnRenamed("owner", "at"), ["file", "at"], "left")
-    whole = whole.withColumn("bytes", F.when(F.col("more").isNull(), F.col("part")).otherwise(F.concat("part", rest)))
-    block = F.substring("bytes", F.col("head_bytes") + 5, F.col("length").cast("int"))
-    whole = whole.withColumn("block", block).withColumn("type", _header("WARC-Type"))
-    http = F.locate("\r\n\r\n", F.substring("block", 1, 4096).cast("string"))
-    body = F.substring("block", http + 4, F.octet_length("block"))
+    owners = marked.withColumn("owner", F.last(F.when(F.col("sound"), F.struct("at", "complete")), ignorenulls=True).over(order))
+    torn = cut(owners.where(~F.col("owner.complete")).select("row", "file", "at", F.col("owner.at").alias("owner")))
+    whole = marked.where("sound").drop("sound")
+    if not torn.isEmpty():
+        parts = _parts(spark, path).select("row", "part").join(torn, "row").groupBy("file", "owner").agg(
+            F.array_sort(F.collect_list(F.struct("at", "part"))).alias("all"))
+        magic = F.lit(MAGIC).cast("binary")
+        joined = F.aggregate(F.slice("all", 2, F.size("all")), F.get("all", F.lit(0))["part"], lambda a, x: F.concat(a, magic, x["part"]))
+        mended = _framed(parts.select("file", F.col("owner").alias("at"), joined.alias("part")))
+        mended = mended.select("file", "at", F.col("payload_bytes").alias("bytes"), F.col("payload_digest").alias("sha"))
+        whole = whole.join(mended, ["file", "at"], "left").withColumns({
+            "payload_bytes": F.coalesce("bytes", "payload_bytes"), "payload_digest": F.coalesce("sha", "payload_digest")})
     return whole.select(
-        _header("WARC-Record-ID").alias("record_id"), F.col("type").alias("record_type"), _header("WARC-Refers-To").alias("refers_to"),
+        _header("WARC-Record-ID").alias("record_id"), _header("WARC-Type").alias("record_type"), _header("WARC-Refers-To").alias("refers_to"),
         _header("WARC-Target-URI").alias("target"), F.regexp_replace(_header("WARC-Payload-Digest"), "^sha1:", "").alias("digest"),
-        F.when(F.col("type") == "response", body).alias("payload"))
+        "payload_bytes", "payload_digest", "file", "row", "complete")
+
+
+def with_payloads(spark: SparkSession, path: str, got: DataFrame) -> DataFrame:
+    """What :func:`read` returned with the ``payload`` itself, for records that no magic in their payload has torn."""
+    bodies = _framed(_parts(spark, path)).select("row", "payload")
+    return got.where("complete").join(bodies, "row")
 
 
 def page_number(name: str) -> Column:
@@ -148,7 +174,7 @@ def archive_round_trip(df: DataFrame, path: str | None = None, key: str = "page_
     path = write(records(df, key), path or scratch_path(spark, "warc"))
     got = read(spark, path).select(
         page_number("record_id").alias(key), "record_type", page_number("refers_to").alias("refers_to"),
-        F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha1("payload").alias("payload_digest"))
+        "payload_bytes", "payload_digest")
     got = cut(got)
     full = got.where("record_type = 'response'")
     back = got.where("record_type = 'revisit'").drop("payload_bytes", "payload_digest")
