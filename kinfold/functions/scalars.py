@@ -158,13 +158,17 @@ def first_max(columns: Sequence[str]) -> Column:
 
 
 def complexity(model: Col, params: Column) -> Column:
-    """Comparable size of a parameter set per model family (tie-breaker among equal trials)."""
+    """Comparable size of a parameter set per model family (tie-breaker among equal trials).
+
+    Forest: trees x depth / smallest leaf, unlimited depth counts as 30; boosting: trees x 2^depth; SVM:
+    log10 C + log10(1e5 gamma + 1); MLP: hidden units.
+    """
     p = lambda k: params.getItem(k)
     m = _c(model)
     return (
-        F.when(m == "rf", p("n_estimators") * p("max_depth"))
-        .when(m == "gbt", p("n_estimators") * p("max_depth") * p("learning_rate"))
-        .when(m == "svm", F.log10(F.greatest(p("C"), F.lit(1e-12))))
+        F.when(m == "rf", p("n_estimators") * F.coalesce(p("max_depth"), F.lit(30.0)) / F.greatest(F.coalesce(p("min_leaf"), F.lit(1.0)), F.lit(1.0)))
+        .when(m == "gbt", p("n_estimators") * F.pow(F.lit(2.0), p("max_depth")))
+        .when(m == "svm", F.log10(F.greatest(p("C"), F.lit(1e-12))) + F.log10(p("gamma") * 1e5 + 1.0))
         .when(m == "mlp", p("hidden_1") + F.coalesce(p("hidden_2"), F.lit(0.0)))
     )
 

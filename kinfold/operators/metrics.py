@@ -352,9 +352,9 @@ def t_975(df: Column) -> Column:
 
 
 def mean_interval(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
-    """Mean, sample sd and 95 % t interval over the rows of a key."""
+    """Mean, sample sd and 95 % t interval over the rows of a key; a single value is its own interval."""
     agg = df.groupBy(*keys).agg(F.avg(value).alias("mean"), F.stddev_samp(value).alias("sd"), F.count(value).alias("n"))
-    half = F.when(F.col("n") > 1, t_975(F.col("n") - 1) * F.col("sd") / F.sqrt(F.col("n").cast("double")))
+    half = F.when(F.col("n") > 1, t_975(F.col("n") - 1) * F.col("sd") / F.sqrt(F.col("n").cast("double"))).when(F.col("n") == 1, 0.0)
     return agg.withColumns({"ci_low": F.col("mean") - half, "ci_high": F.col("mean") + half})
 
 

@@ -37,10 +37,15 @@ def class_strata(df: DataFrame, keys: Sequence[str], group: str, true: str, bloc
         "predicted": first_max(scores), "stratum_id": F.concat_ws("|", group, true)})
 
 
-def consensus(group_scores: DataFrame, keys: Sequence[str], group: str, repeats: int, threshold: float = 0.5) -> DataFrame:
-    """Group scores over repeats; the rows per key are the repeats, a configured few."""
+def consensus(group_scores: DataFrame, keys: Sequence[str], group: str, repeats: int, threshold: float = 0.5,
+              prediction: str | None = None) -> DataFrame:
+    """Group scores over repeats; the rows per key are the repeats, a configured few.
+
+    Votes are the stored ``prediction`` of each repeat, made with its fold's own threshold, where that column is
+    named; else the score at ``threshold``.
+    """
     ids = [*keys, group]
-    vote = (F.col("score") >= threshold).cast("double")
+    vote = (F.col(prediction) if prediction else F.col("score") >= threshold).cast("double")
     out = group_scores.groupBy(*ids).agg(
         F.min("target").alias("target"), F.min("block").alias("block"), F.percentile("score", F.lit(0.5)).alias("score"),
         F.avg("score").alias("mean_score"), F.stddev_samp("score").alias("score_sd"), F.avg(vote).alias("vote_fraction"),
@@ -138,7 +143,7 @@ def trial_budget(trials: DataFrame, keys: Sequence[str], budget: int) -> DataFra
     return trials.groupBy(*keys).agg(
         count("COMPLETE").alias("complete"), count("PRUNED").alias("pruned"), count("FAIL").alias("failed"),
         F.count("*").alias("total_trials"), F.sum("seconds").alias("total_seconds"),
-        (F.count("*") == budget).alias("exact_budget"))
+        ((count("COMPLETE") == budget) & (count("PRUNED") == 0) & (count("FAIL") == 0)).alias("exact_budget"))
 
 
 def error_audit(df: DataFrame, keys: Sequence[str], true: str, predicted: str, k: int) -> DataFrame:

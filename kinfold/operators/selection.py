@@ -38,7 +38,8 @@ def rank_multiclass(metrics: DataFrame, tolerance: float = 0.01) -> DataFrame:
     """Full ranking: candidates within tolerance of the best macro-F1 first, then the tie-break metrics."""
     best = metrics.agg(F.max("macro_f1")).scalar()
     near = F.col("macro_f1") >= best - F.lit(tolerance)
-    order = [F.col("near_best").desc(), *[F.col(c).desc() for c in MULTICLASS_ORDER], F.col("fold_sd"), F.col("model")]
+    order = [F.col("near_best").desc(), *[F.coalesce(F.col(c), F.lit(0.0)).desc() for c in MULTICLASS_ORDER], F.col("fold_sd"),
+             F.col("macro_f1").desc(), F.col("model")]
     # one row per model family
     return metrics.withColumn("near_best", near).withColumn(
         "selection_rank", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(*order)))
@@ -51,14 +52,19 @@ def choose_threshold(grid: DataFrame, keys: Sequence[str], min_recall: float = 0
     pool = grid.withColumn("_ok", ok).join(any_ok, list(keys)).where(F.col("_ok") | ~F.col("_any"))
     chosen = best_row(pool, keys, F.col("f1").desc(), F.col("balanced_accuracy").desc(),
                       F.round(F.abs(F.col("threshold") - 0.5), 9), F.col("threshold"))
-    return chosen.withColumn("threshold_status", F.when(F.col("_any"), "constraint_met").otherwise("constraint_not_met")).drop("_ok", "_any")
+    return chosen.withColumn("threshold_status", F.when(F.col("_any"), "constraints_met").otherwise("constraint_not_met")).drop("_ok", "_any")
 
 
-def choose_trial(trials: DataFrame, keys: Sequence[str], tolerance: float = 0.005) -> DataFrame:
-    """Completed trials; converged first where any; AUC within tolerance; AP, fold sd, complexity, number."""
+def choose_trial(trials: DataFrame, keys: Sequence[str], tolerance: float = 0.005, iterative: Sequence[str] = ("mlp",),
+                 family: str = "model") -> DataFrame:
+    """Completed trials; AUC within tolerance; AP, fold sd, complexity, number.
+
+    Of ``iterative`` families the converged trials only, where there are any; other families have no such rule.
+    """
     done = trials.where("state = 'COMPLETE'")
-    conv = done.groupBy(*keys).agg(F.bool_or("converged").alias("_any"))
-    pool = done.join(conv, list(keys)).where(F.col("converged") | ~F.col("_any")).drop("_any")
+    settled = F.col("converged") | ~F.col(family).isin(*iterative)
+    conv = done.groupBy(*keys).agg(F.bool_or(settled).alias("_any"))
+    pool = done.join(conv, list(keys)).where(settled | ~F.col("_any")).drop("_any")
     near = within_tolerance(pool, keys, "roc_auc", tolerance)
     return best_row(near, keys, F.col("average_precision").desc(), F.col("fold_sd"), F.col("complexity"), F.col("trial_number"))
 

@@ -80,7 +80,9 @@ def p6(spark, sf):
         "missing_fraction <= 0.6").select("record_id", r6("missing_fraction").alias("missing_fraction"))
 
 
-@query("p7_column_contract")
+@query("p7_column_contract", """
+SELECT 'l_orderkey' AS "column", TRUE AS present, count(l_orderkey) AS filled FROM lineitem
+UNION ALL SELECT 'l_quantity', TRUE, count(l_quantity) FROM lineitem UNION ALL SELECT 'l_missing', FALSE, 0""")
 def p7(spark, sf):
     return column_contract(table(spark, sf, "lineitem"), ["l_orderkey", "l_quantity", "l_missing"])
 

@@ -313,7 +313,7 @@ def multiclass_candidates(spark, sf):
     st = cut(strata(spark, sf))
     conf = M.class_metrics(M.confusion(st, ["model"], "true_code", "predicted", 3), 3, "seen", CLASSES)
     by_rep = M.class_metrics(M.confusion(st, ["model", "repeat"], "true_code", "predicted", 3), 3, "seen", CLASSES)
-    fold_sd = by_rep.groupBy("model").agg(F.stddev_samp("macro_f1").alias("fold_sd"))
+    fold_sd = by_rep.groupBy("model").agg(F.stddev_pop("macro_f1").alias("fold_sd"))
     return conf.select("model", "macro_f1", "balanced_accuracy", F.least(*[f"recall_{c}" for c in CLASSES]).alias("min_recall")).join(
         M.ovr_auc(st, ["model"], "true_code", S3), "model").join(fold_sd, "model")
 
@@ -322,7 +322,7 @@ CANDIDATES = MULTI.format(key="model") + "," + OVR.format(key="model", src="stra
  x2 AS (SELECT model, repeat, true_code, predicted FROM strata_pred),
  per2 AS (SELECT model, repeat, c, count(*) FILTER (true_code = c AND predicted = c) AS tp, count(*) FILTER (true_code = c) AS s, count(*) FILTER (predicted = c) AS d
   FROM x2, (SELECT range AS c FROM range(3)) GROUP BY 1, 2, 3),
- fsd AS (SELECT model, stddev_samp(mf) AS fold_sd FROM (SELECT model, repeat, avg(2.0::DOUBLE * tp / (s + d)) AS mf FROM per2 WHERE s + d > 0 GROUP BY 1, 2) GROUP BY 1),
+ fsd AS (SELECT model, stddev_pop(mf) AS fold_sd FROM (SELECT model, repeat, avg(2.0::DOUBLE * tp / (s + d)) AS mf FROM per2 WHERE s + d > 0 GROUP BY 1, 2) GROUP BY 1),
  cand AS (SELECT model, macro_f1, balanced_accuracy, min_recall, ovr_auc, fold_sd FROM mm JOIN om USING (model) JOIN fsd USING (model))
 """
 
@@ -330,7 +330,7 @@ CANDIDATES = MULTI.format(key="model") + "," + OVR.format(key="model", src="stra
 @query("k2_multiclass_ranking", with_views("strata_pred", "WITH " + CANDIDATES + """
 SELECT model, round(macro_f1, 6) AS macro_f1, round(balanced_accuracy, 6) AS balanced_accuracy, round(min_recall, 6) AS min_recall, round(ovr_auc, 6) AS ovr_auc, round(fold_sd, 6) AS fold_sd,
  macro_f1 >= (SELECT max(macro_f1) FROM cand) - 0.01 AS near_best,
- CAST(row_number() OVER (ORDER BY macro_f1 >= (SELECT max(macro_f1) FROM cand) - 0.01 DESC, balanced_accuracy DESC, min_recall DESC, ovr_auc DESC, fold_sd, model) AS INTEGER) AS selection_rank FROM cand"""))
+ CAST(row_number() OVER (ORDER BY macro_f1 >= (SELECT max(macro_f1) FROM cand) - 0.01 DESC, balanced_accuracy DESC, min_recall DESC, ovr_auc DESC, fold_sd, macro_f1 DESC, model) AS INTEGER) AS selection_rank FROM cand"""))
 def k2(spark, sf):
     return rounded(K.rank_multiclass(multiclass_candidates(spark, sf)), ["macro_f1", "balanced_accuracy", "min_recall", "ovr_auc", "fold_sd"])
 
@@ -359,7 +359,7 @@ trials AS (SELECT CASE p_partkey % 4 WHEN 0 THEN 'gbt' WHEN 1 THEN 'mlp' WHEN 2
 
 @query("k3_best_trial", "WITH " + TRIALS + """,
  d AS (SELECT *, bool_or(converged) OVER (PARTITION BY model, fold) AS anyc FROM trials WHERE state = 'COMPLETE'),
- c AS (SELECT *, max(roc_auc) OVER (PARTITION BY model, fold) AS best FROM d WHERE converged OR NOT anyc),
+ c AS (SELECT *, max(roc_auc) OVER (PARTITION BY model, fold) AS best FROM d WHERE model <> 'mlp' OR converged OR NOT anyc),
  r AS (SELECT *, row_number() OVER (PARTITION BY model, fold ORDER BY average_precision DESC, fold_sd, complexity, trial_number) AS rn FROM c WHERE roc_auc >= best - 0.005::DOUBLE)
 SELECT model, fold, trial_number, round(roc_auc, 6) AS roc_auc FROM r WHERE rn = 1""")
 def k3(spark, sf):
@@ -376,7 +376,7 @@ WITH g AS (SELECT unnest([{", ".join(f"{g!r}::DOUBLE" for g in GRID)}]) AS thres
  m AS (SELECT *, coalesce(2.0::DOUBLE * tp / nullif(2 * tp + fp + fn, 0), 0) AS f1, tp * 1.0::DOUBLE / (tp + fn) AS recall, tn * 1.0::DOUBLE / (tn + fp) AS specificity FROM c),
  o AS (SELECT *, recall >= 0.55 AND specificity >= 0.55 AS ok, bool_or(recall >= 0.55 AND specificity >= 0.55) OVER (PARTITION BY model, repeat) AS anyok FROM m),
  r AS (SELECT *, row_number() OVER (PARTITION BY model, repeat ORDER BY f1 DESC, (recall + specificity) / 2 DESC, round(abs(threshold - 0.5), 9), threshold) AS rn FROM o WHERE ok OR NOT anyok)
-SELECT model, repeat, threshold, round(f1, 6) AS f1, CASE WHEN anyok THEN 'constraint_met' ELSE 'constraint_not_met' END AS threshold_status FROM r WHERE rn = 1"""))
+SELECT model, repeat, threshold, round(f1, 6) AS f1, CASE WHEN anyok THEN 'constraints_met' ELSE 'constraint_not_met' END AS threshold_status FROM r WHERE rn = 1"""))
 def k4(spark, sf):
     grid = M.grid_metrics(group_scores(spark, sf), ["model", "repeat"], "target", "score", GRID)
     return K.choose_threshold(grid, ["model", "repeat"]).select("model", "repeat", "threshold", r6("f1").alias("f1"), "threshold_status")

@@ -27,9 +27,11 @@ def a11(spark, sf):
 
 @query("a12_consensus", with_views("group_oof", """
 SELECT model, group_id, min(target) AS target, min(block) AS block, round(median(score), 6) AS score, round(avg(score), 6) AS mean_score, round(stddev_samp(score), 6) AS score_sd,
- round(avg(CAST(score >= 0.5 AS INTEGER)), 6) AS vote_fraction, count(DISTINCT repeat) AS repeats, count(DISTINCT repeat) = 3 AS complete, CAST(avg(CAST(score >= 0.5 AS INTEGER)) >= 0.5 AS INTEGER) AS prediction FROM group_oof GROUP BY 1, 2"""))
+ round(avg(CAST(score >= 0.44::DOUBLE + repeat * 0.03::DOUBLE AS INTEGER)), 6) AS vote_fraction, count(DISTINCT repeat) AS repeats, count(DISTINCT repeat) = 3 AS complete,
+ CAST(avg(CAST(score >= 0.44::DOUBLE + repeat * 0.03::DOUBLE AS INTEGER)) >= 0.5 AS INTEGER) AS prediction FROM group_oof GROUP BY 1, 2"""))
 def a12(spark, sf):
-    return rounded(R.consensus(group_scores(spark, sf), ["model"], "group_id", 3), ["score", "mean_score", "score_sd", "vote_fraction"])
+    stored = group_scores(spark, sf).withColumn("prediction", F.col("score") >= F.lit(0.44) + F.col("repeat") * F.lit(0.03))
+    return rounded(R.consensus(stored, ["model"], "group_id", 3, prediction="prediction"), ["score", "mean_score", "score_sd", "vote_fraction"])
 
 
 @query("a13_mean_over_repeats", with_views("class_oof", """
@@ -112,7 +114,7 @@ def a19(spark, sf):
 
 
 @query("a20_trial_budget", "WITH " + TRIALS + """
-SELECT model, fold, count(*) FILTER (state = 'COMPLETE') AS complete, count(*) FILTER (state = 'PRUNED') AS pruned, count(*) FILTER (state = 'FAIL') AS failed, count(*) AS total_trials, round(sum(seconds), 4) AS total_seconds, count(*) = 100 AS exact_budget FROM trials GROUP BY 1, 2""")
+SELECT model, fold, count(*) FILTER (state = 'COMPLETE') AS complete, count(*) FILTER (state = 'PRUNED') AS pruned, count(*) FILTER (state = 'FAIL') AS failed, count(*) AS total_trials, round(sum(seconds), 4) AS total_seconds, count(*) FILTER (state = 'COMPLETE') = 100 AND count(*) FILTER (state = 'PRUNED') = 0 AND count(*) FILTER (state = 'FAIL') = 0 AS exact_budget FROM trials GROUP BY 1, 2""")
 def a20(spark, sf):
     return R.trial_budget(trials(spark, sf), ["model", "fold"], 100).withColumn("total_seconds", F.round("total_seconds", 4))
 

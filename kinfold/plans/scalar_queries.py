@@ -143,13 +143,14 @@ def trial_params(spark, sf):
         "p_partkey", model.alias("model"),
         F.to_json(F.create_map(
             F.lit("n_estimators"), (F.col("p_size") * 10).cast("double"), F.lit("max_depth"), (F.col("p_size") % 7 + 2).cast("double"),
-            F.lit("learning_rate"), F.lit(0.125), F.lit("C"), (F.col("p_retailprice") / 100).cast("double"),
+            F.lit("min_leaf"), (F.col("p_size") % 4).cast("double"), F.lit("gamma"), (F.col("p_size") / 1000).cast("double"), F.lit("C"), (F.col("p_retailprice") / 100).cast("double"),
             F.lit("hidden_1"), (F.col("p_size") + 8).cast("double"))).alias("params_json"))
 
 
 @query("f14_complexity", """
-SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN p_size * 10 * (p_size % 7 + 2) * 0.125::DOUBLE WHEN 1 THEN p_size + 8
- WHEN 2 THEN p_size * 10 * (p_size % 7 + 2) ELSE round(log10(p_retailprice / 100), 6) END AS complexity FROM part""")
+SELECT p_partkey, round(CASE p_partkey % 4 WHEN 0 THEN p_size * 10 * power(2.0::DOUBLE, p_size % 7 + 2) WHEN 1 THEN (p_size + 8)::DOUBLE
+ WHEN 2 THEN p_size * 10 * (p_size % 7 + 2) / greatest(p_size % 4, 1)::DOUBLE
+ ELSE log10(p_retailprice / 100) + log10(p_size / 1000::DOUBLE * 1e5 + 1) END, 6) AS complexity FROM part""")
 def f14(spark, sf):
     rows = trial_params(spark, sf).withColumn("params", F.from_json("params_json", "map<string,double>"))
     return rows.select("p_partkey", r6(S.complexity("model", F.col("params"))).alias("complexity"))
@@ -192,8 +193,8 @@ def f18(spark, sf):
 
 
 @query("f19_sign_agreement", with_views("attr", """
-SELECT record_id, feature, sign(a.shap) = sign(b.shap) AND sign(a.shap) <> 0 AS agree
-FROM attr a JOIN attr b USING (record_id, feature, class) WHERE a.repeat = 1 AND b.repeat = 2 AND class = 'F'"""))
+SELECT record_id, feature, sign(a) = sign(b) AND sign(a) <> 0 AS agree
+FROM (SELECT record_id, feature, max(shap) FILTER (repeat = 1) AS a, max(shap) FILTER (repeat = 2) AS b FROM attr WHERE class = 'F' GROUP BY 1, 2)"""))
 def f19(spark, sf):
     one = attr(spark, sf).where("class = 'F'").groupBy("record_id", "feature").agg(
         F.max(F.when(F.col("repeat") == 1, F.col("shap"))).alias("a"),

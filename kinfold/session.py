@@ -29,10 +29,12 @@ def local_session(cpus: str = "8", app: str = "kinfold", **conf: str) -> SparkSe
 def shared_dir(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 
-    A cluster sets it; only where it is unset (local tests) a temporary folder is made.
+    A cluster must set it. Only a local session, whose executors are the driver, gets a temporary folder.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         configured = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", configured)
     return configured

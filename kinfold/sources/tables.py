@@ -18,12 +18,10 @@ def require_columns(df: DataFrame, required: Sequence[str], label: str) -> DataF
 
 
 def column_contract(df: DataFrame, required: Sequence[str]) -> DataFrame:
-    """The same contract as rows ``(column, present)``, for a ledger."""
-    have = F.array(*[F.lit(c) for c in df.columns])
-    wanted = F.array(*[F.lit(c) for c in required])
-    seen = df.limit(1).agg(F.count("*").alias("rows_seen"))
-    return seen.select(F.explode(wanted).alias("column"), "rows_seen").select(
-        "column", F.array_contains(have, F.col("column")).alias("present"))
+    """The same contract as rows ``(column, present, filled)``, for a ledger; ``filled`` counts values that are not null."""
+    filled = lambda c: F.count(F.col(c)) if c in df.columns else F.count(F.lit(None))
+    cells = [F.struct(F.lit(c).alias("column"), F.lit(c in df.columns).alias("present"), filled(c).alias("filled")) for c in required]
+    return df.agg(F.array(*cells).alias("cells")).select(F.explode("cells").alias("cell")).select("cell.*")
 
 
 def read_table(spark: SparkSession, path: str, columns: Sequence[str] | None = None,

@@ -265,3 +265,28 @@ def test_cut_survives_relayout(spark):
     df = spark.range(100).withColumn("v", F.rand())
     once = cut(df)
     assert once.agg(F.sum("v")).first() == once.repartition(3).agg(F.sum("v")).first() or abs(once.agg(F.sum("v")).first()[0] - once.repartition(3).agg(F.sum("v")).first()[0]) < 1e-9
+
+
+def test_formulas_by_hand(spark):
+    """One hand-computed case per rule: complexity, trial choice, budget, interval of one value, vote of predictions."""
+    from pyspark.sql import functions as F
+
+    from kinfold.functions.scalars import complexity
+    from kinfold.operators import metrics, rollup, selection
+
+    params = spark.createDataFrame([("rf", {"n_estimators": 300.0, "max_depth": 10.0, "min_leaf": 4.0}), ("rf", {"n_estimators": 10.0}),
+                                    ("gbt", {"n_estimators": 200.0, "max_depth": 3.0}), ("svm", {"C": 100.0, "gamma": 1e-5}),
+                                    ("mlp", {"hidden_1": 32.0, "hidden_2": 16.0})], "model string, p map<string,double>")
+    got = [r[0] for r in params.select(complexity("model", F.col("p"))).collect()]
+    assert got[:3] == [750.0, 300.0, 1600.0] and abs(got[3] - 2.30103) < 1e-5 and got[4] == 48.0
+    trials = spark.createDataFrame([
+        ("rf", 1, "COMPLETE", False, 0.9, 0.5, 0.1, 1.0, 1.0), ("rf", 2, "COMPLETE", True, 0.8, 0.9, 0.1, 1.0, 1.0),
+        ("mlp", 3, "COMPLETE", False, 0.9, 0.5, 0.1, 1.0, 1.0), ("mlp", 4, "COMPLETE", True, 0.8, 0.9, 0.1, 1.0, 1.0), ("mlp", 5, "FAIL", True, 0.99, 0.9, 0.1, 1.0, 1.0),
+    ], "model string, trial_number int, state string, converged boolean, roc_auc double, average_precision double, fold_sd double, complexity double, seconds double")
+    assert {r["model"]: r["trial_number"] for r in selection.choose_trial(trials, ["model"]).collect()} == {"rf": 1, "mlp": 4}
+    assert {r["model"]: r["exact_budget"] for r in rollup.trial_budget(trials, ["model"], 2).collect()} == {"rf": True, "mlp": False}
+    one = metrics.mean_interval(spark.createDataFrame([("a", 2.5)], "k string, v double"), ["k"], "v").first()
+    assert (one["mean"], one["ci_low"], one["ci_high"]) == (2.5, 2.5, 2.5)
+    votes = spark.createDataFrame([("g", 1, 1, "b", 0.6, 0), ("g", 2, 1, "b", 0.7, 0), ("g", 3, 1, "b", 0.2, 1)], "group string, repeat int, target int, block string, score double, prediction int")
+    agreed = rollup.consensus(votes, [], "group", 3, prediction="prediction").first()
+    assert abs(agreed["vote_fraction"] - 1 / 3) < 1e-12 and agreed["prediction"] == 0
