@@ -227,3 +227,17 @@ def test_pipeline_stages_one_by_one(spark):
 def test_stages_take_an_empty_table(spark, name):
     none = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
     assert dict(corpus_pipeline.STAGES)[name](spark, none, "").count() == 0
+
+
+def test_edit_distance_is_levenshteins():
+    rng = random.Random(9)
+    for _ in range(2000):
+        a, b = ("".join(rng.choice("abc é") for _ in range(rng.randint(0, 12))) for _ in range(2))
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+        assert lines.edit_distance(a, b, 99) == row[-1]
+        most = rng.randint(0, 6)
+        assert (lines.edit_distance(a, b, most) <= most) == (row[-1] <= most)
