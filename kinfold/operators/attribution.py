@@ -19,8 +19,8 @@ def group_by_repeat(df: DataFrame) -> DataFrame:
         F.min("block").alias("block"), F.avg("imputed").alias("imputed")])
 
 
-def global_importance(df: DataFrame, replicates: int, seed: int) -> DataFrame:
-    """Importance and stability per feature.
+def global_importance(df: DataFrame, replicates: int, seed: int, top: int = 10) -> DataFrame:
+    """Importance and stability per feature; ``top`` is the rank up to which a repeat counts as one at the top.
 
     Records are reduced to (feature, repeat, group) once and written; everything after works on that.
     """
@@ -28,7 +28,7 @@ def global_importance(df: DataFrame, replicates: int, seed: int) -> DataFrame:
     imp = per_repeat.groupBy("feature", "repeat").agg(F.avg(F.abs("shap")).alias("imp"))
     ranks = W.importance_ranks(imp, ["repeat"], "feature", "imp")
     rank_stats = ranks.groupBy("feature").agg(F.avg("rank").alias("mean_rank"), F.stddev_samp("rank").alias("rank_sd"),
-                                              F.count_if(F.col("rank") <= 3).alias("top_repeat_count"))
+                                              F.count_if(F.col("rank") <= top).alias("top_repeat_count"))
     rho = M.spearman(per_repeat, ["feature", "repeat"], "completed", "shap")
     sign = F.coalesce(F.signum("rho"), F.lit(0.0))
     # sign 0 counts as a sign of its own

@@ -186,16 +186,21 @@ def label_orders(n: int) -> Column:
 def exact_cosine_permutation(df: DataFrame, keys: Sequence[str], label: str, left: str, right: str, n: int) -> DataFrame:
     """Cosine of two vectors per key against every order of one vector's labels.
 
-    A key's vector has ``n`` components, so it fits an array; the identity order counts through the tolerance.
+    A key's vector has at most ``n`` components (8 at most), so it fits an array; a longer one is an error. Every key is
+    permuted over its own number of components. The identity order counts through the tolerance.
     """
     packed = df.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(label, left, right))).alias("_v"))
-    arrays = packed.where(F.size("_v") == n).select(
+    arrays = packed.select(
         *keys, F.transform("_v", lambda s: s[left]).alias("_l"), F.transform("_v", lambda s: s[right]).alias("_r"))
     dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, v: s + v)
     norm = F.sqrt(dot(F.col("_l"), F.col("_l")) * dot(F.col("_r"), F.col("_r")))
     base = arrays.withColumns({"_norm": norm, "observed": dot(F.col("_l"), F.col("_r")) / norm})
-    # small literal array: n! orders, at most 40,320
-    every = base.withColumn("_o", F.explode(label_orders(n)))
+    # small literal arrays: n! orders, at most 40,320
+    size = F.size("_r")
+    orders = F.raise_error(F.lit(f"a vector has more than {n} components")).cast("array<array<int>>")
+    for k in range(n, 0, -1):
+        orders = F.when(size == k, label_orders(k)).otherwise(orders)
+    every = base.withColumn("_o", F.explode(orders))
     moved = F.transform("_o", lambda i: F.element_at("_r", i + 1))
     null = every.select(*keys, "observed", (dot(F.col("_l"), moved) / F.col("_norm")).alias("rho"))
     return null.groupBy(*keys).agg(F.max("observed").alias("cosine"), permutation_p(null, F.col("observed")).alias("exact_p"), F.count("*").alias("orders"))

@@ -28,7 +28,7 @@ NUM = ["mean_abs", "mean_abs_low", "mean_abs_high", "mean_rank", "rank_sd", "dir
 
 
 def importance(spark, sf):
-    return A.global_importance(attr(spark, sf).where("class = 'P'"), REPS, 7)
+    return A.global_importance(attr(spark, sf).where("class = 'P'"), REPS, 7, top=3)
 
 
 @query("x4_global_importance", with_views("attr", f"WITH {GLOBAL} SELECT feature, " + ", ".join(f"round({c}, 6) AS {c}" for c in NUM) + ", top_repeat_count, ci_excludes_zero, new_rank FROM gi"))

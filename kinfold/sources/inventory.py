@@ -28,7 +28,7 @@ def _hash_files(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield batch
 
 
-def inventory(spark: SparkSession, root: str, files_per_task: int = 16) -> DataFrame:
+def inventory(spark: SparkSession, root: str) -> DataFrame:
     """``(path, bytes, sha256)`` with paths relative to ``root``.
 
     Only path and length come from the listing; contents are streamed through the hash in blocks on
