@@ -154,7 +154,9 @@ def fit(train: DataFrame, family: str, params: dict, features: Sequence[str], la
         stages = [assemble, est if classes == 2 else OneVsRest(classifier=est, labelCol="label", weightCol="weight")]
     elif family == "svm":
         n = int(p.get("components", 32))
-        est = LinearSVC(labelCol="label", weightCol="weight", regParam=1.0 / (float(p["C"]) * 100), maxIter=50)
+        # the loss is a weighted mean here and a weighted sum where C is defined
+        total = float(rows.agg(F.sum("weight")).first()[0] or 1.0)
+        est = LinearSVC(labelCol="label", weightCol="weight", regParam=1.0 / (float(p["C"]) * total), maxIter=50)
         stages = [standardizer(rows, features), fourier_features(len(features), n, float(p["gamma"]), seed),
                   VectorAssembler(inputCols=[f"rff_{j}" for j in range(n)], outputCol="features"),
                   est if classes == 2 else OneVsRest(classifier=est, labelCol="label", weightCol="weight")]
