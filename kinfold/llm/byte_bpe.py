@@ -26,6 +26,7 @@ from kinfold.llm.vocabulary import byte_encoding, ranks
 RANKS = "byte_bpe_multi_50k.tiktoken"
 CHUNK = 32_768
 OVERLAP = 1_024
+ROWS_OUT = 512
 
 
 class ByteEncoder:
@@ -64,7 +65,8 @@ def _ids(name: str):
     def ids(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         own = encoder(name)
         for texts in batches:
-            yield pd.Series([own.ids(t) if t else b"" for t in texts], dtype=object)
+            for low in range(0, len(texts), ROWS_OUT):  # short batches go back, so that few ids are held at once
+                yield pd.Series([own.ids(t) if t else b"" for t in texts.iloc[low:low + ROWS_OUT]], dtype=object)
 
     return ids
 
@@ -140,6 +142,7 @@ def decode(ids: str, name: str = RANKS) -> Column:
     def raw(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         own = encoder(name)
         for found in batches:
-            yield pd.Series([None if x is None else own.text(bytes(x)) for x in found], dtype=object)
+            for low in range(0, len(found), ROWS_OUT):
+                yield pd.Series([None if x is None else own.text(bytes(x)) for x in found.iloc[low:low + ROWS_OUT]], dtype=object)
 
     return raw(F.col(ids))
