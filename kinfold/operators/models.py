@@ -328,8 +328,9 @@ def calibrated_validation(prepared: DataFrame, folds: int, family: str, params:
                           classes: int, seed: int) -> DataFrame:
     """Out-of-fold class scores, raw and temperature-calibrated.
 
-    The temperature of a fold is fitted on the out-of-fold scores of the other folds, whose models never
-    saw the rows they scored, so no validation row takes part in its own calibration.
+    The temperature of a fold is fitted on the out-of-fold scores of the other folds. Their models never saw the rows they
+    scored, but they were trained on this fold's rows, labels included: the temperature is not free of them. A strict
+    version scores the other folds with models trained without this fold too.
     """
     from kinfold.functions.scalars import temper
 
