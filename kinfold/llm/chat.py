@@ -19,7 +19,7 @@ import re
 from dataclasses import dataclass
 from typing import Any, Callable, Iterable, Iterator
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame
 
 #: Marks turns as <|im_start|>role\\n text <|im_end|>\\n; the assistant's text is generated.
 TURNS = (

@@ -1,7 +1,6 @@
 """Deduplication, mixing, neighbours, archives and the pipeline against brute force on small tables."""
 
 import collections
-import difflib
 import hashlib
 import random
 import re
