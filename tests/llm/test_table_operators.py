@@ -128,6 +128,28 @@ def test_line_groups_equal_brute_force(spark):
     assert got == want
 
 
+@pytest.mark.parametrize("words, changes", [((6, 14), 1), ((15, 30), 2), ((40, 60), 3)])
+def test_near_lines_are_found_by_bands(spark, words, changes):
+    rng = random.Random(11)
+    pairs = []
+    while len(pairs) < 100:
+        a = text(rng, rng.randint(*words))
+        b = changed(rng, a, changes)
+        most = int(max(len(a), len(b)) * 0.2 + 1e-9)
+        if len(a) >= 20 and a != b and lines.edit_distance(a, b, most) <= most:
+            pairs.append((a, b))
+    df = spark.createDataFrame([(i, a) for i, (a, _) in enumerate(pairs)] + [(1000 + i, b) for i, (_, b) in enumerate(pairs)], "doc_id long, text string")
+    removed = {r["doc_id"]: r["n_removed"] for r in lines.dedupe_lines(df, search="bands").select("row.doc_id", "n_removed").collect()}
+    assert sum(removed[1000 + i] for i in range(100)) >= 97 and not any(removed[i] for i in range(100))
+
+
+def test_common_grams_bound_the_distance():
+    rng = random.Random(12)
+    xs, ys = (["".join(rng.choice("abc é") for _ in range(rng.randint(0, 12))) for _ in range(1000)] for _ in range(2))
+    most = np.array([rng.randint(0, 6) for _ in xs])
+    assert all(ok or lines.edit_distance(x, y, m) > m for x, y, m, ok in zip(xs, ys, most.tolist(), lines.alike(xs, ys, most)))
+
+
 def test_mix_meets_its_rules(spark):
     rng = random.Random(3)
     rows = [(i, text(rng, rng.randint(0, 60)), rng.choice(["a", "a", "a", "b", "c", None])) for i in range(600)] + [(700, None, "a"), (701, "", None), (5, "x y", "d")]
