@@ -143,6 +143,13 @@ def test_near_lines_are_found_by_bands(spark, words, changes):
     assert sum(removed[1000 + i] for i in range(100)) >= 97 and not any(removed[i] for i in range(100))
 
 
+def test_short_lines_go_where_equal(spark):
+    docs = spark.createDataFrame(
+        [(1, "Next!\nown words of one\n--\n\n--"), (2, "next\nnexa\n--\né"), (3, "é\nx\nX\n")], "doc_id long, text string").withColumn("n_chars", F.length("text").cast("long"))
+    kept = {r["doc_id"]: r["text"] for r in corpus_pipeline.line_dedup(spark, docs, "").collect()}
+    assert kept == {1: "Next!\nown words of one\n--\n\n--", 2: "nexa\n--\né", 3: "x\n"}
+
+
 def test_common_grams_bound_the_distance():
     rng = random.Random(12)
     xs, ys = (["".join(rng.choice("abc é") for _ in range(rng.randint(0, 12))) for _ in range(1000)] for _ in range(2))
