@@ -70,9 +70,10 @@ def _parts(spark: SparkSession, path: str) -> DataFrame:
 
 def _framed(df: DataFrame) -> DataFrame:
     """Adds what the header of ``part`` says and, of its payload as far as the part holds it, size and digest."""
-    # headers are ASCII lines, so characters and bytes agree up to the blank line
-    text = F.substring("part", 1, 65_536).cast("string")
-    df = df.withColumn("head", F.when(F.locate("\r\n\r\n", text) > 0, F.substring_index(text, "\r\n\r\n", 1)))
+    # most headers end early; one with a long url is looked for in the whole part
+    text, whole = F.substring("part", 1, 65_536).cast("string"), F.col("part").cast("string")
+    until = lambda t: F.when(F.locate("\r\n\r\n", t) > 0, F.substring_index(t, "\r\n\r\n", 1))
+    df = df.withColumn("head", F.coalesce(until(text), F.when(F.octet_length("part") > 65_536, until(whole))))
     length = F.regexp_extract("head", r"(?:^|\r\n)Content-Length: (\d{1,15})(?:\r|$)", 1)
     df = df.withColumn("length", F.nullif(length, F.lit("")).cast("long")).withColumn("head_bytes", F.octet_length("head"))
     df = df.withColumn("complete", F.octet_length("part") >= F.col("head_bytes") + 4 + F.col("length"))
@@ -88,16 +89,17 @@ def _payload() -> Column:
 
 
 def candidates(spark: SparkSession, path: str) -> DataFrame:
-    """Every place with a magic: ``(file, at, next, row)``, its header and what :func:`_framed` found, without the bytes.
+    """Every place with a magic: ``(file, at, next, end, row)``, its header and what :func:`_framed` found, without the bytes.
 
-    ``at`` is its offset and ``next`` that of its successor, null where no header follows. An empty archive gives no rows.
+    ``at`` is its offset, ``next`` that of its successor, null where no header follows, and ``end`` the file's size. An empty archive gives no rows.
     """
     size = F.octet_length("part") + len(MAGIC)
     seen = _framed(_parts(spark, path)).withColumn("size", size).drop("part", "payload")
     seen = cut(seen)
     blocks = seen.groupBy("file", "block").agg(F.sum("size").alias("bytes"))
     before = F.coalesce(F.sum("bytes").over(Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    blocks = blocks.select(F.col("file").alias("f"), F.col("block").alias("b"), before.alias("base"))
+    end = F.sum("bytes").over(Window.partitionBy("file")) - len(MAGIC)  # no magic follows the last part
+    blocks = blocks.select(F.col("file").alias("f"), F.col("block").alias("b"), before.alias("base"), end.alias("end"))
     inside = Window.partitionBy("file", "block").orderBy("row").rowsBetween(Window.unboundedPreceding, -1)
     seen = seen.withColumn("shift", F.coalesce(F.sum("size").over(inside), F.lit(0)))
     placed = seen.join(blocks, (F.col("file") == F.col("f")) & (F.col("block") == F.col("b")))
@@ -129,11 +131,17 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     """``(record_id, record_type, refers_to, target, digest, payload_bytes, payload_digest, file, row, complete)`` per true record.
 
     Sizes and digests are those of the payloads as they are read, null for revisits. Parts that no chain reaches are bytes
-    of the record before them: such records are put together from their parts in a second scan.
+    of the record before them: such records are put together from their parts in a second scan. Headers may be of any length.
+    A file whose chain does not lead to its end is refused, since pages behind the break would be missing.
     """
     found = cut(candidates(spark, path))
     links = found.select("file", "at", "next").where("next is not null")
-    true = reachable(links).join(links.select("file", "at"), ["file", "at"], "left_semi")
+    reached = reachable(links)
+    ends = found.select("file", F.col("end").alias("at")).distinct()
+    cut_off = ends.join(reached, ["file", "at"], "left_anti").select("file").first()
+    if cut_off:
+        raise ValueError(f"{cut_off['file']}: the chain of records ends before the file does")
+    true = reached.join(links.select("file", "at"), ["file", "at"], "left_semi")
     marked = found.join(true.withColumn("sound", F.lit(True)), ["file", "at"], "left")
     order = Window.partitionBy("file").orderBy("at")
     owners = marked.withColumn("owner", F.last(F.when(F.col("sound"), F.struct("at", "complete")), ignorenulls=True).over(order))

@@ -223,6 +223,22 @@ def test_archives_read_back_whole(spark):
     assert warc.archive_round_trip(df.limit(0)).count() == 0
 
 
+def test_archives_with_very_long_urls(spark, tmp_path):
+    rows = [(i, u, f"page {i} " * 200) for i, u in enumerate(["u", "data:," + "x" * 70_000, "q?" + "é\r\n" * 40_000, "u" * 65_400, None])]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)
+    got = {r["page_id"]: (r["payload_bytes"], r["payload_digest"]) for r in warc.archive_round_trip(df, str(tmp_path / "a")).collect()}
+    assert got == {i: (len(t), hashlib.sha1(t.encode()).hexdigest()) for i, _, t in rows}
+    targets = {r["target"] for r in warc.read(spark, str(tmp_path / "a")).collect()}
+    assert targets == {u and u.replace("\r", "%0D").replace("\n", "%0A") for _, u, _ in rows}
+
+
+def test_a_broken_chain_is_refused(spark, tmp_path):
+    df = spark.createDataFrame([(i, "u", f"page {i} " * 200) for i in range(5)], "page_id long, url string, html string")
+    path = warc.write(warc.records(df).coalesce(1).withColumn("record", F.replace("record", F.lit("Content-Length: 1"), F.lit("Content-Length: 2"))), str(tmp_path / "b"))
+    with pytest.raises(ValueError, match="chain of records"):
+        warc.read(spark, path)
+
+
 def test_pipeline_stages_one_by_one(spark):
     rng = random.Random(8)
     whole = [text(rng, 80) for _ in range(12)]
