@@ -6,7 +6,7 @@ from typing import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from kinfold.llm import ann, byte_bpe, chat, langid, lines, mixing, near_dedup, prefix_tokens, quality, warc
+from kinfold.llm import ann, byte_bpe, chat, divergence, langid, lines, mixing, near_dedup, prefix_tokens, quality, repeats, runs, warc
 
 QUERIES: dict[str, Callable] = {}
 SQL: dict[str, str] = {}
@@ -150,3 +150,138 @@ SELECT page_id, payload_bytes, payload_digest, CASE WHEN payload_bytes >= 1000 A
 @query("op10_warc_chain", WARC_SQL)
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_round_trip(table(spark, sf_dir, "pages", "page_id", "url", "html"))
+
+
+RUN_SQL = r"""
+WITH given AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), hashed AS (
+  SELECT doc_id, w, len(w) AS n, list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT))),
+    lambda h, b: STEPS) AS raw FROM given
+), planted AS (
+  SELECT doc_id, w, n, xor(raw, 4294967295) AS h, CAST(floor(xor(raw, 4294967295) / 10) AS BIGINT) AS g FROM hashed
+), placed AS (
+  SELECT *, CASE WHEN n > 0 THEN g % n END AS a FROM planted
+), words AS (
+  SELECT doc_id, n, CASE WHEN h % 10 = 0 AND n > 0 THEN list_transform(range(n), lambda i: w[1 + CASE WHEN i >= a THEN a + (i - a) % (1 + (n - a) // (3 + g % 8)) ELSE i END]) ELSE w END AS w FROM placed
+), word AS (
+  SELECT doc_id, n, unnest(w) AS w, unnest(range(n)) AS i FROM words
+), equal AS (
+  SELECT a.doc_id, b.i - a.i AS q, a.i, a.i - row_number() OVER (PARTITION BY a.doc_id, b.i - a.i ORDER BY a.i) AS island
+  FROM word a JOIN word b ON a.doc_id = b.doc_id AND a.w = b.w AND b.i > a.i AND 4 * (b.i - a.i) <= a.n
+), run AS (
+  SELECT doc_id, min(i) AS start, count(*) + q AS length, q FROM equal GROUP BY doc_id, q, island HAVING count(*) + q >= greatest(6, 4 * q)
+), runs AS (
+  SELECT doc_id, start, length, min(q) AS period FROM run GROUP BY doc_id, start, length
+), best AS (
+  SELECT * FROM runs QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY CAST(length AS DOUBLE) / period DESC, start, period) = 1
+), listed AS (
+  SELECT doc_id, count(*) AS n_runs, string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS said FROM runs GROUP BY doc_id
+), gone AS (
+  SELECT DISTINCT doc_id, i FROM (SELECT doc_id, unnest(range(start + period, start + length)) AS i FROM runs)
+), kept AS (
+  SELECT word.doc_id, string_agg(w, ' ' ORDER BY i) AS body FROM word ANTI JOIN gone ON word.doc_id = gone.doc_id AND word.i = gone.i GROUP BY word.doc_id
+)
+SELECT given.doc_id, CAST(coalesce(n_runs, 0) AS BIGINT) AS n_runs, CAST(start AS BIGINT) AS start, CAST(length AS BIGINT) AS length, CAST(period AS BIGINT) AS period,
+  CAST(1000 * length // period AS BIGINT) AS exponent_milli, sha256(coalesce(said, '')) AS runs_sha256, sha256(coalesce(body, '')) AS collapsed_sha256
+FROM given LEFT JOIN listed USING (doc_id) LEFT JOIN best USING (doc_id) LEFT JOIN kept USING (doc_id)"""
+CRC_STEP = "xor({0} >> 1, 3988292384 * ({0} & 1))"
+
+
+def _crc_steps() -> str:
+    """A byte enters the running CRC-32; eight steps of one bit, each named once so that the text stays short."""
+    steps = "xor(h, b)"
+    return f"list_reduce(list_prepend({steps}, CAST(range(8) AS BIGINT[])), lambda c, k: {CRC_STEP.format('c')})"
+
+
+def with_planted_runs(docs: DataFrame) -> DataFrame:
+    """``(doc_id, text)`` where a tenth of the texts goes on periodically from some word on, by the CRC-32 of the id."""
+    h = F.crc32(F.col("doc_id").cast("string"))
+    docs = docs.select("doc_id", "text", h.alias("h"), F.floor(h / 10).alias("g"))
+    words = F.when(F.col("h") % 10 == 0, F.array_remove(F.split(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+"), ""))
+    docs = docs.withColumn("w", words).withColumn("n", F.size("w").cast("long")).withColumn("a", F.when(F.col("n") > 0, F.col("g") % F.col("n")))
+    period = 1 + F.floor((F.col("n") - F.col("a")) / (3 + F.col("g") % 8))
+    docs = docs.withColumn("p", period)
+    source = lambda i: F.when(i >= F.col("a"), F.col("a") + (i - F.col("a")) % F.col("p")).otherwise(i)
+    again = F.array_join(F.transform(F.sequence(F.lit(0).cast("long"), F.col("n") - 1), lambda i: F.get("w", source(i).cast("int"))), " ")
+    return docs.select("doc_id", F.when(F.col("n") > 0, again).otherwise(F.col("text")).alias("text"))
+
+
+@query("op11_periodic_runs", RUN_SQL.replace("STEPS", _crc_steps()))
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = runs.collapse_runs(with_planted_runs(table(spark, sf_dir, "documents", "doc_id", "text")))
+    said = F.array_join(F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"])), "\n")
+    found = found.withColumn("best", runs.strongest("runs"))
+    return found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period",
+        F.expr("(1000 * best.length) div best.period").alias("exponent_milli"),
+        F.sha2(F.when(F.size("runs") > 0, F.concat(said, F.lit("\n"))).otherwise(F.lit("")), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
+DIVERGENCE_SQL = r"""
+WITH docs AS (
+  SELECT row_number() OVER () AS d, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents
+), word AS (
+  SELECT d, lang, source, unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM docs
+), kept AS (
+  SELECT lang, term, count(*) AS n_all FROM word GROUP BY lang, term HAVING count(DISTINCT d) >= 3
+), counted AS (
+  SELECT lang, source, term, count(*) AS n FROM word SEMI JOIN kept USING (lang, term) GROUP BY ALL
+), lang_sum AS (
+  SELECT lang, count(*) AS v, sum(n_all) AS total FROM kept GROUP BY lang
+), groups AS (
+  SELECT g.lang, g.source, coalesce(v, 0) AS v, coalesce(s.total, 0) AS total, coalesce(l.total, 0) AS lang_total
+  FROM (SELECT DISTINCT lang, source FROM docs) g LEFT JOIN (SELECT lang, source, sum(n) AS total FROM counted GROUP BY ALL) s USING (lang, source) LEFT JOIN lang_sum l USING (lang)
+), share AS (
+  SELECT g.lang, g.source, k.term, CAST(1 + (1000000000 * (CAST(coalesce(n, 0) AS HUGEINT) + 1)) // (total + v) AS BIGINT) AS p,
+    CAST(1 + (1000000000 * (CAST(n_all AS HUGEINT) + 1)) // (lang_total + v) AS BIGINT) AS r, coalesce(n, 0) AS n
+  FROM groups g JOIN kept k USING (lang) LEFT JOIN counted c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term
+), valued AS (
+  SELECT a.lang, a.source, b.source AS item, sum(((a.p - b.p) * (a.p - b.p)) // b.p) AS value
+  FROM share a JOIN share b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL
+), both_parts AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(coalesce(value, 0) AS BIGINT) AS value
+  FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN valued x ON x.lang = a.lang AND x.source = a.source AND x.item = b.source
+  UNION ALL SELECT lang, source, 'term', term, CAST(((p - r) * (p - r)) // r AS BIGINT) FROM share WHERE n > 0 AND p > r
+)
+SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank FROM both_parts
+QUALIFY part = 'pair' OR rank <= 200"""
+
+
+@query("op12_source_divergence", DIVERGENCE_SQL)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.source_divergence(table(spark, sf_dir, "documents", "text", "lang", "source"))
+
+
+REPEAT_SQL = """
+WITH given AS (
+  SELECT row_number() OVER () AS d, doc_id, encode(coalesce(text, '')) AS raw, octet_length(encode(coalesce(text, ''))) AS n FROM documents
+), place AS (
+  SELECT d, n, raw, unnest(range(n - 399)) AS i FROM given WHERE n >= 400
+), string AS (
+  SELECT d, i, md5(array_slice(raw, i + 1, i + 400)) AS h FROM place
+), again AS (
+  SELECT d, i FROM string SEMI JOIN (SELECT h FROM string GROUP BY h HAVING count(*) > 1) USING (h)
+), edge AS (
+  SELECT d, i, CASE WHEN i > 400 + lag(i, 1, -1000) OVER (PARTITION BY d ORDER BY i) THEN 1 ELSE 0 END AS new FROM again
+), numbered AS (
+  SELECT d, i, sum(new) OVER (PARTITION BY d ORDER BY i) AS span FROM edge
+), span AS (
+  SELECT d, min(i) AS low, max(i) + 400 AS high FROM numbered GROUP BY d, span
+), bound AS (
+  SELECT d, n, raw, coalesce(lag(high) OVER (PARTITION BY d ORDER BY low), 0) AS a, low AS b FROM (
+    SELECT given.d, n, raw, low, high FROM given JOIN span USING (d) UNION ALL SELECT d, n, raw, n, NULL FROM given)
+), kept AS (
+  SELECT d, string_agg(CASE WHEN b > a THEN hex(array_slice(raw, a + 1, b)) ELSE '' END, '' ORDER BY a, b) AS raw FROM bound GROUP BY d
+), told AS (
+  SELECT d, count(*) AS n_spans, sum(high - low) AS n_removed FROM span GROUP BY d
+)
+SELECT doc_id, CAST(n AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans,
+  sha256(unhex(kept.raw)) AS kept_sha256 FROM given JOIN kept USING (d) LEFT JOIN told USING (d)"""
+
+
+@query("op13_repeated_substrings", REPEAT_SQL)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = repeats.remove_repeats(table(spark, sf_dir, "documents", "doc_id", "text"))
+    return done.select("row.doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
