@@ -79,7 +79,7 @@ def _per_model_repeat(df: DataFrame) -> DataFrame:
 
 
 def oof(spark: SparkSession, sf: str) -> DataFrame:
-    base = stable(spark, sf).select("record_id", "group_id", "block", F.col("label").alias("target")).repartition("record_id")
+    base = stable(spark, sf).select("record_id", "group_id", "block", F.col("label").alias("target")).repartition(spark.sparkContext.defaultParallelism, "record_id")
     u = draw_int(F.col("model"), F.col("repeat"), F.col("record_id")) / F.lit(4294967296.0)
     return _per_model_repeat(base).select(
         "model", "repeat", "record_id", "group_id", "block", "target",
@@ -87,7 +87,7 @@ def oof(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def class_oof(spark: SparkSession, sf: str) -> DataFrame:
-    base = records(spark, sf).select("record_id", "group_id", "block", F.col("class_code").alias("true_code")).repartition("record_id")
+    base = records(spark, sf).select("record_id", "group_id", "block", F.col("class_code").alias("true_code")).repartition(spark.sparkContext.defaultParallelism, "record_id")
     digest = F.md5(F.concat_ws(":", "model", "repeat", "record_id"))
     hexed = lambda i: F.conv(F.substring("digest", 1 + 8 * i, 8), 16, 10).cast("bigint")
     raw = _per_model_repeat(base).withColumn("digest", digest)
@@ -102,7 +102,7 @@ def class_oof(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def attr(spark: SparkSession, sf: str) -> DataFrame:
-    base = records(spark, sf).repartition("record_id")
+    base = records(spark, sf).repartition(spark.sparkContext.defaultParallelism, "record_id")
     cells = F.array(*[
         F.struct(
             F.lit(f).alias("feature"), F.lit(i).alias("f_pos"), F.col(f).alias("observed"),
