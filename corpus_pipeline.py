@@ -17,7 +17,8 @@ SIMILAR_PERCENT = 80
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the base rules or the divergence rules reject go, null and empty texts among them."""
-    return quality.divergence_rules(docs).where("kept").select("row.*")
+    judged = cut(quality.divergence_rules(docs).select("row", "kept"))  # else the filter repeats the rules' whole expression
+    return judged.where("kept").select("row.*")
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
