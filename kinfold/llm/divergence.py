@@ -26,8 +26,8 @@ from kinfold.session import cut
 SCALE = 10 ** 9
 LEAST_TEXTS = 3
 TOP = 200
-BLOCK_POSTINGS = 2_000_000
-FLUSH = 400_000
+BLOCK_POSTINGS = 200_000
+FLUSH = 500_000
 SCATTER = 4_000_000
 
 #: Byte by byte: A-Z become a-z, other ASCII that is no letter a gap.
@@ -36,39 +36,38 @@ TERM_BYTES = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128
 
 def _term_table(batches):
     """``(lang, source, term, n, texts)``, partial sums: one row per term and group as long as they fit in memory."""
-    counts: dict[tuple, Counter] = {}
-    texts: dict[str, Counter] = {}
-    size = 0
+    groups: dict[tuple, tuple[Counter, Counter]] = {}
 
     def flush():
-        rows = [(*group, term, n, 0) for group, own in counts.items() for term, n in own.items()]
-        rows += [(lang, None, term, 0, n) for lang, own in texts.items() for term, n in own.items()]
-        for k in range(0, len(rows), 50_000):
-            lang, source, term, n, many = zip(*rows[k:k + 50_000])
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(lang, pa.string()), pa.array(source, pa.string()), pa.array([t.decode() for t in term], pa.string()), pa.array(n, pa.int64()), pa.array(many, pa.int64())],
-                names=["lang", "source", "term", "n", "texts"])
+        for (lang, source), (counts, texts) in groups.items():
+            terms = list(counts)
+            for k in range(0, len(terms), 50_000):
+                some = terms[k:k + 50_000]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([lang] * len(some), pa.string()), pa.array([source] * len(some), pa.string()), pa.array(some, pa.binary()).cast(pa.string()),
+                     pa.array([counts[t] for t in some], pa.int64()), pa.array([texts[t] for t in some], pa.int64())],
+                    names=["lang", "source", "term", "n", "texts"])
+        groups.clear()
 
     for batch in batches:
         for lang, source, text in zip(*(batch.column(k).to_pylist() for k in range(3))):
             if not text:
                 continue
             own = Counter(text.encode("utf-8", "replace").translate(TERM_BYTES).split())
-            counts.setdefault((lang, source), Counter()).update(own)
-            texts.setdefault(lang, Counter()).update(own.keys())
-            size += len(own)
-            if size > FLUSH:
-                yield from flush()
-                counts, texts, size = {}, {}, 0
+            counts, texts = groups.setdefault((lang, source), (Counter(), Counter()))
+            counts.update(own)
+            texts.update(own.keys())
+        if sum(len(counts) for counts, _ in groups.values()) > FLUSH:
+            yield from flush()
     yield from flush()
 
 
 def term_counts(df: DataFrame, text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
-    """``(lang, source, term, n, texts)``: occurrences per group; rows with a null source hold the texts with the term per language."""
+    """``(lang, source, term, n, texts)``: occurrences of each term in a group, and how many of its rows have it."""
     empty = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
     rows = df.select(empty(lang).alias("lang"), empty(source).alias("source"), F.col(text).alias("text")).mapInArrow(
         _term_table, "lang string, source string, term string, n long, texts long")
-    return rows.groupBy("lang", "term", "source").agg(F.sum("n").alias("n"), F.sum("texts").alias("texts"))
+    return rows.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("texts").alias("texts"))
 
 
 def shares(count: np.ndarray, whole: np.ndarray) -> np.ndarray:
@@ -172,7 +171,7 @@ def source_divergence(df: DataFrame, text: str = "text", lang: str = "lang", sou
     counted = cut(term_counts(df, text, lang, source))
     kept = counted.groupBy("lang", "term").agg(F.sum("texts").alias("texts"), F.sum("n").alias("all")).where(F.col("texts") >= least_texts).select("lang", "term", "all")
     kept = cut(kept)
-    own = counted.where("source is not null and n > 0").join(kept, ["lang", "term"])
+    own = counted.drop("texts").join(kept, ["lang", "term"])
     sums = own.groupBy("lang", "source").agg(F.sum("n").alias("total"))
     langs = kept.groupBy("lang").agg(F.count("*").alias("kinds"), F.sum("all").alias("lang_total"))
     # one row per group; numbers are dense within a language

@@ -246,11 +246,13 @@ def repeated_spans(df: DataFrame, text: str = "text", least: int = LEAST, bucket
     spans = cut(texts.mapInArrow(lambda batches: _span_table(batches, least), "doc long, size int, gram long, span long, low int, high int"))
     # buckets with more than one span, and whether these are all equal
     shared = spans.groupBy("gram").agg(F.count("*").alias("n"), F.min("span").alias("a"), F.max("span").alias("b")).where("n > 1")
-    met = cut(spans.join(shared.select("gram", (F.col("a") == F.col("b")).alias("equal")), "gram"))
+    # written first, so that a bucket with very many rows can be split in the join
+    shared = cut(shared.select("gram", (F.col("a") == F.col("b")).alias("equal")))
+    met = cut(spans.join(shared, "gram"))
     whole = met.where("equal").select("doc", "size", "low", "high")
-    mixed_rows = met.where("not equal")
-    kinds = cut(mixed_rows.groupBy("gram", "span").agg(F.count("*").alias("n"), F.min(F.struct("doc", "size", "low", "high")).alias("at")))
-    twice = mixed_rows.join(kinds.where("n > 1").select("gram", "span"), ["gram", "span"], "left_semi").select("doc", "size", "low", "high")
+    unequal = met.where("not equal")
+    kinds = cut(unequal.groupBy("gram", "span").agg(F.count("*").alias("n"), F.min(F.struct("doc", "size", "low", "high")).alias("at")))
+    twice = unequal.join(kinds.where("n > 1").select("gram", "span"), ["gram", "span"], "left_semi").select("doc", "size", "low", "high")
     # one span of each kind goes on, cut from its text
     wide = kinds.groupBy("gram").agg((F.count("*") > bucket_spans).alias("wide"))
     wanted = kinds.join(wide, "gram").groupBy("at.doc", "at.size").agg(F.collect_list(F.struct("gram", "at.low", "at.high", "wide")).alias("all"))
@@ -259,7 +261,7 @@ def repeated_spans(df: DataFrame, text: str = "text", least: int = LEAST, bucket
         texts = texts.join(F.broadcast(wanted.select("doc", "size")), ["doc", "size"], "left_semi")  # beyond that all texts are shuffled
     one = texts.groupBy("doc", "size").agg(F.min("text").alias("text")).join(wanted, ["doc", "size"])
     cutout = F.substring(F.col("text").cast("binary"), F.col("s.low") + 1, F.col("s.high") - F.col("s.low") + least)
-    cutouts = cut(one.select("doc", "size", F.col("text"), F.explode("all").alias("s")).select(
+    cutouts = cut(one.select("doc", "size", "text", F.explode("all").alias("s")).select(
         "doc", "size", "s.gram", "s.low", "s.high", "s.wide", cutout.alias("piece")))
     total = cutouts.where("not wide").agg(F.coalesce(F.sum(F.octet_length("piece").cast("long")), F.lit(0))).first()[0]
     blocks = 1 + total // block_bytes
