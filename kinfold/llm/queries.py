@@ -54,7 +54,7 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op2_line_dedup")
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
-    done = lines.dedupe_lines(table(spark, sf_dir, "documents", "doc_id", "text"), search="bands", equal_least=1)
+    done = lines.dedupe_lines(table(spark, sf_dir, "documents", "doc_id", "text"), search="segments", equal_least=1)
     return done.select("row.doc_id", "n_lines", "n_removed", F.col("kept_text").alias("text"))
 
 
