@@ -23,7 +23,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeated lines go, ``n_chars`` follows; a document that lost lines and has no word left goes too."""
-    done = lines.dedupe_lines(docs, search="bands", equal_least=1)
+    done = lines.dedupe_lines(docs, search="segments", equal_least=1)
     done = done.where((F.col("n_removed") == 0) | F.col("kept_text").rlike(r"[^\x20\x09-\x0D]"))
     new = {"text": F.col("kept_text"), "n_chars": F.length("kept_text").cast("long")}
     return done.select(*[new.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
