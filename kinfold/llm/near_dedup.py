@@ -35,6 +35,8 @@ ROWS = 5
 LEADERS_TRIED = 2
 SMALL = 64
 BLOCK = 2_048
+BLOCK_SHINGLES = 2_000_000
+MOST_BROADCAST = 500_000  # ids of a few bytes
 CHUNK = 2_048
 ERRORS = 5.0
 
@@ -165,14 +167,15 @@ def _spanning(near: np.ndarray, labels: list) -> list[tuple[int, int]]:
 def _dense_links(hot: DataFrame, full: DataFrame, percent: int, kind: str) -> DataFrame:
     """Links between the components inside groups of documents that meet in large buckets.
 
-    ``hot`` holds ``(band, id, component)``. The buckets' stars are joined to groups; a group is cut into blocks of
-    about ``BLOCK`` documents, and each pair of blocks is compared exactly as a product of token matrices. Only links
-    that join components leave a task, so the output grows with the documents, not with their pairs.
+    ``hot`` holds ``(band, id, component, n_shingles)``. The buckets' stars are joined to groups; a group is cut into blocks of
+    about ``BLOCK`` documents and ``BLOCK_SHINGLES`` shingles, and each pair of blocks is compared exactly as a product of token matrices.
+    Only links that join components leave a task, so the output grows with the documents, not with their pairs.
     """
     lead = hot.groupBy("band").agg(F.min("id").alias("a"))
     group = cut(components(hot.join(lead, "band").select("a", F.col("id").alias("b")).distinct(), "a", "b").select(F.col("node").alias("id"), F.col("component").alias("group")))
-    parts = group.groupBy("group").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"))
-    member = hot.select("id", "component").distinct().join(group, "id").join(parts, "group").join(full, "id")
+    member = hot.select("id", "component", "n_shingles").distinct().join(group, "id")
+    parts = member.groupBy("group").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES)).cast("int").alias("parts"))
+    member = member.drop("n_shingles").join(parts, "group").join(full, "id")
     member = member.withColumn("own", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
     dealt = member.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select(
         "group", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "own", "id", "component", "members")
@@ -213,7 +216,8 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", perc
     ``component_id`` is the smallest key that can be reached over links of at least ``percent`` / 100, ``kept`` says
     that it is the row's own. Empty and null texts have no shingles and link with nothing. Repeated rows
     get the same component; rows sharing a key count as one document. Rows with a null key link with
-    nothing, their component is null and they are kept. Further columns are not read.
+    nothing, their component is null and they are kept. Further columns are not read. An empty table gives an empty one; texts of
+    any length are hashed whole, one at a time.
     """
     kind = df.schema[key].dataType.simpleString()
     base = cut(sketches(df, key, text, rows, mantissa, size).withColumnRenamed(key, "id"))
@@ -231,9 +235,11 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", perc
             for low, sets in _sets(batch.column(1), size):
                 yield pa.RecordBatch.from_arrays([ids.slice(low, len(sets)), pa.array([s.tobytes() for s in sets], pa.binary())], names=["id", "members"])
 
-    def sets_of(ids: DataFrame) -> DataFrame:
-        rows = df.select(F.col(key).alias("id"), F.col(text).alias("text")).join(ids, "id")
-        return rows.mapInArrow(full_sets, f"id {kind}, members binary")
+    # the full sets of all documents that share a bucket, once for every round
+    ids = cut(members.select("id").distinct())
+    near_ids = F.broadcast(ids) if ids.count() <= MOST_BROADCAST else ids  # beyond that the texts are shuffled
+    full = df.select(F.col(key).alias("id"), F.col(text).alias("text")).join(near_ids, "id")
+    full = cut(full.mapInArrow(full_sets, f"id {kind}, members binary"))
 
     def confirmed(met: DataFrame, best: int | None) -> DataFrame | None:
         """Links among the met pairs ``(a, b, na, nb)``; with ``best``, of each ``b`` only the most likely are tried."""
@@ -247,8 +253,7 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", perc
         likely = cut(likely.select("a", "b"))
         if likely.isEmpty():
             return None
-        wanted = likely.select(F.col("a").alias("id")).union(likely.select(F.col("b").alias("id"))).distinct()
-        return cut(_confirm(likely, sets_of(wanted), percent, kind))
+        return cut(_confirm(likely, full, percent, kind))
 
     def labelled(links: DataFrame) -> DataFrame:
         return cut(components(links, "a", "b").select(F.col("node").alias("id"), "component"))
@@ -267,14 +272,14 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", perc
         "component", F.coalesce("component", "id"))
     open_bands = current.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("c")).where("lo <> hi")
     current = cut(current.join(open_bands.select("band", "c"), "band"))
-    hot = current.where(F.col("c") > SMALL).select("band", "id", "component")
+    hot = current.where(F.col("c") > SMALL).select("band", "id", "component", "n_shingles")
     few = current.where(F.col("c") <= SMALL)
     other = few.select(F.col("band").alias("o"), F.col("id").alias("b"), F.col("n_shingles").alias("nb"), F.col("component").alias("cb"))
     rest = few.join(other, (F.col("band") == F.col("o")) & (F.col("component") < F.col("cb"))).select(
         F.col("id").alias("a"), "b", F.col("n_shingles").alias("na"), "nb")
     found = [confirmed(rest, None)]
     if not hot.isEmpty():
-        found.append(cut(_dense_links(hot, sets_of(hot.select("id").distinct()), percent, kind)))
+        found.append(cut(_dense_links(hot, full, percent, kind)))
     found = [f for f in found if f is not None and not f.isEmpty()]
     if found:
         label = labelled(reduce(DataFrame.unionByName, found if links is None else [links, *found]))
