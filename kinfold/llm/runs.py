@@ -41,7 +41,7 @@ class Grammar:
         self.symbols, self.start = [words], [np.arange(len(sequence) + 1)]
         self.child, self.parent = [None], []
         fixed = sequence < 0
-        while len(self.symbols[-1]) > 2 * len(ends) or len(self.symbols) % 2 == 0:
+        while len(self.symbols[-1]) > 2 * len(ends) - 1 or len(self.symbols) % 2 == 0:
             last = self.symbols[-1]
             if len(self.symbols) % 2:
                 begins = np.append(True, (last[1:] != last[:-1]) | fixed[1:])
