@@ -168,7 +168,7 @@ def test_shares_are_exact():
 
 
 def test_line_segments_find_changed_words(spark):
-    """The query's own search against brute force on its definition: an equal segment, 24 bits at most, edit similarity."""
+    """The query's own search against brute force on its definition: an equal segment, few bits that differ, edit similarity."""
     from kinfold.llm.hashing import word_hashes
     rng = random.Random(21)
     pool = []
