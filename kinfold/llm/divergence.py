@@ -27,7 +27,7 @@ SCALE = 10 ** 9
 LEAST_TEXTS = 3
 TOP = 200
 BLOCK_POSTINGS = 200_000
-FLUSH = 500_000
+FLUSH = 1_000_000
 SCATTER = 4_000_000
 
 #: Byte by byte: A-Z become a-z, other ASCII that is no letter a gap.
@@ -171,7 +171,7 @@ def source_divergence(df: DataFrame, text: str = "text", lang: str = "lang", sou
     counted = cut(term_counts(df, text, lang, source))
     kept = counted.groupBy("lang", "term").agg(F.sum("texts").alias("texts"), F.sum("n").alias("all")).where(F.col("texts") >= least_texts).select("lang", "term", "all")
     kept = cut(kept)
-    own = counted.drop("texts").join(kept, ["lang", "term"])
+    own = cut(counted.drop("texts").join(kept, ["lang", "term"]))
     sums = own.groupBy("lang", "source").agg(F.sum("n").alias("total"))
     langs = kept.groupBy("lang").agg(F.count("*").alias("kinds"), F.sum("all").alias("lang_total"))
     # one row per group; numbers are dense within a language
