@@ -113,8 +113,9 @@ def knn_completion(scaled: DataFrame, record: str, features: Sequence[str], k: i
     spread = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     left = patterns.select("fold", "pattern", "x", part("pattern", left_chunks).alias("lc"), spread(right_chunks).alias("rc"))
     right = donors.select("fold", "record", "x", part("record", right_chunks).alias("rc"), spread(left_chunks).alias("lc"))
+    kind = scaled.schema[record].dataType.simpleString()
     near = left.groupBy("fold", "lc", "rc").cogroup(right.groupBy("fold", "lc", "rc")).applyInPandas(
-        _nearest(k), "fold int, pattern bigint, feature_index int, distance double, donor bigint, donor_value double")
+        _nearest(k), f"fold int, pattern {kind}, feature_index int, distance double, donor {kind}, donor_value double")
     best = Window.partitionBy("fold", "pattern", "feature_index").orderBy("distance", "donor")
     top = near.withColumn("_r", F.row_number().over(best)).where(F.col("_r") <= k)
     zero = F.count_if(F.col("distance") == 0) > 0
