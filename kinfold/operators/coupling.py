@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from functools import reduce
 from typing import Mapping, Sequence
 
 from pyspark.sql import DataFrame, functions as F
@@ -36,12 +37,16 @@ def binned_dependence(df: DataFrame, bins: int, block: str, replicates: int, see
     """Per (feature, task, value bin): medians and block-bootstrap interval of the robust z-scored attribution.
 
     ``df``: (feature, task, group_id, block, value, shap) at group level. Bins come from the values of a
-    feature, the same for both tasks.
+    feature, each group's once, and are the same for both tasks: ``bins`` of them, or as many as there are different
+    values. Features of under four different values are left out.
     """
     df = cut(df)
-    spread = df.groupBy("feature").agg((F.countDistinct("value") >= 4).alias("_ok")).where("_ok").select("feature")
-    kept = df.where("value is not null").join(spread, "feature", "left_semi")
-    binned = T.quantile_bins(kept, ["feature"], "value", bins)
+    values = cut(df.where("value is not null").select("feature", "group_id", "value").distinct())
+    spread = values.groupBy("feature").agg(F.least(F.countDistinct("value"), F.lit(bins)).alias("_q")).where("_q >= least(4, {})".format(bins))
+    sized = cut(values.join(spread, "feature"))
+    parts = [T.quantile_bins(sized.where(F.col("_q") == q).drop("_q"), ["feature"], "value", q) for q in range(min(4, bins), bins + 1)]
+    bin_of = reduce(DataFrame.unionByName, [p.select("feature", "group_id", "value", "bin") for p in parts])
+    binned = df.join(bin_of, ["feature", "group_id", "value"])
     z = cut(T.robust_z(binned.where("shap is not null"), ["feature", "task"], "shap", "z"))
     keys = ["feature", "task", "bin"]
     shown = medians(z, keys, {"x_median": "value", "y_median": "z"}, also=[
@@ -52,8 +57,6 @@ def binned_dependence(df: DataFrame, bins: int, block: str, replicates: int, see
 
 def associations(groups: DataFrame, comparisons: Mapping[str, tuple[str, str]], block: str, replicates: int, permutations: int, seed: int) -> DataFrame:
     """Component-level Spearman inference for each declared pair, with FDR over the pairs (a handful)."""
-    from functools import reduce
-
     groups = cut(groups)
     rows = [B.component_inference(groups, block, x, y, replicates, permutations, seed + i * 1000).withColumn("analysis", F.lit(n))
             for i, (n, (x, y)) in enumerate(comparisons.items())]
@@ -72,7 +75,8 @@ def support_quantiles(groups: DataFrame, score: str, outcome: str, bins: int, bl
 def joint_state(groups: DataFrame, u: str, s: str, values: DataFrame) -> DataFrame:
     """Four-quadrant state by the two medians, and the median robust z of each feature in it.
 
-    ``values``: (group_id, feature, value). Medians are descriptive cuts, not thresholds of the domain.
+    ``values``: (group_id, feature, value). Medians are descriptive cuts, not thresholds of the domain. All four states have a row per
+    feature, also one without groups (count 0, null median); groups and blocks are those of the state, with or without the feature.
     """
     kept = cut(groups.dropna(subset=[u, s]))
     cuts = exact_quantiles(kept, [], {"u": (u, 0.5), "s": (s, 0.5)})
@@ -80,9 +84,14 @@ def joint_state(groups: DataFrame, u: str, s: str, values: DataFrame) -> DataFra
     state = F.concat(F.when(F.col(s) >= s_cut, "high S").otherwise("low S"), F.lit(" / "), F.when(F.col(u) >= u_cut, "high U").otherwise("low U"))
     placed = kept.select("group_id", "block", state.alias("joint_state"))
     z = T.robust_z(values.join(kept.select("group_id"), "group_id", "left_semi"), ["feature"], "value", "z")
-    rows = cut(z.join(placed, "group_id"))
-    return medians(rows, ["joint_state", "feature"], {"median_z": "z"}, also=[
-        F.countDistinct("group_id").alias("n_groups"), F.countDistinct("block").alias("n_blocks")])
+    middle = medians(z.join(placed, "group_id"), ["joint_state", "feature"], {"median_z": "z"})
+    size = placed.groupBy("joint_state").agg(F.countDistinct("group_id").alias("n_groups"), F.countDistinct("block").alias("n_blocks"))
+    states = F.array(*[F.lit(f"{a} S / {b} U") for b in ("low", "high") for a in ("low", "high")])
+    grid = values.select("feature").distinct().withColumn("joint_state", F.explode(states))
+    zero = F.lit(0).cast("long")
+    return grid.join(size, "joint_state", "left").join(middle, ["joint_state", "feature"], "left").select(
+        "joint_state", "feature", "median_z", F.coalesce("n_groups", zero).alias("n_groups"), F.coalesce("n_blocks", zero).alias("n_blocks"),
+        F.lit(u_cut).cast("double").alias("u_cut"), F.lit(s_cut).cast("double").alias("s_cut"))
 
 
 def coupling_cosine(values: DataFrame, key: str, left: str, right: str) -> DataFrame:

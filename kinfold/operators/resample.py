@@ -24,27 +24,34 @@ def unit_draws(df: DataFrame, unit: str, replicates: int, seed: int) -> DataFram
     return bootstrap_counts(units, unit, replicates, seed)
 
 
-def interval(df: DataFrame, keys: Sequence[str], value: str, low: float = 0.025, high: float = 0.975) -> DataFrame:
-    """Percentile interval over replicates (a configured number of rows per key); NULLs are dropped and counted out."""
+def interval(df: DataFrame, keys: Sequence[str], value: str, low: float = 0.025, high: float = 0.975, also: Sequence[Column] = ()) -> DataFrame:
+    """Percentile interval over replicates (a configured number of rows per key); NULLs are dropped and counted out.
+
+    ``also`` are further aggregates of the same rows.
+    """
     q = lambda p: F.percentile(value, F.lit(p))
     return df.groupBy(*keys).agg(q(low).alias("ci_low"), q(high).alias("ci_high"), q(0.5).alias("replicate_median"),
-                                 F.avg(value).alias("replicate_mean"), F.count(value).alias("replicates_valid"))
+                                 F.avg(value).alias("replicate_mean"), F.count(value).alias("replicates_valid"), *also)
 
 
 def pairwise_auc(scores: DataFrame, unit: str, models: Sequence[str], replicates: int, seed: int) -> DataFrame:
-    """Difference of AUC for every pair of models under resampling of ``unit``.
+    """Difference of AUC for every pair of models, as observed and under resampling of ``unit``.
 
-    ``scores``: one row per (model, group). Replicates lacking a class give NULL and are skipped.
+    ``scores``: one row per (model, group). Replicates lacking a class give NULL and are skipped. The observed scores
+    are replicate 0, each unit drawn once, so one sort serves them and the draws.
     """
     scores = cut(scores)
-    draws = unit_draws(scores, unit, replicates, seed)
-    rows = scores.join(draws, unit)
+    draws = unit_draws(scores, unit, replicates, seed).select(unit, "replicate", F.col("weight").cast("long").alias("weight"))
+    once = scores.where(F.col(unit).isNotNull()).select(unit).distinct().select(unit, F.lit(0).alias("replicate"), F.lit(1).cast("long").alias("weight"))
+    rows = scores.join(draws.unionByName(once), unit)
     auc = M.auc_ap(rows, ["replicate", "model"], weight=F.col("weight"), max_rows=largest_key(scores, ["model"]))
     wide = auc.groupBy("replicate").agg(*[F.max(F.when(F.col("model") == m, F.col("roc_auc"))).alias(m) for m in models])
     pairs = F.array(*[F.struct(F.lit(a).alias("left_model"), F.lit(b).alias("right_model"), (F.col(a) - F.col(b)).alias("difference"))
                       for a, b in combinations(sorted(models), 2)])
-    long = wide.select(F.explode(pairs).alias("p")).select("p.*")
-    return interval(long, ["left_model", "right_model"], "difference")
+    long = wide.select("replicate", F.explode(pairs).alias("p")).select("replicate", "p.*")
+    drawn = F.when(F.col("replicate") > 0, F.col("difference"))
+    return interval(long.withColumns({"_all": F.col("difference"), "difference": drawn}), ["left_model", "right_model"], "difference", also=[
+        F.max(F.when(F.col("replicate") == 0, F.col("_all"))).alias("observed")])
 
 
 def block_confusions(df: DataFrame, keys: Sequence[str], block: str, true: str, predicted: str, k: int) -> DataFrame:

@@ -51,6 +51,18 @@ def percentile_of_score(probe: DataFrame, reference: DataFrame, keys: Sequence[s
     return probe.join(at, [*keys, value])
 
 
+def relative_location(probe: DataFrame, reference: DataFrame, keys: Sequence[str], value: str, label: str) -> DataFrame:
+    """Where each probe value lies between the medians of the reference's two classes: 0 at that of class 0, 1 at that of class 1.
+
+    NULL where a class is absent from the key or both medians are equal.
+    """
+    keys = list(keys)
+    middle = exact_quantiles(reference, [*keys, label], {"_m": (value, 0.5)})
+    both = middle.groupBy(*keys).agg(*[F.max(F.when(F.col(label) == c, F.col("_m"))).alias(f"_m{c}") for c in (0, 1)])
+    gap = F.col("_m1") - F.col("_m0")
+    return probe.join(both, keys, "left").withColumn("relative_location", F.when(gap != 0, (F.col(value) - F.col("_m0")) / gap)).drop("_m0", "_m1")
+
+
 def density(df: DataFrame, keys: Sequence[str], value: str, points: int) -> DataFrame:
     """Gaussian kernel density on an even grid with Scott's bandwidth.
 

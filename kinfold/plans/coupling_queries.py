@@ -48,7 +48,7 @@ def c1b(spark, sf):
     return rounded(C.concordance_summary(cut(concordance(spark, sf)), 6), ["cosine", "exact_p"])
 
 
-@query("c2_binned_dependence", with_views("attr", f"""WITH {GT}, e AS (SELECT feature, unnest(list_sort(list_distinct(quantile_cont(value, [0.0, 0.2, 0.4, 0.6, 0.8, 1.0])))) AS edge FROM gt GROUP BY 1),
+@query("c2_binned_dependence", with_views("attr", f"""WITH {GT}, e AS (SELECT feature, unnest(list_sort(list_distinct(quantile_cont(value, [0.0, 0.2, 0.4, 0.6, 0.8, 1.0])))) AS edge FROM (SELECT DISTINCT feature, group_id, value FROM gt) GROUP BY 1),
  bn AS (SELECT feature, task, group_id, any_value(block) AS block, any_value(value) AS value, any_value(shap) AS shap, CAST(greatest(count(*) FILTER (value > edge), 1) AS INTEGER) AS bin FROM gt JOIN e USING (feature) GROUP BY 1, 2, 3),
  md AS (SELECT feature, task, median(shap) AS m FROM bn GROUP BY 1, 2), ad AS (SELECT feature, task, median(abs(shap - m)) AS mad, any_value(m) AS m FROM bn JOIN md USING (feature, task) GROUP BY 1, 2),
  z AS (SELECT bn.*, (shap - m) / (1.4826 * mad) AS z FROM bn JOIN ad USING (feature, task)), sh AS (SELECT feature, task, bin, median(value) AS x_median, median(z) AS y_median, count(DISTINCT group_id) AS n_groups, count(DISTINCT block) AS n_blocks FROM z GROUP BY 1, 2, 3),
@@ -97,11 +97,15 @@ def c3b(spark, sf):
 @query("c4_joint_state", with_views("oof class_oof", f"""WITH {CG}, st AS (SELECT group_id, block, CASE WHEN p_s >= (SELECT median(p_s) FROM cg) THEN 'high S' ELSE 'low S' END || ' / ' || CASE WHEN p_u >= (SELECT median(p_u) FROM cg) THEN 'high U' ELSE 'low U' END AS joint_state FROM cg),
  v AS (SELECT group_id, 'f_total' AS feature, median(f_total) AS value FROM records WHERE group_id IN (SELECT group_id FROM cg) GROUP BY 1 UNION ALL SELECT group_id, 'f_qty', median(f_qty) FROM records WHERE group_id IN (SELECT group_id FROM cg) GROUP BY 1),
  m AS (SELECT feature, median(value) AS md FROM v GROUP BY 1), d AS (SELECT feature, any_value(md) AS md, median(abs(value - md)) AS mad FROM v JOIN m USING (feature) GROUP BY 1)
-SELECT joint_state, feature, round(median((value - md) / (1.4826 * mad)), 5) AS median_z, count(DISTINCT group_id) AS n_groups, count(DISTINCT block) AS n_blocks FROM v JOIN d USING (feature) JOIN st USING (group_id) GROUP BY 1, 2"""))
+SELECT g.joint_state, g.feature, median_z, coalesce(n_groups, 0) AS n_groups, coalesce(n_blocks, 0) AS n_blocks, (SELECT round(median(p_u), 6) FROM cg) AS u_cut, (SELECT round(median(p_s), 6) FROM cg) AS s_cut
+FROM (SELECT unnest(['low S / low U', 'high S / low U', 'low S / high U', 'high S / high U']) AS joint_state, feature FROM (SELECT DISTINCT feature FROM v)) g
+LEFT JOIN (SELECT joint_state, feature, round(median((value - md) / (1.4826 * mad)), 5) AS median_z FROM v JOIN d USING (feature) JOIN st USING (group_id) GROUP BY 1, 2) USING (joint_state, feature)
+LEFT JOIN (SELECT joint_state, count(DISTINCT group_id) AS n_groups, count(DISTINCT block) AS n_blocks FROM st GROUP BY 1) USING (joint_state)"""))
 def c4(spark, sf):
     mids = O.medians(records(spark, sf), ["group_id"], {"f_total": "f_total", "f_qty": "f_qty"})
     values = mids.unpivot(["group_id"], ["f_total", "f_qty"], "feature", "value")
-    return C.joint_state(groups(spark, sf), "p_u", "p_s", values).withColumn("median_z", F.round("median_z", 5))
+    got = C.joint_state(groups(spark, sf), "p_u", "p_s", values)
+    return rounded(got.withColumn("median_z", F.round("median_z", 5)), ["u_cut", "s_cut"])
 
 
 @query("c5_coupling_cosine", with_views("attr", f"""WITH {GT}, p AS (SELECT group_id, feature, max(shap) FILTER (task = 'F') AS a, max(shap) FILTER (task = 'P') AS b FROM gt GROUP BY 1, 2)

@@ -233,14 +233,17 @@ def m18(spark, sf):
 
 
 @query("m19_percentile_of_score", with_views("records", """
-WITH ref AS (SELECT class3, group_id, median(f_total) AS v FROM records WHERE group_id % 25 <> 0 GROUP BY 1, 2),
+WITH ref AS (SELECT class3, group_id, median(f_total) AS v, max(label) AS label FROM records WHERE group_id % 25 <> 0 GROUP BY 1, 2),
+ mid AS (SELECT class3, median(v) FILTER (label = 0) AS m0, median(v) FILTER (label = 1) AS m1 FROM ref GROUP BY 1),
  probe AS (SELECT class3, group_id, median(f_total) AS v FROM records WHERE group_id % 25 = 0 GROUP BY 1, 2)
-SELECT p.class3, p.group_id, round((count(*) FILTER (r.v < p.v) + count(*) FILTER (r.v <= p.v)) * 50.0::DOUBLE / count(*), 6) AS percentile
-FROM probe p JOIN ref r USING (class3) GROUP BY 1, 2"""))
+SELECT p.class3, p.group_id, round((count(*) FILTER (r.v < p.v) + count(*) FILTER (r.v <= p.v)) * 50.0::DOUBLE / count(*), 6) AS percentile,
+ round(any_value((p.v - m0) / nullif(m1 - m0, 0)), 6) AS relative_location
+FROM probe p JOIN ref r USING (class3) JOIN mid USING (class3) GROUP BY 1, 2"""))
 def m19(spark, sf):
-    units = O.medians(records(spark, sf), ["class3", "group_id"], {"v": "f_total"})
-    got = T.percentile_of_score(units.where("group_id % 25 = 0"), units.where("group_id % 25 <> 0"), ["class3"], "v")
-    return got.select("class3", "group_id", r6("percentile").alias("percentile"))
+    units = cut(O.medians(records(spark, sf), ["class3", "group_id"], {"v": "f_total"}, also=[F.max("label").alias("label")]))
+    probe, stable = units.where("group_id % 25 = 0"), units.where("group_id % 25 <> 0")
+    got = T.relative_location(T.percentile_of_score(probe, stable, ["class3"], "v"), stable, ["class3"], "v", "label")
+    return rounded(got.select("class3", "group_id", "percentile", "relative_location"), ["percentile", "relative_location"])
 
 
 @query("m21_fdr", with_views("records", """
@@ -275,12 +278,16 @@ def m23(spark, sf):
 
 
 @query("m24_class_feature_importance", with_views("attr", """
-SELECT class, feature, round(avg(abs(shap)), 6) AS mean_abs, round(median(shap), 6) AS median_signed, count(*) AS n FROM attr GROUP BY 1, 2"""))
+WITH r AS (SELECT class, feature, rank() OVER (PARTITION BY class, feature ORDER BY completed) + (count(*) OVER (PARTITION BY class, feature, completed) - 1) / 2.0::DOUBLE AS rx,
+ rank() OVER (PARTITION BY class, feature ORDER BY shap) + (count(*) OVER (PARTITION BY class, feature, shap) - 1) / 2.0::DOUBLE AS ry FROM attr WHERE completed IS NOT NULL AND shap IS NOT NULL),
+ d AS (SELECT class, feature, corr(rx, ry) AS direction, count(*) AS n FROM r GROUP BY 1, 2)
+SELECT class, feature, round(avg(abs(shap)), 6) AS mean_abs, round(median(shap), 6) AS median_signed, round(any_value(direction), 6) AS direction, any_value(d.n) AS n FROM attr JOIN d USING (class, feature) GROUP BY 1, 2"""))
 def m24(spark, sf):
     rows = attr(spark, sf)
     got = O.medians(rows, ["class", "feature"], {"median_signed": "shap"},
-                    also=[F.avg(F.abs("shap")).alias("mean_abs"), F.count("*").alias("n")])
-    return rounded(got, ["mean_abs", "median_signed"])
+                    also=[F.avg(F.abs("shap")).alias("mean_abs")])
+    got = got.join(M.spearman(rows, ["class", "feature"], "completed", "shap", out="direction"), ["class", "feature"])
+    return rounded(got, ["mean_abs", "median_signed", "direction"])
 
 
 # --- choices -----------------------------------------------------------------------------------

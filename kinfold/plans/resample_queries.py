@@ -21,11 +21,12 @@ def draws(unit, source, reps=REPS, seed=7, name="draws"):
 
 def pair_auc(unit):
     return with_views("consensus", f"""WITH {draws(unit, 'consensus')},
- lev AS (SELECT rep, model, score, sum(w) FILTER (target = 1) AS p, sum(w) FILTER (target = 0) AS q FROM consensus JOIN draws USING ({unit}) GROUP BY 1, 2, 3),
+ drawn AS (SELECT rep, {unit}, w FROM draws UNION ALL SELECT DISTINCT 0, {unit}, 1 FROM consensus WHERE {unit} IS NOT NULL),
+ lev AS (SELECT rep, model, score, sum(w) FILTER (target = 1) AS p, sum(w) FILTER (target = 0) AS q FROM consensus JOIN drawn USING ({unit}) GROUP BY 1, 2, 3),
  cum AS (SELECT rep, model, coalesce(p, 0) AS p, coalesce(q, 0) AS q, coalesce(sum(coalesce(q, 0)) OVER (PARTITION BY rep, model ORDER BY score ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS qb FROM lev),
  auc AS (SELECT rep, model, sum(p * (qb + q / 2.0::DOUBLE)) / nullif(sum(p) * sum(q), 0) AS auc FROM cum GROUP BY 1, 2),
- d AS (SELECT a.model AS left_model, b.model AS right_model, a.auc - b.auc AS diff FROM auc a JOIN auc b ON a.rep = b.rep AND a.model < b.model)
-SELECT left_model, right_model, {CI_SQL.format('diff')} FROM d GROUP BY 1, 2""")
+ d AS (SELECT a.model AS left_model, b.model AS right_model, CASE WHEN a.rep > 0 THEN a.auc - b.auc END AS diff, CASE WHEN a.rep = 0 THEN a.auc - b.auc END AS seen FROM auc a JOIN auc b ON a.rep = b.rep AND a.model < b.model)
+SELECT left_model, right_model, round(max(seen), 6) AS observed, {CI_SQL.format('diff')} FROM d GROUP BY 1, 2""")
 
 
 def consensus(spark, sf):
@@ -34,12 +35,12 @@ def consensus(spark, sf):
 
 @query("b1_pairwise_auc_groups", pair_auc("group_id"))
 def b1(spark, sf):
-    return rounded(B.pairwise_auc(consensus(spark, sf), "group_id", MODELS, REPS, 7), CI)
+    return rounded(B.pairwise_auc(consensus(spark, sf), "group_id", MODELS, REPS, 7), ["observed", *CI])
 
 
 @query("b1_pairwise_auc_blocks", pair_auc("block"))
 def b1b(spark, sf):
-    return rounded(B.pairwise_auc(consensus(spark, sf), "block", MODELS, REPS, 7), CI)
+    return rounded(B.pairwise_auc(consensus(spark, sf), "block", MODELS, REPS, 7), ["observed", *CI])
 
 
 PER = """

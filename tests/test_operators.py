@@ -290,3 +290,43 @@ def test_formulas_by_hand(spark):
     votes = spark.createDataFrame([("g", 1, 1, "b", 0.6, 0), ("g", 2, 1, "b", 0.7, 0), ("g", 3, 1, "b", 0.2, 1)], "group string, repeat int, target int, block string, score double, prediction int")
     agreed = rollup.consensus(votes, [], "group", 3, prediction="prediction").first()
     assert abs(agreed["vote_fraction"] - 1 / 3) < 1e-12 and agreed["prediction"] == 0
+
+
+def test_pairwise_auc_has_the_observed_difference(spark):
+    from kinfold.operators import resample as B
+    rows = [("a", g, g, t, s) for g, t, s in [(1, 0, .1), (2, 0, .4), (3, 1, .3), (4, 1, .9)]] + [("b", g, g, t, s) for g, t, s in [(1, 0, .1), (2, 0, .2), (3, 1, .3), (4, 1, .9)]]
+    df = spark.createDataFrame(rows, "model string, group_id long, block long, target int, score double")
+    got = B.pairwise_auc(df, "group_id", ["a", "b"], 20, 1).collect()
+    assert len(got) == 1 and got[0]["observed"] == pytest.approx(0.75 - 1.0) and got[0]["replicates_valid"] <= 20
+
+
+def test_relative_location_between_class_medians(spark):
+    from kinfold.operators import statistics as T
+    reference = spark.createDataFrame([("k", 0, 1.0), ("k", 0, 3.0), ("k", 1, 6.0), ("m", 0, 1.0), ("m", 1, 1.0), ("n", 0, 1.0)], "key string, label int, v double")
+    probe = spark.createDataFrame([("k", 3.0), ("k", 6.0), ("m", 5.0), ("n", 5.0)], "key string, v double")
+    got = sorted((r["key"], r["v"], r["relative_location"]) for r in T.relative_location(probe, reference, ["key"], "v", "label").collect())
+    assert got == [("k", 3.0, 0.25), ("k", 6.0, 1.0), ("m", 5.0, None), ("n", 5.0, None)]
+
+
+def test_joint_state_has_all_four_states(spark):
+    from kinfold.operators import coupling as C
+    groups = spark.createDataFrame([(1, 10, .1, .1), (2, 10, .2, .2), (3, 11, .8, .8), (4, 12, .9, .9), (5, 13, None, .5)], "group_id long, block long, u double, s double")
+    values = spark.createDataFrame([(g, "f", float(g)) for g in (1, 2, 3)], "group_id long, feature string, value double")
+    got = {r["joint_state"]: r for r in C.joint_state(groups, "u", "s", values).collect()}
+    assert set(got) == {"low S / low U", "high S / low U", "low S / high U", "high S / high U"}
+    assert (got["low S / low U"]["n_groups"], got["low S / low U"]["n_blocks"]) == (2, 1) and got["high S / high U"]["n_groups"] == 2
+    assert got["high S / low U"]["n_groups"] == 0 and got["high S / low U"]["median_z"] is None and got["high S / low U"]["u_cut"] == pytest.approx(0.5)
+
+
+def test_binned_dependence_counts_a_group_once(spark):
+    from kinfold.operators import coupling as C
+    # task b knows two groups only: they must not weigh twice in the edges
+    rows = [("f", "a", g, g, float(g), float(g % 3)) for g in range(1, 9)] + [("f", "b", g, g, float(g), float(g % 3)) for g in (7, 8)]
+    rows += [("four", "a", g, g, float(g % 4), float(g)) for g in range(8)] + [("three", "a", g, g, float(g % 3), float(g)) for g in range(8)]
+    df = spark.createDataFrame(rows, "feature string, task string, group_id long, block long, value double, shap double")
+    got = C.binned_dependence(df, 5, "block", 5, 1).collect()
+    a = {r["bin"]: r["n_groups"] for r in got if (r["feature"], r["task"]) == ("f", "a")}
+    import pandas as pd
+    want = pd.qcut(pd.Series(range(1, 9)), 5, labels=False).value_counts().sort_index().tolist()
+    assert [a[k] for k in sorted(a)] == want
+    assert sum(1 for r in got if r["feature"] == "four") == 4 and not any(r["feature"] == "three" for r in got)
