@@ -129,12 +129,64 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2("ids", 256).alias("ids_sha256"), F.sha2("raw", 256).alias("decoded_sha256"))
 
 
-@query("op9_divergence_rules")
+DIVERGENCE_SQL = r"""
+WITH given AS (
+  SELECT doc_id, lang, coalesce(text, '') AS body, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), counted AS (
+  SELECT doc_id, lang, w, len(w) AS n_words, CAST(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS BIGINT) AS word_chars,
+    length(regexp_replace(body, '[^#*$%&|<>]', '', 'g')) AS n_symbols, list_filter(string_split(body, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines,
+    length(regexp_replace(body, '[^\p{Lu}]', '', 'g')) AS upper, length(regexp_replace(body, '[^.,;:!?]', '', 'g')) AS marks,
+    length(body) AS chars, strlen(body) AS bytes FROM given
+), windows AS (
+  SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, piece) AS c FROM (
+    SELECT doc_id, i, list_slice(w, i, i + 7) AS piece FROM (SELECT doc_id, w, unnest(range(1, n_words - 6)) AS i FROM counted WHERE n_words >= 8))
+), repeated AS (
+  SELECT doc_id, count(DISTINCT place) AS n FROM (SELECT doc_id, unnest(range(i, i + 8)) AS place FROM windows WHERE c > 1) GROUP BY 1
+), shares AS (
+  SELECT doc_id, lang, n_words, k, [upper, n_symbols, marks, chars - word_chars, bytes - chars, greatest(word_chars - upper - marks - n_symbols, 0)][k] / greatest(bytes, 1) AS p
+  FROM counted, (SELECT unnest(range(1, 7)) AS k)
+), class_reference AS (
+  SELECT lang, k, quantile_cont(round(p, 4), 0.5) AS q FROM shares GROUP BY 1, 2
+), spoken AS (
+  SELECT doc_id, lang, lower(replace(x, '|', '')) AS word FROM (SELECT doc_id, lang, unnest(w) AS x FROM counted)
+), ranked AS (
+  SELECT lang, word, count(*) AS q, row_number() OVER (PARTITION BY lang ORDER BY count(*) DESC, word) AS k FROM spoken WHERE word <> '' GROUP BY 1, 2
+), top AS (
+  SELECT * FROM ranked WHERE k <= 16
+), known AS (
+  SELECT lang, sum(q) AS q FROM top GROUP BY 1
+), totals AS (
+  SELECT lang, sum(n_words) AS n FROM counted GROUP BY 1
+), hits AS (
+  SELECT doc_id, lang, word, count(*) AS p FROM spoken GROUP BY 1, 2, 3
+), word_bins AS (
+  SELECT c.doc_id, t.k, coalesce(h.p, 0) AS p, t.q FROM counted c JOIN top t ON c.lang IS NOT DISTINCT FROM t.lang LEFT JOIN hits h ON h.doc_id = c.doc_id AND h.word = t.word
+), bins AS (
+  SELECT 'c' AS part, doc_id, p, q FROM shares JOIN class_reference r ON shares.lang IS NOT DISTINCT FROM r.lang AND shares.k = r.k
+  UNION ALL SELECT 'w', doc_id, p, q FROM word_bins
+  UNION ALL SELECT 'w', c.doc_id, greatest(c.n_words - b.p, 0), t.n - k.q FROM counted c JOIN (SELECT doc_id, sum(p) AS p FROM word_bins GROUP BY 1) b ON b.doc_id = c.doc_id
+    JOIN known k ON c.lang IS NOT DISTINCT FROM k.lang JOIN totals t ON c.lang IS NOT DISTINCT FROM t.lang
+), scaled AS (
+  SELECT part, doc_id, p / nullif(sum(p) OVER own, 0) AS x, q / nullif(sum(q) OVER own, 0) AS y FROM (SELECT part, doc_id, CAST(p AS DOUBLE) AS p, CAST(q AS DOUBLE) AS q FROM bins)
+  WINDOW own AS (PARTITION BY part, doc_id)
+), far AS (
+  SELECT part, doc_id, sqrt(greatest(sum((CASE WHEN x > 0 THEN x * log2(2 * x / (x + y)) ELSE 0 END + CASE WHEN y > 0 THEN y * log2(2 * y / (x + y)) ELSE 0 END) / 2), 0)) AS d
+  FROM scaled WHERE x IS NOT NULL AND y IS NOT NULL GROUP BY 1, 2
+), judged AS (
+  SELECT c.doc_id, c.n_words, c.word_chars, c.n_symbols, len(c.lines) - len(list_distinct(c.lines)) AS n_dup_lines, coalesce(r.n, 0) AS n_repeat_words,
+    a.d AS character_distance, b.d AS word_distance, c.n_words < 20 OR 100 * coalesce(r.n, 0) > 30 * c.n_words AS base_failed
+  FROM counted c LEFT JOIN repeated r USING (doc_id) LEFT JOIN far a ON a.doc_id = c.doc_id AND a.part = 'c' LEFT JOIN far b ON b.doc_id = c.doc_id AND b.part = 'w'
+)
+SELECT doc_id, n_words, word_chars, n_symbols, CAST(n_dup_lines AS BIGINT) AS n_dup_lines, n_repeat_words, round(character_distance, 6) AS character_distance, round(word_distance, 6) AS word_distance,
+  base_failed, NOT base_failed AND NOT (coalesce(character_distance, 0) > 0.16 AND n_words >= 20) AND NOT (coalesce(word_distance, 0) > 0.33 AND n_words >= 50) AS kept FROM judged"""
+
+
+@query("op9_divergence_rules", DIVERGENCE_SQL)
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality.divergence_rules(table(spark, sf_dir, "documents", "doc_id", "text", "lang"))
     return judged.select(
-        "row.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "character_distance", "word_distance",
-        "base_failed", "kept")
+        "row.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", F.round("character_distance", 6).alias("character_distance"),
+        F.round("word_distance", 6).alias("word_distance"), "base_failed", "kept")
 
 
 WARC_SQL = """

@@ -82,19 +82,21 @@ def _framed(df: DataFrame) -> DataFrame:
 
 
 def _payload() -> Column:
-    """The body behind the HTTP header of a response that is complete."""
+    """The body behind the HTTP header of a response that is complete; null if its block has no blank line."""
     block = F.substring("part", F.col("head_bytes") + 5, F.col("length").cast("int"))
-    http = F.locate("\r\n\r\n", F.substring(block, 1, 4096).cast("string"))
-    return F.when(F.col("complete") & (_header("WARC-Type") == "response"), F.substring(block, http + 4, F.octet_length(block)))
+    # of bytes cast to a string, what stands before the blank line keeps its bytes
+    http = F.octet_length(F.substring_index(block.cast("string"), "\r\n\r\n", 1))
+    body = F.when(http < F.octet_length(block), F.substring(block, http + 5, F.octet_length(block)))
+    return F.when(F.col("complete") & (_header("WARC-Type") == "response"), body)
 
 
 def candidates(spark: SparkSession, path: str) -> DataFrame:
     """Every place with a magic: ``(file, at, next, end, row)``, its header and what :func:`_framed` found, without the bytes.
 
-    ``at`` is its offset, ``next`` that of its successor, null where no header follows, and ``end`` the file's size. An empty archive gives no rows.
+    ``mark`` is a hash of the part's bytes, ``at`` its offset, ``next`` that of its successor, null where no header follows, and ``end`` the file's size. An empty archive gives no rows.
     """
     size = F.octet_length("part") + len(MAGIC)
-    seen = _framed(_parts(spark, path)).withColumn("size", size).drop("part", "payload")
+    seen = _framed(_parts(spark, path)).withColumns({"size": size, "mark": F.xxhash64("part")}).drop("part", "payload")
     seen = cut(seen)
     blocks = seen.groupBy("file", "block").agg(F.sum("size").alias("bytes"))
     before = F.coalesce(F.sum("bytes").over(Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
@@ -132,7 +134,8 @@ def read(spark: SparkSession, path: str) -> DataFrame:
 
     Sizes and digests are those of the payloads as they are read, null for revisits. Parts that no chain reaches are bytes
     of the record before them: such records are put together from their parts in a second scan. Headers may be of any length.
-    A file whose chain does not lead to its end is refused, since pages behind the break would be missing.
+    A file whose chain does not lead to its end is refused, since pages behind the break would be missing; so are a response
+    without an HTTP header and a second scan that does not see the parts of the first (files split differently since).
     """
     found = cut(candidates(spark, path))
     links = found.select("file", "at", "next").where("next is not null")
@@ -145,17 +148,23 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     marked = found.join(true.withColumn("sound", F.lit(True)), ["file", "at"], "left")
     order = Window.partitionBy("file").orderBy("at")
     owners = marked.withColumn("owner", F.last(F.when(F.col("sound"), F.struct("at", "complete")), ignorenulls=True).over(order))
-    torn = cut(owners.where(~F.col("owner.complete")).select("row", "file", "at", F.col("owner.at").alias("owner")))
+    torn = cut(owners.where(~F.col("owner.complete")).select("row", "mark", "file", "at", F.col("owner.at").alias("owner")))
     whole = marked.where("sound").drop("sound")
     if not torn.isEmpty():
-        parts = _parts(spark, path).select("row", "part").join(torn, "row").groupBy("file", "owner").agg(
+        again = _parts(spark, path).select("row", F.xxhash64("part").alias("mark"), "part")
+        parts = torn.join(again, ["row", "mark"], "left").groupBy("file", "owner").agg(
             F.array_sort(F.collect_list(F.struct("at", "part"))).alias("all"))
+        parts = parts.withColumn("all", F.when(F.exists("all", lambda x: x["part"].isNull()), F.raise_error(
+            F.lit("the files were split differently in the second scan"))).otherwise(F.col("all")))
         magic = F.lit(MAGIC).cast("binary")
         joined = F.aggregate(F.slice("all", 2, F.size("all")), F.get("all", F.lit(0))["part"], lambda a, x: F.concat(a, magic, x["part"]))
         mended = _framed(parts.select("file", F.col("owner").alias("at"), joined.alias("part")))
         mended = mended.select("file", "at", F.col("payload_bytes").alias("bytes"), F.col("payload_digest").alias("sha"))
         whole = whole.join(mended, ["file", "at"], "left").withColumns({
             "payload_bytes": F.coalesce("bytes", "payload_bytes"), "payload_digest": F.coalesce("sha", "payload_digest")})
+    lacks_http = (_header("WARC-Type") == "response") & F.col("payload_bytes").isNull()
+    whole = whole.withColumn("payload_bytes", F.when(lacks_http, F.raise_error(
+        F.lit("a response record without an HTTP header")).cast("long")).otherwise(F.col("payload_bytes")))
     return whole.select(
         _header("WARC-Record-ID").alias("record_id"), _header("WARC-Type").alias("record_type"), _header("WARC-Refers-To").alias("refers_to"),
         _header("WARC-Target-URI").alias("target"), F.regexp_replace(_header("WARC-Payload-Digest"), "^sha1:", "").alias("digest"),

@@ -198,6 +198,54 @@ def test_neighbours_have_high_recall(spark):
     assert ann.search(index, df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("clusters", [8, 40])
+def test_neighbours_are_found_in_tight_clusters(spark, clusters):
+    rng = np.random.default_rng(clusters)
+    centres = rng.normal(size=(clusters, 64))
+    points = (centres[rng.integers(clusters, size=3000)] + rng.normal(scale=0.02, size=(3000, 64))).astype(np.float64)
+    graph = ann.Graph(points).build()
+    reached = np.zeros(len(points), bool)
+    graph._reached(graph.entries, reached)
+    assert reached.all()
+    asked = np.arange(0, 3000, 20)
+    nodes, _ = graph.search(points[asked], ann.SEARCH_BEAM)
+    hit = 0
+    for q, found in zip(asked, nodes):
+        near = np.argsort(((points - points[q]) ** 2).sum(1), kind="stable")[:11]
+        hit += len(set(near.tolist()) & set(found[:11].tolist()))
+    assert hit >= 0.9 * 11 * len(asked)
+
+
+def test_copies_of_a_vector_are_rows_of_the_index_and_few_candidates_are_all_given(spark):
+    df = spark.createDataFrame([(i, [1.0, float(i > 40)]) for i in range(45)], "vec_id long, embedding array<double>")
+    index = ann.build_index(df)
+    assert index.count() == 45 and index.where("edges is not null").count() == 2
+    got = collections.defaultdict(list)
+    for r in ann.search(index, df.where("vec_id in (0, 3, 44)")).orderBy("query_id", "rank").collect():
+        got[r["query_id"]].append((r["vec_id"], r["score"]))
+    assert got[0] == [(i, 0.0) for i in range(1, 11)] and got[3] == [(i, 0.0) for i in (0, 1, 2, 4, 5, 6, 7, 8, 9, 10)]
+    assert got[44] == [(i, 0.0) for i in (41, 42, 43)] + [(i, 1.0) for i in range(7)]
+    few = df.where("vec_id > 41")
+    assert [r["vec_id"] for r in ann.search(ann.build_index(few), few.where("vec_id = 43")).orderBy("rank").collect()] == [42, 44]
+
+
+def foreign(block: bytes, kind: str = "response") -> bytes:
+    return b"WARC/1.1\r\nWARC-Type: %s\r\nWARC-Record-ID: <urn:x:1>\r\nContent-Length: %d\r\n\r\n" % (kind.encode(), len(block)) + block + b"\r\n\r\n"
+
+
+def test_foreign_http_headers_of_any_length(spark, tmp_path):
+    body = "päge\r\n\r\nmore".encode()
+    heads = [b"HTTP/1.1 200 OK\r\nX-Long: " + b"y" * 5_000, b"HTTP/1.1 200 OK\r\nX-Name: " + "é".encode() * 4_000, b"HTTP/1.1 200 OK"]
+    (tmp_path / "a").mkdir()
+    (tmp_path / "a" / "one.warc").write_bytes(b"".join(foreign(h + b"\r\n\r\n" + body) for h in heads))
+    got = warc.read(spark, str(tmp_path / "a")).collect()
+    assert [(r["payload_bytes"], r["payload_digest"]) for r in got] == [(len(body), hashlib.sha1(body).hexdigest())] * 3
+    (tmp_path / "b").mkdir()
+    (tmp_path / "b" / "one.warc").write_bytes(foreign(b"HTTP/1.1 200 OK\r\nno blank line"))
+    with pytest.raises(Exception, match="without an HTTP header"):
+        warc.read(spark, str(tmp_path / "b")).collect()
+
+
 def test_archives_read_back_whole(spark):
     fake = "x WARC/1.1\r\nWARC-Type: response\r\nContent-Length: 3\r\n\r\nabc\r\n\r\nWARC/1.1\r\n"
     rows = [(i, f"u{i}", fake * (i % 5) + "é" * (i % 400)) for i in range(60)] + [

@@ -145,3 +145,13 @@ def test_quality_counts_and_rules(spark, odd):
         assert r["base_failed"] == (len(w) < 20 or 100 * len(covered) > 30 * len(w))
     kept = {r["doc_id"]: r["kept"] for r in got}
     assert all(kept[10 + i] for i in range(30)) and not kept[90] and not kept[91] and not kept[1] and not kept[2]
+
+
+def test_common_words_may_have_any_length(spark):
+    rng = random.Random(5)
+    common, rare = ["क्योंकि", "विश्वविद्यालय", "अंतर्राष्ट्रीय"], ["परीक्षा", "पुस्तकालय", "स्वतंत्रता", "प्रधानमंत्री"]
+    fine = [(i, " ".join(rng.choice(common) if k % 2 else rng.choice(rare) + str(rng.randrange(10**6)) for k in range(100)), "hi", 9, "z") for i in range(20)]
+    odd = [(90, " ".join(rng.choice(rare) + str(rng.randrange(10**6)) for k in range(100)), "hi", 9, "z")]
+    got = {r["doc_id"]: r for r in quality.divergence_rules(spark.createDataFrame(fine + odd, DOCS)).select("row.doc_id", "*").collect()}
+    assert got[90]["word_distance"] > 0.33 and not got[90]["kept"] and not got[90]["base_failed"]
+    assert all(got[i]["word_distance"] < 0.33 for i in range(20))
