@@ -30,9 +30,15 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays, the one with the smallest id; of rows with one id, one. Null ids all stay."""
-    kept = near_dedup.near_duplicates(docs, percent=SIMILAR_PERCENT).where(F.col("kept") & F.col("doc_id").isNotNull()).select("doc_id").distinct()
-    one = docs.where(F.col("doc_id").isNotNull()).join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    """One document of each group stays, the one with the smallest id. Null ids all stay.
+
+    Rows that share an id but not text, source and language are documents of their own; of those that share all four, one stays.
+    """
+    keyed = docs.where(F.col("doc_id").isNotNull()).withColumn("_key", F.xxhash64("doc_id", "text", "source", "lang"))
+    found = near_dedup.near_duplicates(keyed, "_key", percent=SIMILAR_PERCENT).select("_key", "component_id")
+    named = found.join(keyed.select("_key", "doc_id"), "_key")  # columns without the text
+    first = named.groupBy("component_id").agg(F.min(F.struct("doc_id", "_key")).alias("first")).select("first._key")
+    one = keyed.join(first, "_key", "left_semi").dropDuplicates(["_key"]).select(docs.columns)
     return one.unionByName(docs.where(F.col("doc_id").isNull()))
 
 
