@@ -7,6 +7,8 @@ engine can repeat it.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 SPAN = 4294967296.0
@@ -50,3 +52,52 @@ def bootstrap_counts(units: DataFrame, unit: str, replicates: int, seed: int) ->
     return counted.join(units.select(unit, "position"), "position").select(
         "replicate", unit, "weight"
     )
+
+
+ROUNDS = 8
+PRIME = 2147483647
+
+
+def radices(n: int) -> tuple[int, int]:
+    """Two numbers near the root of ``n`` whose product is ``n`` or a little more (at most a root more)."""
+    if n <= 2:
+        return 1, max(n, 1)
+    root = max(2, math.isqrt(n))
+    domain = n
+    while True:
+        for a in range(root, max(2, root // 4) - 1, -1):
+            if domain % a == 0:
+                return a, domain // a
+        domain += 1
+
+
+def round_keys(*parts) -> Column:
+    """Keys of one permutation, an array of ``ROUNDS`` numbers; made once per permutation, not per row."""
+    return F.array(*[draw_int(*parts, F.lit(i)) % PRIME for i in range(ROUNDS)])
+
+
+def shuffled_position(position: Column, n: int, keys: Column) -> Column:
+    """Where the permutation of ``0..n-1`` with these :func:`round_keys` sends ``position``: no sort, no table of orders.
+
+    A Feistel network on pairs (l, r) of mixed radices: in turn one half moves by a keyed hash of the other (a square modulo a
+    prime, so that nothing overflows), which can be undone, so it is a bijection of the ``a * b >= n`` pairs. What lands at ``n`` or above goes through again until it is below;
+    since that follows a cycle of the bijection and only ``a * b - n`` places lie above, so many more passes always do.
+    """
+    a, b = radices(n)
+    whole = lambda c: c.cast("bigint")
+
+    def step(state: Column, i: Column) -> Column:
+        left, right, key = state["l"], state["r"], F.get(keys, i)
+        even = i % 2 == 0
+        moved = (F.when(even, right).otherwise(left) + key) % PRIME
+        hashed = moved * moved % PRIME * 48271 + key
+        return F.when(even, F.struct(((left + hashed % PRIME) % a).alias("l"), right.alias("r"))).otherwise(
+            F.struct(left.alias("l"), ((right + hashed % PRIME) % b).alias("r")))
+
+    def once(x: Column) -> Column:
+        rest = F.pmod(x, F.lit(b))
+        start = F.struct(whole((x - rest) / b).alias("l"), whole(rest).alias("r"))
+        return F.aggregate(F.sequence(F.lit(0), F.lit(ROUNDS - 1)), start, step, lambda s: s["l"] * b + s["r"])
+
+    return F.aggregate(
+        F.sequence(F.lit(0), F.lit(a * b - n)), whole(position), lambda x, i: F.when((i == 0) | (x >= n), once(x)).otherwise(x))

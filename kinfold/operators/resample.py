@@ -12,7 +12,7 @@ from typing import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from kinfold.functions.draws import bootstrap_counts, draw_uniform, replicate_column
+from kinfold.functions.draws import bootstrap_counts, draw_uniform, replicate_column, round_keys, shuffled_position
 from kinfold.operators import metrics as M
 from kinfold.operators.ordered import attach, largest_key, ordered_totals, positions
 from kinfold.session import cut
@@ -126,18 +126,20 @@ def sign_consistency(df: DataFrame, keys: Sequence[str], rho: str, expected: int
 def permutation_spearman(components: DataFrame, unit: str, x: str, y: str, replicates: int, seed: int) -> DataFrame:
     """Null correlations of randomly re-paired components: ``(replicate, rho)``.
 
-    Ranks do not change under re-pairing, so each replicate is one sum of products. The permutation is
-    the order of ``md5(seed:replicate:position)``.
+    Ranks do not change under re-pairing, so each replicate is one sum of products, and since the permutations are
+    :func:`shuffled_position`'s, keyed by seed and replicate, none of them is sorted.
     """
     # ranks of distinct values, joined back to the components
     rx, ry = (M.average_ranks(components, [], c, f"_r{i}") for i, c in enumerate((x, y)))
     ranked = components.join(rx.drop("n_all"), x).join(ry, y)
     numbered = cut(ranked.join(positions(components.select(unit), [], unit).select(unit, "position"), unit).select("position", "_r0", "_r1", "n_all"))
-    n = largest_key(numbered, [])
-    spread = numbered.select("position", "_r0", replicate_column(replicates).alias("replicate")).withColumn(
-        "_h", F.md5(F.concat_ws(":", F.lit(str(seed)), "replicate", "position")))
-    order = positions(spread, ["replicate"], "_h", max_rows=n).withColumnRenamed("position", "target")
-    moved = spread.join(order.select("replicate", "_h", "target"), ["replicate", "_h"]).select("replicate", "_r0", "target")
+    n = numbered.count()
+    # spread before the rows multiply, so that all cores share the hashing
+    spread = numbered.select("position", "_r0").repartition(components.sparkSession.sparkContext.defaultParallelism, "position")
+    named = components.sparkSession.range(1, replicates + 1).select(F.col("id").cast("int").alias("replicate"), round_keys(seed, F.col("id")).alias("keys"))
+    every = named.agg(F.collect_list(F.struct("replicate", "keys"))).scalar()  # as many as were asked for
+    spread = spread.withColumn("_p", every).select("position", "_r0", F.explode("_p").alias("_p"))
+    moved = spread.select("_p.replicate", "_r0", shuffled_position(F.col("position"), n, F.col("_p.keys")).alias("target"))
     paired = moved.join(numbered.select(F.col("position").alias("target"), "_r1"), "target")
     mid = (n + 1) / 2
     a, b = F.col("_r0") - mid, F.col("_r1") - mid
@@ -149,7 +151,7 @@ def permutation_p(null: DataFrame, observed: Column, value: str = "rho", toleran
     return (1 + F.count_if(F.abs(value) >= F.abs(observed) - tolerance)) / (1 + F.count(value))
 
 
-def component_inference(df: DataFrame, unit: str, x: str, y: str, replicates: int, permutations: int, seed: int) -> DataFrame:
+def component_inference(df: DataFrame, unit: str, x: str, y: str, replicates: int, permutations: int = 9_999, seed: int = 0) -> DataFrame:
     """Spearman between component medians with bootstrap interval and permutation p."""
     from kinfold.operators.rollup import component_medians
 
@@ -194,14 +196,15 @@ def exact_cosine_permutation(df: DataFrame, keys: Sequence[str], label: str, lef
     """Cosine of two vectors per key against every order of one vector's labels.
 
     A key's vector has at most ``n`` components (8 at most), so it fits an array; a longer one is an error. Every key is
-    permuted over its own number of components. The identity order counts through the tolerance.
+    permuted over its own number of components. The identity order counts through the tolerance. A vector of zeros has no
+    cosine and no p value.
     """
     packed = df.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(label, left, right))).alias("_v"))
     arrays = packed.select(
         *keys, F.transform("_v", lambda s: s[left]).alias("_l"), F.transform("_v", lambda s: s[right]).alias("_r"))
     dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, v: s + v)
     norm = F.sqrt(dot(F.col("_l"), F.col("_l")) * dot(F.col("_r"), F.col("_r")))
-    base = arrays.withColumns({"_norm": norm, "observed": dot(F.col("_l"), F.col("_r")) / norm})
+    base = arrays.withColumns({"_norm": F.nullif(norm, F.lit(0.0)), "observed": F.try_divide(dot(F.col("_l"), F.col("_r")), norm)})
     # small literal arrays: n! orders, at most 40,320
     size = F.size("_r")
     orders = F.raise_error(F.lit(f"a vector has more than {n} components")).cast("array<array<int>>")
@@ -210,7 +213,20 @@ def exact_cosine_permutation(df: DataFrame, keys: Sequence[str], label: str, lef
     every = base.withColumn("_o", F.explode(orders))
     moved = F.transform("_o", lambda i: F.element_at("_r", i + 1))
     null = every.select(*keys, "observed", (dot(F.col("_l"), moved) / F.col("_norm")).alias("rho"))
-    return null.groupBy(*keys).agg(F.max("observed").alias("cosine"), permutation_p(null, F.col("observed")).alias("exact_p"), F.count("*").alias("orders"))
+    p = F.when(F.max("observed").isNotNull(), permutation_p(null, F.col("observed")))
+    return null.groupBy(*keys).agg(F.max("observed").alias("cosine"), p.alias("exact_p"), F.count("*").alias("orders"))
+
+
+def leave_one_label_permutation(df: DataFrame, keys: Sequence[str], label: str, left: str, right: str, n: int) -> DataFrame:
+    """:func:`exact_cosine_permutation` of all labels (``omitted`` is null) and with each label left out, plus ``retained`` labels.
+
+    Each variant is permuted over the orders of its own labels; shares need not be scaled anew, since a cosine has no scale.
+    """
+    omitted = df.groupBy(*keys).agg(F.concat(F.array(F.lit(None).cast(df.schema[label].dataType)), F.sort_array(F.collect_set(label))).alias("_all"))
+    variants = df.join(omitted, list(keys)).withColumn("omitted", F.explode("_all")).where(~F.col(label).eqNullSafe(F.col("omitted")))
+    tested = exact_cosine_permutation(variants, [*keys, "omitted"], label, left, right, n)
+    sizes = variants.groupBy(*keys, "omitted").agg(F.count("*").alias("retained")).withColumnRenamed("omitted", "_o")
+    return tested.join(sizes, list(keys)).where(F.col("omitted").eqNullSafe(F.col("_o"))).drop("_o")
 
 
 def weighted_resample(df: DataFrame, order: str, weight: Column, seed: int) -> DataFrame:

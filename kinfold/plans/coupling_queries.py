@@ -6,7 +6,7 @@ from kinfold.operators import coupling as C, metrics as M, ordered as O, resampl
 from kinfold.plans.fixtures import FEATURES, attr, class_oof, oof, records, with_views
 from kinfold.plans.metric_queries import rounded
 from kinfold.plans.registry import query
-from kinfold.plans.resample_queries import draws, wrho
+from kinfold.plans.resample_queries import draws, shuffled, wrho
 from kinfold.session import cut
 
 r6 = lambda c: F.round(c, 6)
@@ -74,15 +74,15 @@ def groups(spark, sf):
 def inference_sql(i, x, y, seed):
     return f"""c{i} AS (SELECT block, median({x}) AS x, median({y}) AS y FROM cg GROUP BY 1), {draws('block', f'c{i}', REPS, seed, f'd{i}')}, b{i} AS (SELECT rep, x AS completed, y AS shap, w FROM c{i} JOIN d{i} USING (block)), {wrho(f'b{i}', 'rep', name=f'br{i}')},
  o{i} AS (SELECT 1 AS k, x AS completed, y AS shap, 1 AS w FROM c{i}), {wrho(f'o{i}', 'k', name=f'es{i}')}, rk{i} AS (SELECT row_number() OVER (ORDER BY block) - 1 AS pos, rank() OVER (ORDER BY x) + (count(*) OVER (PARTITION BY x) - 1) / 2.0::DOUBLE AS rx, rank() OVER (ORDER BY y) + (count(*) OVER (PARTITION BY y) - 1) / 2.0::DOUBLE AS ry FROM c{i}),
- pm{i} AS (SELECT rep, rx, row_number() OVER (PARTITION BY rep ORDER BY md5(concat_ws(':', '{seed}', rep, pos))) - 1 AS target FROM rk{i}, (SELECT range AS rep FROM range(1, 100))), nl{i} AS (SELECT rep, corr(pm{i}.rx, rk{i}.ry) AS rho FROM pm{i} JOIN rk{i} ON rk{i}.pos = pm{i}.target GROUP BY 1),
+ {shuffled(f'rk{i}', f'sh{i}', seed, 999)}, pm{i} AS (SELECT rep, rx, target FROM rk{i} JOIN sh{i} USING (pos)), nl{i} AS (SELECT rep, corr(pm{i}.rx, rk{i}.ry) AS rho FROM pm{i} JOIN rk{i} ON rk{i}.pos = pm{i}.target GROUP BY 1),
  f{i} AS (SELECT (SELECT rho FROM es{i}) AS estimate, (SELECT quantile_cont(rho, 0.025) FROM br{i}) AS ci_low, (SELECT quantile_cont(rho, 0.975) FROM br{i}) AS ci_high, (SELECT n FROM es{i}) AS components, (1 + count(*) FILTER (abs(rho) >= abs((SELECT rho FROM es{i})) - 1e-12)) * 1.0::DOUBLE / (1 + count(*)) AS p FROM nl{i})"""
 
 
 @query("c3_associations", with_views("oof class_oof", f"""WITH {CG}, {inference_sql(0, 'p_s', 'p_u', 7)}, {inference_sql(1, 'p_c', 'p_u', 1007)}, {inference_sql(2, 'p_s', 'p_c', 2007)},
  a AS (SELECT 'raw' AS analysis, * FROM f0 UNION ALL SELECT 'calibrated', * FROM f1 UNION ALL SELECT 'agreement', * FROM f2), n AS (SELECT p, count(*) AS c FROM a GROUP BY 1), r AS (SELECT p, p * sum(c) OVER () / sum(c) OVER (ORDER BY p) AS raw FROM n), q AS (SELECT p, least(min(raw) OVER (ORDER BY p DESC), 1) AS q FROM r)
-SELECT analysis, round(estimate, 6) AS estimate, round(ci_low, 6) AS ci_low, round(ci_high, 6) AS ci_high, components, round(p, 6) AS permutation_p, round(q, 6) AS fdr_q FROM a JOIN q USING (p)"""))
+SELECT analysis, round(estimate, 6) AS estimate, round(ci_low, 6) AS ci_low, round(ci_high, 6) AS ci_high, components, round(p, 6) AS permutation_p, round(q, 6) AS fdr_q FROM a JOIN q USING (p)""", recursive=True))
 def c3(spark, sf):
-    got = C.associations(groups(spark, sf), {"raw": ("p_s", "p_u"), "calibrated": ("p_c", "p_u"), "agreement": ("p_s", "p_c")}, "block", REPS, 99, 7)
+    got = C.associations(groups(spark, sf), {"raw": ("p_s", "p_u"), "calibrated": ("p_c", "p_u"), "agreement": ("p_s", "p_c")}, "block", REPS, 999, 7)
     return rounded(got.select("analysis", "estimate", "ci_low", "ci_high", "components", "permutation_p", "fdr_q"), ["estimate", "ci_low", "ci_high", "permutation_p", "fdr_q"])
 
 

@@ -19,6 +19,19 @@ def draws(unit, source, reps=REPS, seed=7, name="draws"):
 {name} AS (SELECT rep, u.{unit}, w FROM (SELECT rep, CAST('0x' || substr(md5(concat_ws(':', '{seed}', rep, pos)), 1, 8) AS BIGINT) % n AS hit, count(*) AS w FROM {name}_u, (SELECT range AS rep FROM range(1, {reps + 1})) GROUP BY 1, 2) d JOIN {name}_u u ON u.pos = d.hit)"""
 
 
+def shuffled(source, name, seed, reps):
+    """Targets ``(rep, pos, target)`` of the rows of ``source`` (with ``pos``): the network of ``draws.shuffled_position``, a round a step."""
+    h = lambda half: f"(((({half} + key) % 2147483647) * (({half} + key) % 2147483647)) % 2147483647 * 48271 + key) % 2147483647"
+    return f"""{name}_d AS (SELECT n, CASE WHEN n <= 2 THEN 1 ELSE a END AS a, CASE WHEN n <= 2 THEN greatest(n, 1) ELSE m // a END AS b FROM (
+  SELECT n, m, unnest(range(greatest(2, root // 4), root + 1)) AS a FROM (SELECT n, root, unnest(range(n, n + root + 1)) AS m FROM (
+   SELECT count(*) AS n, greatest(2, CAST(floor(sqrt(count(*))) AS BIGINT)) AS root FROM {source}))) WHERE m % a = 0 ORDER BY m, a DESC LIMIT 1),
+ {name}_k AS (SELECT rep, t, CAST('0x' || substr(md5(concat_ws(':', '{seed}', rep, t)), 1, 8) AS BIGINT) % 2147483647 AS key FROM (SELECT range AS rep FROM range(1, {reps + 1})), (SELECT range AS t FROM range(8))),
+ {name}_w AS (SELECT rep, pos, pos // b AS l, pos % b AS r, 0 AS i FROM {source}, {name}_d, (SELECT range AS rep FROM range(1, {reps + 1}))
+  UNION ALL SELECT w.rep, pos, CASE WHEN i % 2 = 0 THEN (l + {h('r')}) % a ELSE l END, CASE WHEN i % 2 = 1 THEN (r + {h('l')}) % b ELSE r END, i + 1
+  FROM {name}_w w JOIN {name}_k k ON k.rep = w.rep AND k.t = w.i % 8, {name}_d WHERE i % 8 <> 0 OR i = 0 OR l * b + r >= n),
+ {name} AS (SELECT rep, pos, l * b + r AS target FROM {name}_w, {name}_d WHERE i > 0 AND i % 8 = 0 AND l * b + r < n)"""
+
+
 def pair_auc(unit):
     return with_views("consensus", f"""WITH {draws(unit, 'consensus')},
  drawn AS (SELECT rep, {unit}, w FROM draws UNION ALL SELECT DISTINCT 0, {unit}, 1 FROM consensus WHERE {unit} IS NOT NULL),
@@ -137,13 +150,13 @@ COMP = "comp AS (SELECT block, median(f_total) AS x, median(f_price) AS y FROM r
 
 @query("b7_component_inference", with_views("records", f"""WITH {COMP}, {draws('block', 'comp')}, b AS (SELECT rep, x AS completed, y AS shap, w FROM comp JOIN draws USING (block)), {wrho('b', 'rep')}, one AS (SELECT 1 AS k, x AS completed, y AS shap, 1 AS w FROM comp), {wrho('one', 'k', name='est')},
  rk AS (SELECT row_number() OVER (ORDER BY block) - 1 AS pos, rank() OVER (ORDER BY x) + (count(*) OVER (PARTITION BY x) - 1) / 2.0::DOUBLE AS rx, rank() OVER (ORDER BY y) + (count(*) OVER (PARTITION BY y) - 1) / 2.0::DOUBLE AS ry FROM comp),
- pm AS (SELECT rep, rx, row_number() OVER (PARTITION BY rep ORDER BY md5(concat_ws(':', '7', rep, pos))) - 1 AS target FROM rk, (SELECT range AS rep FROM range(1, 100))),
+ {shuffled('rk', 'sh', 7, 999)}, pm AS (SELECT rep, rx, target FROM rk JOIN sh USING (pos)),
  nl AS (SELECT rep, corr(pm.rx, rk.ry) AS rho FROM pm JOIN rk ON rk.pos = pm.target GROUP BY 1)
 SELECT (SELECT round(rho, 6) FROM est) AS estimate, (SELECT round(quantile_cont(rho, 0.025), 6) FROM rho) AS ci_low, (SELECT round(quantile_cont(rho, 0.975), 6) FROM rho) AS ci_high, (SELECT n FROM est) AS components, (SELECT count(rho) FROM rho) AS bootstraps_valid,
- round((1 + count(*) FILTER (abs(rho) >= abs((SELECT rho FROM est)) - 1e-12)) * 1.0::DOUBLE / (1 + count(*)), 6) AS permutation_p, count(*) AS permutations_valid FROM nl"""))
+ round((1 + count(*) FILTER (abs(rho) >= abs((SELECT rho FROM est)) - 1e-12)) * 1.0::DOUBLE / (1 + count(*)), 6) AS permutation_p, count(*) AS permutations_valid FROM nl""", recursive=True))
 def b7(spark, sf):
     rows = records(spark, sf).select("block", F.col("f_total").alias("x"), F.col("f_price").alias("y"))
-    return rounded(B.component_inference(rows, "block", "x", "y", REPS, 99, 7), ["estimate", "ci_low", "ci_high", "permutation_p"])
+    return rounded(B.component_inference(rows, "block", "x", "y", REPS, 999, 7), ["estimate", "ci_low", "ci_high", "permutation_p"])
 
 
 @query("b8_bin_median_interval", with_views("records", f"""WITH g AS (SELECT group_id, min(block) AS block, median(f_total) AS v, CAST(min(domain) % 4 AS INTEGER) AS bin FROM records GROUP BY 1), {draws('block', 'g')},
@@ -163,10 +176,28 @@ WITH RECURSIVE i AS (SELECT class, feature, avg(shap) AS v FROM attr GROUP BY 1,
  ob AS (SELECT a, b, sum(l.v * r.v) / (sqrt(sum(l.v * l.v)) * sqrt(sum(r.v * r.v))) AS c0 FROM pairs JOIN v l ON l.class = a JOIN v r ON r.class = b AND r.k = l.k GROUP BY 1, 2)
 SELECT a AS left_class, b AS right_class, round(any_value(c0), 6) AS cosine, round((1 + count(*) FILTER (abs(c) >= abs(c0) - 1e-12)) * 1.0::DOUBLE / (1 + count(*)), 6) AS exact_p, count(*) AS orders FROM nl JOIN ob USING (a, b) GROUP BY 1, 2""", recursive=True).replace("RECURSIVE i AS", "i AS"))
 def b9(spark, sf):
+    return rounded(B.exact_cosine_permutation(signed_share_pairs(spark, sf), ["left_class", "right_class"], "feature", "left_value", "right_value", 6), ["cosine", "exact_p"])
+
+
+@query("b9_leave_one_feature", with_views("attr", """
+WITH i AS (SELECT class, feature, avg(shap) AS v FROM attr GROUP BY 1, 2), s AS (SELECT class, feature, v / sum(abs(v)) OVER (PARTITION BY class) AS v FROM i),
+ om AS (SELECT DISTINCT feature AS omitted FROM s UNION ALL SELECT NULL), pairs AS (SELECT * FROM (VALUES ('F', 'O'), ('F', 'P'), ('O', 'P')) t(a, b)),
+ v AS (SELECT omitted, class, v, row_number() OVER (PARTITION BY omitted, class ORDER BY feature) AS k, count(*) OVER (PARTITION BY omitted, class) AS n FROM s, om WHERE omitted IS NULL OR feature <> omitted),
+ perm(n, o) AS (SELECT n, CAST([] AS BIGINT[]) FROM (VALUES (5), (6)) t(n) UNION ALL SELECT n, list_append(o, k) FROM perm, (SELECT range AS k FROM range(1, 7)) WHERE k <= n AND NOT list_contains(o, k)),
+ full_ AS (SELECT n, o, row_number() OVER () AS id FROM perm WHERE len(o) = n),
+ nl AS (SELECT a, b, l.omitted, id, sum(l.v * r.v) / (sqrt(sum(l.v * l.v)) * sqrt(sum(r.v * r.v))) AS c FROM pairs JOIN v l ON l.class = a JOIN full_ ON full_.n = l.n JOIN v r ON r.class = b AND r.omitted IS NOT DISTINCT FROM l.omitted AND r.k = o[l.k] GROUP BY 1, 2, 3, 4),
+ ob AS (SELECT a, b, l.omitted, count(*) AS retained, sum(l.v * r.v) / (sqrt(sum(l.v * l.v)) * sqrt(sum(r.v * r.v))) AS c0 FROM pairs JOIN v l ON l.class = a JOIN v r ON r.class = b AND r.omitted IS NOT DISTINCT FROM l.omitted AND r.k = l.k GROUP BY 1, 2, 3)
+SELECT nl.a AS left_class, nl.b AS right_class, coalesce(nl.omitted, 'none') AS omitted, any_value(retained) AS retained, round(any_value(c0), 6) AS cosine,
+ round((1 + count(*) FILTER (abs(c) >= abs(c0) - 1e-12)) * 1.0::DOUBLE / (1 + count(*)), 6) AS exact_p, count(*) AS orders FROM nl JOIN ob ON nl.a = ob.a AND nl.b = ob.b AND nl.omitted IS NOT DISTINCT FROM ob.omitted GROUP BY 1, 2, 3""", recursive=True))
+def b9_leave_one(spark, sf):
+    got = B.leave_one_label_permutation(signed_share_pairs(spark, sf), ["left_class", "right_class"], "feature", "left_value", "right_value", 6)
+    return rounded(got.withColumn("omitted", F.coalesce("omitted", F.lit("none"))), ["cosine", "exact_p"])
+
+
+def signed_share_pairs(spark, sf):
     mean = attr(spark, sf).groupBy("class", "feature").agg(F.avg("shap").alias("v"))
     shares = V.signed_share(mean, ["class"], "v", "share")
-    pairs = J.unordered_pairs(shares, ["feature"], "class", "share").withColumnsRenamed({"left": "left_class", "right": "right_class"})
-    return rounded(B.exact_cosine_permutation(pairs, ["left_class", "right_class"], "feature", "left_value", "right_value", 6), ["cosine", "exact_p"])
+    return J.unordered_pairs(shares, ["feature"], "class", "share").withColumnsRenamed({"left": "left_class", "right": "right_class"})
 
 
 @query("b10_weighted_resample", with_views("records", """

@@ -330,3 +330,36 @@ def test_binned_dependence_counts_a_group_once(spark):
     want = pd.qcut(pd.Series(range(1, 9)), 5, labels=False).value_counts().sort_index().tolist()
     assert [a[k] for k in sorted(a)] == want
     assert sum(1 for r in got if r["feature"] == "four") == 4 and not any(r["feature"] == "three" for r in got)
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 5, 7, 29, 30, 101, 997])
+def test_shuffled_positions_are_permutations(spark, n):
+    from kinfold.functions.draws import radices, round_keys, shuffled_position
+
+    a, b = radices(n)
+    assert n <= a * b <= n + max(a, 1)
+    rows = spark.range(n).crossJoin(spark.range(1, 21).withColumnRenamed("id", "rep"))
+    got = rows.select("rep", "id", shuffled_position(F.col("id"), n, round_keys(7, F.col("rep"))).alias("t")).toPandas()
+    orders = {tuple(g.sort_values("id").t) for _, g in got.groupby("rep")}
+    assert all(sorted(o) == list(range(n)) for o in orders)
+    assert len(orders) == 20 or n <= 5
+    if n >= 29:  # no place is favoured: the mean target of each position is near the middle
+        assert abs(got.t.mean() - (n - 1) / 2) < 1e-9 and (got.t == got.id).mean() < 5 / n
+
+
+def test_all_orders_of_three_come_up_alike(spark):
+    from kinfold.functions.draws import round_keys, shuffled_position
+
+    rows = spark.range(3).crossJoin(spark.range(1200).withColumnRenamed("id", "rep"))
+    got = rows.select("rep", "id", shuffled_position(F.col("id"), 3, round_keys(1, F.col("rep"))).alias("t")).toPandas()
+    counts = got.sort_values(["rep", "id"]).groupby("rep").t.apply(tuple).value_counts()
+    assert len(counts) == 6 and counts.min() > 140 and counts.max() < 260
+
+
+def test_leave_one_label_permutes_what_is_left(spark):
+    df = spark.createDataFrame([("p", i, float(i + 1), float(i + 1)) for i in range(4)] + [("z", 0, 1.0, 2.0), ("z", 1, 0.0, 1.0)], "k string, f int, a double, b double")
+    got = {(r["k"], r["omitted"]): r for r in B.leave_one_label_permutation(df, ["k"], "f", "a", "b", 4).collect()}
+    assert len(got) == 5 + 3
+    assert (got[("p", None)]["orders"], got[("p", None)]["retained"]) == (24, 4)
+    assert all((got[("p", i)]["orders"], got[("p", i)]["retained"]) == (6, 3) and got[("p", i)]["exact_p"] == pytest.approx(2 / 7) for i in range(4))
+    assert got[("z", 0)]["cosine"] is None and got[("z", 0)]["exact_p"] is None and got[("z", 1)]["cosine"] == pytest.approx(1.0)
