@@ -7,6 +7,7 @@ from typing import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from kinfold.operators.ordered import exact_quantiles
@@ -14,6 +15,8 @@ from kinfold.operators.rollup import medians
 from kinfold.session import cut
 
 CHUNK = 2048
+BOXES = 4096
+CELLS = 4_000_000  # box bounds are computed for so many (row, box, component) cells at a time
 
 
 def training_cells(df: DataFrame, record: str, own_fold: str, folds: int, features: Sequence[str]) -> DataFrame:
@@ -51,7 +54,7 @@ def scaled_rows(df: DataFrame, stats: DataFrame, record: str, own_fold: str, fol
 
 
 def _nearest(k: int):
-    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+    def best_of(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         empty = pd.DataFrame({"fold": [], "pattern": [], "feature_index": [], "distance": [], "donor": [], "donor_value": []})
         if left.empty or right.empty:
             return empty
@@ -89,33 +92,159 @@ def _nearest(k: int):
                 "fold": left["fold"].iloc[0], "pattern": left["pattern"].to_numpy()[rows[ok]], "feature_index": j,
                 "distance": dist[ok], "donor": donor[usable[cols[ok]]], "donor_value": have[usable[cols[ok]], j]}))
         return pd.concat(out, ignore_index=True) if out else empty
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        schema = pa.schema([("fold", pa.int32()), ("pattern", left.schema.field("pattern").type), ("feature_index", pa.int32()),
+                            ("distance", pa.float64()), ("donor", right.schema.field("record").type), ("donor_value", pa.float64())])
+        return pa.Table.from_pandas(best_of(left.to_pandas(), right.to_pandas()), schema, preserve_index=False)
+    return run
+
+
+def lower_bounds(x: np.ndarray, low: np.ndarray, high: np.ndarray, seen_by: np.ndarray, size: np.ndarray, lacks: np.ndarray) -> np.ndarray:
+    """(row, box) matrix: no donor of the box is nearer to the row than this.
+
+    ``low`` / ``high`` / ``seen_by`` are (box, component): range of the observed values (NaN if no donor has the
+    component) and how many donors have it; ``size`` is the number of donors and ``lacks`` the most components
+    that one donor lacks of those that others of its box have. The distance is the root of p times the mean
+    squared gap over common components. A donor drops at most ``lacks`` components from that mean, so the
+    smallest mean after taking out that many of the largest gaps bounds it. Infinite if nothing is in common.
+    """
+    p = x.shape[1]
+    gap = np.maximum(np.maximum(low[None] - x[:, None, :], x[:, None, :] - high[None]), 0.0)
+    common = ~np.isnan(gap)
+    square = np.where(common, gap * gap, 0.0)
+    total, n = square.sum(axis=2), common.sum(axis=2)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        mean = np.where(n > 0, total / n, np.inf)
+        most = int(lacks.max(initial=0))
+        if most:
+            loose = common & (seen_by < size[:, None])[None]
+            largest = -np.sort(-np.where(loose, square, 0.0), axis=2)[:, :, :most]
+            out = np.cumsum(largest, axis=2)
+            allowed = np.minimum(loose.sum(axis=2), lacks[None])
+            for t in range(1, most + 1):
+                left = np.where((t <= allowed) & (n > t), (total - out[:, :, t - 1]) / (n - t), np.inf)
+                mean = np.minimum(mean, left)
+    # the differences above lose at most rounding errors of the total
+    return np.sqrt(np.maximum(p * (mean - 1e-12 * total), 0.0)) * (1 - 1e-9)
+
+
+def _route(boxes: dict[int, dict[str, np.ndarray]], k: int, again: bool):
+    def choose(x: np.ndarray, box: dict, reach: np.ndarray | None) -> np.ndarray:
+        bound = lower_bounds(x, box["low"], box["high"], box["seen_by"], box["size"], box["lacks"])
+        order = np.argsort(bound, axis=1, kind="stable")
+        miss = np.isnan(x)
+        have = np.cumsum(box["seen_by"][order], axis=1)
+        enough = ((have >= k) | ~miss[:, None, :]).all(axis=2)
+        # nearest boxes up to the first that completes k donors for every missing component, else all
+        last = np.where(enough.any(axis=1), enough.argmax(axis=1), enough.shape[1] - 1)
+        first = np.zeros(bound.shape, dtype=bool)
+        np.put_along_axis(first, order, np.arange(bound.shape[1])[None] <= last[:, None], axis=1)
+        if reach is None:
+            return first
+        needed = (miss[:, None, :] & (box["seen_by"] > 0)[None] & (bound[:, :, None] <= reach[:, None, :])).any(axis=2)
+        return needed & ~first & np.isfinite(bound)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            schema = pa.schema([("fold", pa.int32()), ("pattern", batch.schema.field("pattern").type), ("x", pa.list_(pa.float64())), ("box", pa.int32())])
+            for fold, part in batch.to_pandas().groupby("fold"):
+                if fold not in boxes:
+                    continue
+                box = boxes[fold]
+                x = np.array(part["x"].tolist(), dtype=float)
+                reach = None
+                if again:
+                    reach = np.array(part["reach"].tolist(), dtype=float)
+                    reach = np.where(np.isnan(reach), np.inf, reach)
+                step = max(1, CELLS // box["low"].size)
+                for at in range(0, len(x), step):
+                    rows, cols = np.nonzero(choose(x[at:at + step], box, None if reach is None else reach[at:at + step]))
+                    chosen = pd.DataFrame({"fold": fold, "pattern": part["pattern"].to_numpy()[at + rows], "x": list(x[at + rows]), "box": box["box"][cols]})
+                    yield from pa.Table.from_pandas(chosen, schema, preserve_index=False).to_batches()
     return run
 
 
+def donor_boxes(donors: DataFrame, p: int, chunk: int = CHUNK) -> tuple[DataFrame, dict[int, dict[str, np.ndarray]]]:
+    """Donors (fold, record, x) with a box each, and per fold the boxes' ranges.
+
+    Donors are ordered by missing mask, then by a space-filling key (the leading bits of all squashed
+    components, then the next), and cut by range into boxes of about ``chunk`` rows; at most ``BOXES`` of them, so the
+    table of ranges that the tasks get is bounded by configuration: (BOXES + folds) x p entries.
+    """
+    n = donors.count()
+    count = max(1, min(BOXES, math.ceil(n / chunk)))
+    mask = F.array_join(F.transform("x", lambda v: F.when(v.isNull(), "1").otherwise("0")), "")
+    level = F.transform("x", lambda v: F.when(v.isNull(), 4).otherwise(F.floor(F.lit(7.999) / (1 + F.exp(-v)))).cast("int"))
+    bit = lambda i: F.array_join(F.transform(level, lambda q: F.shiftright(q, i).bitwiseAND(F.lit(1)).cast("string")), "")
+    placed = cut(donors.withColumns({"_m": mask, "_c": F.concat(bit(2), bit(1), bit(0))}).repartitionByRange(count, "fold", "_m", "_c", "record").select(
+        "fold", "record", "x", F.spark_partition_id().alias("box")))
+    ranges = placed.select("fold", "box", F.posexplode("x").alias("j", "v")).groupBy("fold", "box", "j").agg(
+        F.min("v").alias("low"), F.max("v").alias("high"), F.count("v").alias("seen_by"), F.count("*").alias("size")).toPandas()
+    gaps = placed.groupBy("fold", "box").agg(F.max(F.size(F.filter("x", lambda v: v.isNull()))).alias("lacks")).toPandas().set_index(["fold", "box"])["lacks"]
+    out = {}
+    for fold, part in ranges.sort_values(["box", "j"]).groupby("fold"):
+        grid = lambda c: part[c].to_numpy(dtype=float).reshape(-1, p)
+        names = part["box"].to_numpy()[::p]
+        seen_by = grid("seen_by")
+        out[int(fold)] = {"box": names, "low": grid("low"), "high": grid("high"), "seen_by": seen_by, "size": grid("size")[:, 0],
+                          "lacks": np.array([gaps[(fold, b)] for b in names]) - (seen_by == 0).sum(axis=1)}
+    return placed, out
+
+
+def routed(patterns: DataFrame, boxes: dict[int, dict[str, np.ndarray]], k: int) -> DataFrame:
+    """(fold, pattern, x, box): the boxes a recipient has to be compared with.
+
+    Without a column ``reach``, its nearest boxes that hold k donors for each missing component. With
+    ``reach`` (per component the distance of the k-th donor found so far, null: unbounded), all further boxes within it.
+    """
+    kind = patterns.schema["pattern"].dataType.simpleString()
+    return patterns.mapInArrow(_route(boxes, k, "reach" in patterns.columns), f"fold int, pattern {kind}, x array<double>, box int")
+
+
+def _search(pairs: DataFrame, donors: DataFrame, k: int, chunk: int, pieces: int) -> DataFrame:
+    """The k best donors of each box per missing cell; rows of a box are dealt out so that a task holds about chunk x chunk."""
+    pairs = cut(pairs)
+    load = pairs.groupBy("fold", "box").agg(F.ceil(F.count("*") / chunk).cast("int").alias("_parts"))
+    left = pairs.join(load, ["fold", "box"]).select(
+        "fold", "pattern", "x", "box", F.pmod(F.xxhash64("pattern"), "_parts").cast("int").alias("lc"), F.explode(F.sequence(F.lit(0), F.lit(pieces - 1))).alias("rc"))
+    right = donors.join(load, ["fold", "box"]).select(
+        "fold", "record", "x", "box", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)).alias("lc"), F.pmod(F.xxhash64("record"), F.lit(pieces)).cast("int").alias("rc"))
+    by = ["fold", "box", "lc", "rc"]
+    pattern, record = pairs.schema["pattern"].dataType.simpleString(), donors.schema["record"].dataType.simpleString()
+    return left.groupBy(*by).cogroup(right.groupBy(*by)).applyInArrow(
+        _nearest(k), f"fold int, pattern {pattern}, feature_index int, distance double, donor {record}, donor_value double")
+
+
 def knn_completion(scaled: DataFrame, record: str, features: Sequence[str], k: int, chunk: int = CHUNK) -> DataFrame:
     """(fold, record, feature, z) for every missing cell: inverse-distance mean of the k nearest donors.
 
-    Exact nearest neighbours need every recipient-donor distance, so the work is split into blocks of
-    ``chunk`` x ``chunk`` rows: each task computes one block with arrays and passes on only its k best
-    per missing cell; a final limit per cell merges them. Copies are merged first and stay exact:
-    recipients with the same pattern share one search, and of donors with the same vector only the k
-    smallest ids can ever be chosen. A cell without any usable donor gets the training mean.
+    The search is exact but compares only what it must. Donors lie in boxes (see ``donor_boxes``); a recipient
+    first meets the nearest boxes that hold k donors for each of its missing components, and the k-th
+    distances found there bound a second search over all other boxes that can hold a nearer or equally near one.
+    Copies are merged first and stay exact: recipients with the same pattern share one search, and of donors
+    with the same vector only the k smallest ids can ever be chosen. A cell without any usable donor gets the training mean.
+    Ids may be of any type; equal distances go to the smaller id.
     """
     scaled = cut(scaled)
+    p = len(features)
     has_gap = F.exists("x", lambda v: v.isNull())
     recipients = scaled.where(has_gap).withColumn("pattern", F.xxhash64("x")).select("fold", record, "pattern", "x")
     patterns = cut(recipients.groupBy("fold", "x").agg(F.min(record).alias("pattern")))
     same = Window.partitionBy("fold", "x").orderBy(record)
-    donors = cut(scaled.where("is_training").withColumn("_r", F.row_number().over(same)).where(F.col("_r") <= k).select("fold", F.col(record).alias("record"), "x"))
-    n_left, n_right = patterns.count(), donors.count()
-    left_chunks, right_chunks = max(1, math.ceil(n_left / chunk)), max(1, math.ceil(n_right / chunk))
-    part = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
-    spread = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = patterns.select("fold", "pattern", "x", part("pattern", left_chunks).alias("lc"), spread(right_chunks).alias("rc"))
-    right = donors.select("fold", "record", "x", part("record", right_chunks).alias("rc"), spread(left_chunks).alias("lc"))
-    kind = scaled.schema[record].dataType.simpleString()
-    near = left.groupBy("fold", "lc", "rc").cogroup(right.groupBy("fold", "lc", "rc")).applyInPandas(
-        _nearest(k), f"fold int, pattern {kind}, feature_index int, distance double, donor {kind}, donor_value double")
+    donors, boxes = donor_boxes(cut(scaled.where("is_training").withColumn("_r", F.row_number().over(same)).where(F.col("_r") <= k).select(
+        "fold", F.col(record).alias("record"), "x")), p, chunk)
+    # beyond BOXES x chunk donors the boxes grow and are compared piece by piece
+    most = max((b["size"].max() for b in boxes.values()), default=1)
+    pieces = max(1, math.ceil(most / (2 * chunk)))
+    near = cut(_search(routed(patterns, boxes, k), donors, k, chunk, pieces))
+    if any(len(b["box"]) > 1 for b in boxes.values()):
+        cell = Window.partitionBy("fold", "pattern", "feature_index").orderBy("distance", "donor")
+        kth = near.withColumn("_r", F.row_number().over(cell)).where(F.col("_r") == k).groupBy("fold", "pattern").agg(
+            F.map_from_entries(F.collect_list(F.struct("feature_index", "distance"))).alias("_kth"))
+        reach = F.transform(F.sequence(F.lit(0), F.lit(p - 1)), lambda j: F.try_element_at("_kth", j))
+        bounded = patterns.join(kth, ["fold", "pattern"], "left").withColumn("reach", F.coalesce(reach, F.array_repeat(F.lit(None).cast("double"), p))).drop("_kth")
+        near = near.unionByName(_search(routed(bounded, boxes, k), donors, k, chunk, pieces))
     best = Window.partitionBy("fold", "pattern", "feature_index").orderBy("distance", "donor")
     top = near.withColumn("_r", F.row_number().over(best)).where(F.col("_r") <= k)
     zero = F.count_if(F.col("distance") == 0) > 0

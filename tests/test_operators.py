@@ -170,6 +170,60 @@ def test_knn_completion(spark, chunk):
     assert all(got[c] == pytest.approx(want[c]) for c in want)
 
 
+def clustered(n, p, seed):
+    """Rows around 12 far centres; two missing masks by row, and a few rows with gaps of their own."""
+    rng = np.random.default_rng(seed)
+    x = rng.normal(scale=3.0, size=(12, p))[np.arange(n) % 12] + rng.normal(scale=0.05, size=(n, p))
+    x[::4, 1] = np.nan
+    x[1::8, 2:4] = np.nan
+    x[rng.random(x.shape) < 0.005] = np.nan
+    return x
+
+
+def as_rows(spark, x, name=lambda i: i, kind="bigint"):
+    rows = [(0, name(i), True, [None if np.isnan(v) else float(v) for v in r]) for i, r in enumerate(x)]
+    return spark.createDataFrame(rows, f"fold int, record {kind}, is_training boolean, x array<double>")
+
+
+def test_knn_completion_takes_string_ids_and_stays_exact_over_many_boxes(spark):
+    x = clustered(160, 5, 8)
+    names = [str(j) for j in range(5)]
+    df = as_rows(spark, x, lambda i: f"r{i:04d}", "string")
+    got = {(int(r["record"][1:]), int(r["feature"])): r["z"] for r in impute.knn_completion(df, "record", names, 4, 10).collect()}
+    want = brute_knn(x, x, 4)
+    assert got.keys() == want.keys()
+    assert all(got[c] == pytest.approx(want[c]) for c in want)
+
+
+def test_far_boxes_are_never_compared(spark):
+    x, k = clustered(960, 6, 9), 3
+    donors, boxes = impute.donor_boxes(as_rows(spark, x).select("fold", "record", "x"), 6, 20)
+    patterns = as_rows(spark, x).where("exists(x, v -> v is null)").select("fold", F.col("record").alias("pattern"), "x")
+    gaps = [r[0] for r in patterns.select("pattern").collect()]
+    reach = {i: [None if not np.isnan(v) else 0.6 for v in x[i]] for i in gaps}
+    within = spark.createDataFrame([(i, r) for i, r in reach.items()], "pattern bigint, reach array<double>")
+    first = {(r["pattern"], r["box"]) for r in impute.routed(patterns, boxes, k).collect()}
+    second = {(r["pattern"], r["box"]) for r in impute.routed(patterns.join(within, "pattern"), boxes, k).collect()}
+    assert len(boxes[0]["box"]) == 48 and not first & second
+    held = {}
+    for r in donors.collect():
+        held.setdefault(r["box"], []).append(r["record"])
+
+    def nearest(i, b):  # the least distance to a donor of the box, by definition
+        d = [np.sqrt(6 / m.sum() * ((x[i] - x[j])[m] ** 2).sum()) for j in held[b] for m in [~np.isnan(x[i]) & ~np.isnan(x[j])] if m.any()]
+        return min(d, default=np.inf)
+
+    names = list(boxes[0]["box"])
+    bound = impute.lower_bounds(x[gaps], *[boxes[0][c] for c in ("low", "high", "seen_by", "size", "lacks")])
+    for row, i in enumerate(gaps):
+        for col, b in enumerate(names):
+            assert bound[row, col] <= nearest(i, b)
+            if (i, b) in second:
+                assert bound[row, col] <= 0.6
+    # all else lies beyond, and that is nearly everything
+    assert len(first | second) < 0.25 * len(gaps) * len(names)
+
+
 def test_bootstrap_draws_do_not_depend_on_layout(spark):
     units = spark.createDataFrame([(f"u{i}",) for i in range(30)], "u string")
     count = lambda d: {(r["replicate"], r["u"]): r["weight"] for r in bootstrap_counts(positions(d, [], "u"), "u", 5, 3).collect()}
