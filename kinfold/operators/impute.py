@@ -21,10 +21,10 @@ CELLS = 4_000_000  # box bounds are computed for so many (row, box, component) c
 
 def training_cells(df: DataFrame, record: str, own_fold: str, folds: int, features: Sequence[str]) -> DataFrame:
     """(fold, feature, value) of training rows: each row trains every fold but its own."""
-    entries = F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).alias("value")) for f in features])
     others = F.explode(F.filter(F.sequence(F.lit(0), F.lit(folds - 1)), lambda i: i != F.col(own_fold)))
-    return df.select(record, others.alias("fold"), entries.alias("_e")).select(record, "fold", F.explode("_e").alias("e")).select(
-        record, "fold", "e.*").where(F.col("value").isNotNull())
+    # unpivot reads each column once; an exploded array would be copied by the optimiser into the filters it infers
+    cells = df.unpivot([record, own_fold], list(features), "feature", "value").where(F.col("value").isNotNull())
+    return cells.select(record, others.alias("fold"), "feature", "value")
 
 
 def robust_stats(cells: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -277,12 +277,10 @@ def fold_feature_screen(cells_missing: DataFrame, max_missing: float, excluded:
 
 def fold_missingness(df: DataFrame, own_fold: str, folds: int, features: Sequence[str]) -> DataFrame:
     """Missing share per (fold, feature) over training rows: totals minus the fold's own rows."""
-    own = df.groupBy(F.col(own_fold).alias("fold")).agg(F.count("*").alias("n"), *[F.count_if(F.col(f).isNull()).alias(f"m_{f}") for f in features])
-    names = ["n", *[f"m_{f}" for f in features]]
-    total = own.agg(*[F.sum(c).alias(c) for c in names])
-    t = lambda c: total.select(c).scalar()
-    entries = F.array(*[F.struct(F.lit(f).alias("feature"), F.try_divide((t(f"m_{f}") - F.col(f"m_{f}")).cast("double"), (t("n") - F.col("n")).cast("double")).alias("missing_share")) for f in features])
-    return own.select("fold", F.explode(entries).alias("e")).select("fold", "e.*")
+    own = df.groupBy(F.col(own_fold).alias("fold")).agg(F.count("*").alias("n"), *[F.count_if(F.col(f).isNull()).alias(f) for f in features])
+    long = own.unpivot(["fold", "n"], list(features), "feature", "m")
+    others = lambda c: (F.sum(c).over(Window.partitionBy("feature")) - F.col(c)).cast("double")  # one row per fold and feature
+    return long.select("fold", "feature", F.try_divide(others("m"), others("n")).alias("missing_share"))
 
 
 def masked_recovery(df: DataFrame, record: str, features: Sequence[str], k: int, fraction: float, minimum: int, repeats: int, seed: int) -> DataFrame:
@@ -291,9 +289,8 @@ def masked_recovery(df: DataFrame, record: str, features: Sequence[str], k: int,
 
     from kinfold.operators.resample import random_mask
 
-    entries = F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).alias("value")) for f in features])
     base = cut(df.select(record, *features))
-    cells = base.select(record, F.explode(entries).alias("e")).select(record, "e.*").where("value is not null")
+    cells = base.unpivot(record, list(features), "feature", "value").where("value is not null")
     out = []
     for repeat in range(1, repeats + 1):
         hidden = cut(random_mask(cells, ["feature"], record, fraction, minimum, f"{seed}:{repeat}"))

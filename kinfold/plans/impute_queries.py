@@ -1,7 +1,7 @@
 """Fold-local preparation (I1-I3), masked recovery (M20) and the quality panel.
 
-Rows are the given embedding vectors: the first eight components plus 1 are the features, a tenth of
-the cells is hidden by hash.
+Rows are the given embedding vectors: all components plus 1 are the features, a tenth of the cells is
+hidden by hash.
 """
 
 from pyspark.sql import functions as F
@@ -14,26 +14,27 @@ from kinfold.plans.registry import query
 from kinfold.session import cut
 
 r6 = lambda c: F.round(c, 6)
-DIMS = [f"x{i}" for i in range(8)]
+P = 64  # components of the given vectors
+DIMS = [f"x{i}" for i in range(P)]
 FOLDS = 3
 
 
 def vectors(spark, sf):
     return table(spark, sf, "embeddings").select(
         F.col("vec_id"), (F.col("label") % 2).alias("label"), (F.col("vec_id") % FOLDS).cast("int").alias("own_fold"),
-        *[(F.col("embedding")[i].cast("double") + 1.0).alias(f"x{i}") for i in range(8)])
+        *[(F.col("embedding")[i].cast("double") + 1.0).alias(f"x{i}") for i in range(P)])
 
 
 def masked(spark, sf):
     base = vectors(spark, sf)
     return base.select("vec_id", "label", "own_fold", *[
-        F.when(draw_uniform(f"hide{i}", F.col("vec_id")) >= 0.1, F.col(f"x{i}")).alias(f"x{i}") for i in range(8)])
+        F.when(draw_uniform(f"hide{i}", F.col("vec_id")) >= 0.1, F.col(f"x{i}")).alias(f"x{i}") for i in range(P)])
 
 
-V = "v AS (SELECT vec_id, label % 2 AS label, CAST(vec_id % 3 AS INTEGER) AS own_fold, " + ", ".join(f"CAST(embedding[{i + 1}] AS DOUBLE) + 1.0::DOUBLE AS x{i}" for i in range(8)) + " FROM embeddings)"
+V = "v AS (SELECT vec_id, label % 2 AS label, CAST(vec_id % 3 AS INTEGER) AS own_fold, " + ", ".join(f"CAST(embedding[{i + 1}] AS DOUBLE) + 1.0::DOUBLE AS x{i}" for i in range(P)) + " FROM embeddings)"
 MASK = V + ", m AS (SELECT vec_id, label, own_fold, " + ", ".join(
-    f"CASE WHEN CAST('0x' || substr(md5('hide{i}:' || vec_id), 1, 8) AS BIGINT) / 4294967296::DOUBLE >= 0.1 THEN x{i} END AS x{i}" for i in range(8)) + " FROM v)"
-LONG = "c AS (" + " UNION ALL ".join(f"SELECT vec_id, label, own_fold, 'x{i}' AS feature, x{i} AS value FROM m" for i in range(8)) + ")"
+    f"CASE WHEN CAST('0x' || substr(md5('hide{i}:' || vec_id), 1, 8) AS BIGINT) / 4294967296::DOUBLE >= 0.1 THEN x{i} END AS x{i}" for i in range(P)) + " FROM v)"
+LONG = "c AS (" + " UNION ALL ".join(f"SELECT vec_id, label, own_fold, 'x{i}' AS feature, x{i} AS value FROM m" for i in range(P)) + ")"
 TRAIN = "tr AS (SELECT f.fold, c.* FROM c, (SELECT CAST(range AS INTEGER) AS fold FROM range(3)) f WHERE own_fold <> fold AND value IS NOT NULL)"
 STATS = "st AS (SELECT fold, feature, median(ln(1 + value)) AS center, CASE WHEN quantile_cont(ln(1 + value), 0.75) - quantile_cont(ln(1 + value), 0.25) > 0 THEN quantile_cont(ln(1 + value), 0.75) - quantile_cont(ln(1 + value), 0.25) ELSE 1 END AS scale FROM tr GROUP BY 1, 2)"
 
@@ -50,25 +51,26 @@ def i1b(spark, sf):
     return rounded(I.standard_stats(cells, ["fold", "feature"]), ["center", "scale"])
 
 
-def knn_sql(src_stats, scaled_rows, k):
-    """SQL of the completion from z(fold, vec_id, tr, z0..z7)."""
-    gap = " + ".join(f"coalesce((r.z{i} - d.z{i}) * (r.z{i} - d.z{i}), 0)" for i in range(8))
-    common = " + ".join(f"CAST(r.z{i} IS NOT NULL AND d.z{i} IS NOT NULL AS INTEGER)" for i in range(8))
-    miss = "CASE j " + " ".join(f"WHEN {i} THEN {{0}}.z{i}" for i in range(8)) + " END"
+def knn_sql(k):
+    """SQL of the completion from z(fold, vec_id, tr, z0, z1, ...): one distance per pair, then its missing cells."""
+    gap = " + ".join(f"coalesce((r.z{i} - d.z{i}) * (r.z{i} - d.z{i}), 0)" for i in range(P))
+    common = " + ".join(f"CAST(r.z{i} IS NOT NULL AND d.z{i} IS NOT NULL AS INTEGER)" for i in range(P))
     return f"""
- pr AS (SELECT r.fold, r.vec_id, j, {miss.format('d')} AS dv, d.vec_id AS donor, sqrt(8.0::DOUBLE / nullif({common}, 0) * ({gap})) AS dist FROM z r JOIN z d ON r.fold = d.fold AND d.tr, (SELECT range AS j FROM range(8)) WHERE {miss.format('r')} IS NULL),
- tp AS (SELECT *, row_number() OVER (PARTITION BY fold, vec_id, j ORDER BY dist, donor) AS rn FROM pr WHERE dv IS NOT NULL AND dist IS NOT NULL),
+ zc AS (SELECT fold, vec_id, CAST(substr(feature, 2) AS BIGINT) AS j, (ln(1 + value) - center) / scale AS value FROM c JOIN st USING (feature)),
+ gaps AS (SELECT fold, vec_id, j, 'x' || j AS feature FROM zc WHERE value IS NULL),
+ ds AS (SELECT r.fold, r.vec_id, d.vec_id AS donor, sqrt({P}.0::DOUBLE / nullif({common}, 0) * ({gap})) AS dist FROM z r JOIN z d ON r.fold = d.fold AND d.tr),
+ tp AS (SELECT ds.fold, ds.vec_id, g.j, v.value AS dv, dist, row_number() OVER (PARTITION BY ds.fold, ds.vec_id, g.j ORDER BY dist, donor) AS rn
+  FROM ds JOIN gaps g ON g.fold = ds.fold AND g.vec_id = ds.vec_id JOIN zc v ON v.fold = ds.fold AND v.vec_id = donor AND v.j = g.j WHERE v.value IS NOT NULL AND dist IS NOT NULL),
  kn AS (SELECT fold, vec_id, j, CASE WHEN count(*) FILTER (dist = 0) > 0 THEN avg(dv) FILTER (dist = 0) ELSE sum(dv / nullif(dist, 0)) / sum(1 / nullif(dist, 0)) END AS zz FROM tp WHERE rn <= {k} GROUP BY 1, 2, 3),
  mean AS (SELECT fold, feature, avg((ln(1 + value) - center) / scale) AS mz FROM tr JOIN st USING (fold, feature) GROUP BY 1, 2),
- gaps AS (SELECT z.fold, z.vec_id, j, 'x' || j AS feature FROM z, (SELECT range AS j FROM range(8)) WHERE {miss.format('z')} IS NULL),
  done AS (SELECT g.fold, g.vec_id, g.feature, coalesce(zz, mz) AS zz, greatest(exp(coalesce(zz, mz) * scale + center) - 1, 0) AS value FROM gaps g LEFT JOIN kn USING (fold, vec_id, j) JOIN mean USING (fold, feature) JOIN st USING (fold, feature))"""
 
 
 ZROWS = "z AS (SELECT fold, vec_id, own_fold <> fold AS tr, " + ", ".join(
-    f"max((ln(1 + value) - center) / scale) FILTER (feature = 'x{i}') AS z{i}" for i in range(8)) + " FROM c, (SELECT CAST(range AS INTEGER) AS fold FROM range(3)) JOIN st USING (fold, feature) GROUP BY 1, 2, 3)"
+    f"max((ln(1 + value) - center) / scale) FILTER (feature = 'x{i}') AS z{i}" for i in range(P)) + " FROM c, (SELECT CAST(range AS INTEGER) AS fold FROM range(3)) JOIN st USING (fold, feature) GROUP BY 1, 2, 3)"
 
 
-@query("i2_knn_completion", f"WITH {MASK}, {LONG}, {TRAIN}, {STATS}, {ZROWS.replace('FROM c, (SELECT CAST(range AS INTEGER) AS fold FROM range(3)) JOIN st USING (fold, feature)', 'FROM c JOIN st USING (feature)')}, {knn_sql('st', 'z', 7)} SELECT fold, vec_id, feature, round(value, 6) AS value FROM done")
+@query("i2_knn_completion", f"WITH {MASK}, {LONG}, {TRAIN}, {STATS}, {ZROWS.replace('FROM c, (SELECT CAST(range AS INTEGER) AS fold FROM range(3)) JOIN st USING (fold, feature)', 'FROM c JOIN st USING (feature)')}, {knn_sql(7)} SELECT fold, vec_id, feature, round(value, 6) AS value FROM done")
 def i2(spark, sf):
     return rounded(I.complete(masked(spark, sf), "vec_id", "own_fold", FOLDS, DIMS, 7), ["value"])
 
@@ -82,7 +84,7 @@ def i3(spark, sf):
 
 HIDE = """h AS (SELECT feature, vec_id FROM (SELECT feature, vec_id, row_number() OVER (PARTITION BY feature ORDER BY md5(concat_ws(':', '11:1', feature, vec_id)), vec_id) - 1 AS r, count(*) OVER (PARTITION BY feature) AS n FROM c0 WHERE value IS NOT NULL) WHERE r < least(n, greatest(5, round(n * 0.1))))"""
 RECOVER = f"""{MASK}, {LONG.replace('c AS', 'c0 AS')}, {HIDE}, c AS (SELECT c0.vec_id, c0.label, -1 AS own_fold, feature, CASE WHEN h.vec_id IS NULL THEN value END AS value FROM c0 LEFT JOIN h USING (vec_id, feature)),
- {TRAIN.replace('range(3)', 'range(1)')}, {STATS}, {ZROWS.replace('FROM c, (SELECT CAST(range AS INTEGER) AS fold FROM range(3)) JOIN st USING (fold, feature)', 'FROM c JOIN st USING (feature)')}, {knn_sql('st', 'z', 7)},
+ {TRAIN.replace('range(3)', 'range(1)')}, {STATS}, {ZROWS.replace('FROM c, (SELECT CAST(range AS INTEGER) AS fold FROM range(3)) JOIN st USING (fold, feature)', 'FROM c JOIN st USING (feature)')}, {knn_sql(7)},
  rec AS (SELECT feature, count(*) AS masked, corr(c0.value, done.value) AS pearson_r, avg(abs(c0.value - done.value)) / greatest(quantile_cont(c0.value, 0.75) - quantile_cont(c0.value, 0.25), 1e-12) AS normalized_mae FROM h JOIN c0 USING (vec_id, feature) JOIN done USING (vec_id, feature) GROUP BY 1)"""
 
 
