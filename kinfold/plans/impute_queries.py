@@ -19,16 +19,16 @@ DIMS = [f"x{i}" for i in range(P)]
 FOLDS = 3
 
 
-def vectors(spark, sf):
+def vectors(spark, sf, p=P):
     return table(spark, sf, "embeddings").select(
         F.col("vec_id"), (F.col("label") % 2).alias("label"), (F.col("vec_id") % FOLDS).cast("int").alias("own_fold"),
-        *[(F.col("embedding")[i].cast("double") + 1.0).alias(f"x{i}") for i in range(P)])
+        *[(F.col("embedding")[i].cast("double") + 1.0).alias(f"x{i}") for i in range(p)])
 
 
-def masked(spark, sf):
-    base = vectors(spark, sf)
+def masked(spark, sf, p=P):
+    base = vectors(spark, sf, p)
     return base.select("vec_id", "label", "own_fold", *[
-        F.when(draw_uniform(f"hide{i}", F.col("vec_id")) >= 0.1, F.col(f"x{i}")).alias(f"x{i}") for i in range(P)])
+        F.when(draw_uniform(f"hide{i}", F.col("vec_id")) >= 0.1, F.col(f"x{i}")).alias(f"x{i}") for i in range(p)])
 
 
 V = "v AS (SELECT vec_id, label % 2 AS label, CAST(vec_id % 3 AS INTEGER) AS own_fold, " + ", ".join(f"CAST(embedding[{i + 1}] AS DOUBLE) + 1.0::DOUBLE AS x{i}" for i in range(P)) + " FROM embeddings)"

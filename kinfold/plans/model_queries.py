@@ -8,11 +8,12 @@ from pyspark.sql import functions as F
 
 from kinfold.operators import metrics as M, models as L, rollup as R, selection as S, splits, trees as X
 from kinfold.plans.fixtures import table
-from kinfold.plans.impute_queries import DIMS, masked
+from kinfold.plans.impute_queries import masked
 from kinfold.plans.metric_queries import rounded
 from kinfold.plans.registry import query
 from kinfold.session import cut, scratch_path
 
+DIMS = [f"x{i}" for i in range(8)]
 NAMES = ["c0", "c1", "c2"]
 DEFAULTS = {
     "rf": {"n_estimators": 15, "max_depth": 4, "min_leaf": 2}, "gbt": {"n_estimators": 8, "max_depth": 3, "learning_rate": 0.2},
@@ -23,7 +24,7 @@ IDS = dict(label="target", group="group_id", record="vec_id")
 
 def rows(spark, sf):
     """Vectors with group, block, binary target and three-class code."""
-    base = masked(spark, sf).drop("label", "own_fold")
+    base = masked(spark, sf, len(DIMS)).drop("label", "own_fold")
     raw = table(spark, sf, "embeddings").select("vec_id", F.col("label").alias("raw"))
     slab = F.floor(F.col("vec_id") / 40)
     return base.join(raw, "vec_id").select(
