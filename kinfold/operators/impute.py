@@ -160,6 +160,8 @@ def _route(boxes: dict[int, dict[str, np.ndarray]], k: int, again: bool):
                 step = max(1, CELLS // box["low"].size)
                 for at in range(0, len(x), step):
                     rows, cols = np.nonzero(choose(x[at:at + step], box, None if reach is None else reach[at:at + step]))
+                    if not len(rows):
+                        continue
                     chosen = pd.DataFrame({"fold": fold, "pattern": part["pattern"].to_numpy()[at + rows], "x": list(x[at + rows]), "box": box["box"][cols]})
                     yield from pa.Table.from_pandas(chosen, schema, preserve_index=False).to_batches()
     return run

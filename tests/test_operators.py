@@ -224,6 +224,14 @@ def test_far_boxes_are_never_compared(spark):
     assert len(first | second) < 0.25 * len(gaps) * len(names)
 
 
+def test_no_further_box_within_reach(spark):
+    x = clustered(120, 6, 9)
+    _, boxes = impute.donor_boxes(as_rows(spark, x).select("fold", "record", "x"), 6, 20)
+    patterns = as_rows(spark, x).where("exists(x, v -> v is null)").select("fold", F.col("record").alias("pattern"), "x")
+    none = patterns.withColumn("reach", F.array_repeat(F.lit(-1.0), 6))
+    assert impute.routed(none, boxes, 3).count() == 0
+
+
 def test_bootstrap_draws_do_not_depend_on_layout(spark):
     units = spark.createDataFrame([(f"u{i}",) for i in range(30)], "u string")
     count = lambda d: {(r["replicate"], r["u"]): r["weight"] for r in bootstrap_counts(positions(d, [], "u"), "u", 5, 3).collect()}
