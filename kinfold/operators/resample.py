@@ -43,7 +43,7 @@ def pairwise_auc(scores: DataFrame, unit: str, models: Sequence[str], replicates
     scores = cut(scores)
     draws = unit_draws(scores, unit, replicates, seed).select(unit, "replicate", F.col("weight").cast("long").alias("weight"))
     once = scores.where(F.col(unit).isNotNull()).select(unit).distinct().select(unit, F.lit(0).alias("replicate"), F.lit(1).cast("long").alias("weight"))
-    rows = scores.join(draws.unionByName(once), unit)
+    rows = scores.join(draws.unionByName(once).hint("merge"), unit)  # a union drops the hint of the draws
     auc = M.auc_ap(rows, ["replicate", "model"], weight=F.col("weight"), max_rows=largest_key(scores, ["model"]))
     wide = auc.groupBy("replicate").agg(*[F.max(F.when(F.col("model") == m, F.col("roc_auc"))).alias(m) for m in models])
     pairs = F.array(*[F.struct(F.lit(a).alias("left_model"), F.lit(b).alias("right_model"), (F.col(a) - F.col(b)).alias("difference"))

@@ -425,3 +425,11 @@ def test_leave_one_label_permutes_what_is_left(spark):
     assert (got[("p", None)]["orders"], got[("p", None)]["retained"]) == (24, 4)
     assert all((got[("p", i)]["orders"], got[("p", i)]["retained"]) == (6, 3) and got[("p", i)]["exact_p"] == pytest.approx(2 / 7) for i in range(4))
     assert got[("z", 0)]["cosine"] is None and got[("z", 0)]["exact_p"] is None and got[("z", 1)]["cosine"] == pytest.approx(1.0)
+
+
+def test_draws_are_never_broadcast(spark, tmp_path):
+    spark.range(200).selectExpr("id as u", "cast(id as double) as v").write.parquet(str(tmp_path / "u"))
+    rows = spark.read.parquet(str(tmp_path / "u"))
+    draws = B.unit_draws(rows, "u", 50, 7)
+    assert "Broadcast" not in rows.join(draws, "u")._jdf.queryExecution().sparkPlan().toString()
+    assert draws.groupBy("replicate").agg(F.sum("weight").alias("w")).where("w <> 200").isEmpty()
