@@ -72,6 +72,28 @@ def radices(n: int) -> tuple[int, int]:
         domain += 1
 
 
+def shuffled_positions(df: DataFrame, position: str, n: int, keys: str, out: str) -> DataFrame:
+    """Column ``out`` as :func:`shuffled_position` gives it, round by round in columns, which Spark compiles.
+
+    Only what lands at ``n`` or above, one row in about ``sqrt(n)``, is walked on by that function. ``out`` is never null: else
+    Spark would test that before a join, on an expression that doubles with every round.
+    """
+    a, b = radices(n)
+    whole = lambda c: c.cast("bigint")
+    kept = [c for c in df.columns if c != keys]
+    named = [F.get(F.col(keys), F.lit(i)).alias(f"_k{i}") for i in range(ROUNDS)]
+    row = df.select("*", *named, F.pmod(F.col(position), F.lit(b)).alias("_r"))
+    row = row.withColumn("_l", whole((F.col(position) - F.col("_r")) / b))
+    for i in range(ROUNDS):
+        half, other, size = ("_l", "_r", a) if i % 2 == 0 else ("_r", "_l", b)
+        row = row.withColumn("_m", (F.col(other) + F.col(f"_k{i}")) % PRIME)
+        row = row.withColumn(half, (F.col(half) + (F.col("_m") * F.col("_m") % PRIME * 48271 + F.col(f"_k{i}")) % PRIME) % size)
+    row = row.withColumn(out, F.col("_l") * b + F.col("_r"))
+    if a * b > n:
+        row = row.withColumn(out, F.when(F.col(out) < n, F.col(out)).otherwise(shuffled_position(F.col(position), n, F.col(keys))))
+    return row.select(*kept, F.coalesce(out, F.lit(-1).cast("bigint")).alias(out))
+
+
 def round_keys(*parts) -> Column:
     """Keys of one permutation, an array of ``ROUNDS`` numbers; made once per permutation, not per row."""
     return F.array(*[draw_int(*parts, F.lit(i)) % PRIME for i in range(ROUNDS)])

@@ -12,11 +12,13 @@ from typing import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from kinfold.functions.draws import bootstrap_counts, draw_uniform, replicate_column, round_keys, shuffled_position
+from kinfold.functions.draws import bootstrap_counts, draw_uniform, replicate_column, round_keys, shuffled_positions
 from kinfold.operators import metrics as M
 from kinfold.operators.ordered import attach, largest_key, ordered_totals, positions
 from kinfold.session import cut
 
+BROADCAST_ROWS = 500_000  # components beyond which ranks are shuffled to the permutations, whatever their compressed size
+
 
 def unit_draws(df: DataFrame, unit: str, replicates: int, seed: int) -> DataFrame:
     """``(replicate, unit, weight)``; units are numbered by their order."""
@@ -134,16 +136,17 @@ def permutation_spearman(components: DataFrame, unit: str, x: str, y: str, repli
     ranked = components.join(rx.drop("n_all"), x).join(ry, y)
     numbered = cut(ranked.join(positions(components.select(unit), [], unit).select(unit, "position"), unit).select("position", "_r0", "_r1", "n_all"))
     n = numbered.count()
+    mid = (n + 1) / 2
+    centred = [(F.col(f"_r{i}") - mid).alias(f"_{c}") for i, c in enumerate("ab")]
+    # sums of squares do not change under re-pairing
+    norm = numbered.select(*centred).agg(F.sqrt(F.sum(F.col("_a") * F.col("_a")) * F.sum(F.col("_b") * F.col("_b")))).scalar()
     # spread before the rows multiply, so that all cores share the hashing
-    spread = numbered.select("position", "_r0").repartition(components.sparkSession.sparkContext.defaultParallelism, "position")
+    spread = numbered.select("position", centred[0]).repartition(components.sparkSession.sparkContext.defaultParallelism, "position")
     named = components.sparkSession.range(1, replicates + 1).select(F.col("id").cast("int").alias("replicate"), round_keys(seed, F.col("id")).alias("keys"))
-    every = named.agg(F.collect_list(F.struct("replicate", "keys"))).scalar()  # as many as were asked for
-    spread = spread.withColumn("_p", every).select("position", "_r0", F.explode("_p").alias("_p"))
-    moved = spread.select("_p.replicate", "_r0", shuffled_position(F.col("position"), n, F.col("_p.keys")).alias("target"))
-    paired = moved.join(numbered.select(F.col("position").alias("target"), "_r1"), "target")
-    mid = (n + 1) / 2
-    a, b = F.col("_r0") - mid, F.col("_r1") - mid
-    return paired.groupBy("replicate").agg((F.sum(a * b) / F.sqrt(F.sum(a * a) * F.sum(b * b))).alias("rho"))
+    moved = shuffled_positions(spread.crossJoin(named), "position", n, "keys", "target").select("replicate", "target", "_a")
+    others = numbered.select(F.col("position").alias("target"), centred[1])
+    paired = moved.join(others.hint("shuffle_hash") if n > BROADCAST_ROWS else others, "target")
+    return paired.groupBy("replicate").agg(F.try_divide(F.sum(F.col("_a") * F.col("_b")), norm).alias("rho"))
 
 
 def permutation_p(null: DataFrame, observed: Column, value: str = "rho", tolerance: float = 1e-12) -> Column:

@@ -433,3 +433,13 @@ def test_draws_are_never_broadcast(spark, tmp_path):
     draws = B.unit_draws(rows, "u", 50, 7)
     assert "Broadcast" not in rows.join(draws, "u")._jdf.queryExecution().sparkPlan().toString()
     assert draws.groupBy("replicate").agg(F.sum("weight").alias("w")).where("w <> 200").isEmpty()
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 7, 30, 101, 997])
+def test_compiled_permutations_are_the_same(spark, n):
+    from kinfold.functions.draws import round_keys, shuffled_position, shuffled_positions
+
+    rows = spark.range(n).crossJoin(spark.range(1, 21).withColumnRenamed("id", "rep")).withColumn("keys", round_keys(7, F.col("rep")))
+    rows = rows.withColumn("want", shuffled_position(F.col("id"), n, F.col("keys")))
+    got = shuffled_positions(rows, "id", n, "keys", "t")
+    assert got.count() == 20 * n and got.where("not (t <=> want)").isEmpty()
