@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from kinfold.functions.scalars import passed_names, same_sign
 from kinfold.operators import joins as J, metrics as M, resample as B, weights as W
+from kinfold.operators.deletion import spearman_without
 from kinfold.operators.ordered import exact_quantiles, medians
 from kinfold.operators.selection import top_n
 from kinfold.session import cut
@@ -80,9 +81,7 @@ def rank_stability(df: DataFrame, top: int) -> DataFrame:
 def block_influence(df: DataFrame, primary: Sequence[str], top: int) -> DataFrame:
     """Deleting one block: change of ranks, top set and primary directions, without refitting.
 
-    Importances after deletion are totals minus the block's share. A direction has to be re-ranked, so
-    that part costs as much as a bootstrap with one replicate per block; blocks act as replicates and
-    the class rows of a block are left out by weight.
+    Importances after deletion are totals minus the block's share, directions come from :mod:`deletion`, which ranks once.
     """
     groups = cut(medians(df, ["class", "feature", "group_id", "block"], {"completed": "completed"}, also=[
         F.avg(F.abs("shap")).alias("mean_abs"), F.avg("shap").alias("shap")]))
@@ -96,10 +95,14 @@ def block_influence(df: DataFrame, primary: Sequence[str], top: int) -> DataFram
         F.max("remaining").alias("remaining_groups"))
     chosen = groups.where(F.col("feature").isin(*primary))
     whole = M.spearman(chosen, ["class", "feature"], "completed", "shap", "rho_full").drop("n")
-    blocks = groups.select("class", F.col("block").alias("omitted")).distinct()
-    reduced = chosen.join(blocks, "class").where("block <> omitted")
-    bound = chosen.groupBy("class", "feature").count().agg(F.max("count")).first()[0] or 0
-    each = M.spearman(reduced, ["class", "omitted", "feature"], "completed", "shap", "rho_less", max_rows=bound).drop("n").join(whole, ["class", "feature"])
+    less = spearman_without(chosen, ["class", "feature"], "block", ["group_id"], "completed", "shap", "rho_less").withColumnRenamed("block", "omitted")
+    # a block without rows of a feature leaves its direction as it is
+    kept = chosen.where("block is not null")
+    blocks = groups.where("block is not null").select("class", F.col("block").alias("omitted")).distinct()
+    absent = blocks.join(kept.select("class", "feature").distinct(), "class").join(
+        kept.where("completed is not null and shap is not null").select("class", "feature", F.col("block").alias("omitted")).distinct(), ["class", "feature", "omitted"], "left_anti")
+    unchanged = absent.join(M.spearman(kept, ["class", "feature"], "completed", "shap", "rho_less").drop("n"), ["class", "feature"])
+    each = less.unionByName(unchanged.select(*less.columns)).join(whole, ["class", "feature"])
     flip = (F.signum("rho_full") * F.signum("rho_less")) < 0
     change = each.groupBy("class", "omitted").agg(
         F.max(F.abs(F.col("rho_less") - F.col("rho_full"))).alias("max_direction_change"), F.count_if(flip).alias("sign_flips"))

@@ -60,7 +60,7 @@ def associations(groups: DataFrame, comparisons: Mapping[str, tuple[str, str]],
     groups = cut(groups)
     rows = [B.component_inference(groups, block, x, y, replicates, permutations, seed + i * 1000).withColumn("analysis", F.lit(n))
             for i, (n, (x, y)) in enumerate(comparisons.items())]
-    return M.benjamini_hochberg(reduce(DataFrame.unionByName, rows), [], "permutation_p")
+    return M.benjamini_hochberg(cut(reduce(DataFrame.unionByName, rows)), [], "permutation_p")  # read twice there
 
 
 def support_quantiles(groups: DataFrame, score: str, outcome: str, bins: int, block: str, replicates: int, seed: int) -> DataFrame:
