@@ -50,22 +50,38 @@ def largest_key(df: DataFrame, keys: Sequence[str]) -> int:
 
 
 def _edges(level: DataFrame, keys: Sequence[str], order: str, samples: int) -> DataFrame:
-    by_hash = Window.partitionBy(*keys).orderBy(F.xxhash64(order), F.col(order))
-    picked = (
-        level.select(*keys, order)
-        .withColumn("_pick", F.row_number().over(by_hash))  # limited per key before the shuffle
-        .where(F.col("_pick") <= samples)
-    )
+    """Sorted cut points per key: the values with the smallest hashes.
+
+    Only hashes in the share of the hash range that holds about four times as many values are sorted, so
+    this reads a key's rows once. Should fewer lie there, there are fewer buckets.
+    """
+    sizes = level.groupBy(*keys).agg(F.count("*").alias("_n"))
+    most = F.lit(2.0 ** 63) * F.least(F.lit(4.0 * samples) / F.col("_n"), F.lit(1.0))
+    hashed = level.select(*keys, order, F.xxhash64(order).alias("_hash"))
+    few = attach(hashed, sizes, keys).where(F.abs(F.col("_hash").cast("double")) <= most)
+    by_hash = Window.partitionBy(*keys).orderBy("_hash", order)
+    picked = few.withColumn("_pick", F.row_number().over(by_hash)).where(F.col("_pick") <= samples)
     return picked.groupBy(*keys).agg(F.array_sort(F.collect_list(order)).alias("_edges"))
 
 
+def _below(df: DataFrame, edges: str, value: Column, samples: int, out: str) -> DataFrame:
+    """Add ``out``: how many of the sorted ``edges`` are smaller than ``value``, by halving steps.
+
+    One column per step: Spark compiles these into the scan, a function over the array would be interpreted.
+    """
+    df = df.withColumn(out, F.lit(0))
+    for i in reversed(range(samples.bit_length())):
+        step = F.when(F.get(edges, F.col(out) + F.lit((1 << i) - 1)) < value, 1 << i).otherwise(0)
+        df = df.withColumn(out, F.col(out) + step)
+    return df
+
+
 def with_buckets(level: DataFrame, keys: Sequence[str], order: str, samples: int = SAMPLES) -> DataFrame:
     """Attach ``_bucket``: larger values, later buckets. The edges are written, so every reader of the
     result sees the same ones, and their file size decides whether they are broadcast."""
     edges = cut(_edges(level, keys, order, samples))
-    value = F.col(order)
     placed = level.join(edges, list(keys)) if keys else level.withColumn("_edges", edges.scalar())
-    return placed.withColumn("_bucket", F.size(F.filter("_edges", lambda e: e < value))).drop("_edges")
+    return _below(placed, "_edges", F.col(order), samples, "_bucket").drop("_edges")
 
 
 def ordered_totals(df: DataFrame, keys: Sequence[str], order: str, totals: Mapping[str, Column],

@@ -96,3 +96,25 @@ def test_fdr(spark, hot_rows):
         want[i] = best
     assert got.keys() == want.keys()
     assert all(got[i] is None if want[i] is None else got[i] == pytest.approx(want[i]) for i in want)
+
+
+def test_buckets_are_found_by_compiled_steps(frame):
+    pdf, df = frame
+    placed = O.with_buckets(df, ["k"], "v", samples=37)
+    assert "lambda" not in placed._jdf.queryExecution().optimizedPlan().toString()
+    got = placed.select("k", "v", "_bucket").toPandas()
+    for _, part in got.groupby("k"):
+        # 37 cut points at most, larger values in later buckets, equal values together
+        level = part.groupby("v")["_bucket"].agg(["min", "max"])
+        assert (level["min"] == level["max"]).all() and level["min"].is_monotonic_increasing
+        assert 10 < part["_bucket"].nunique() <= 38
+
+
+def test_cut_points_are_few_hashes(spark):
+    df = spark.range(20000).select(F.lit("a").alias("k"), F.col("id").cast("double").alias("v"))
+    edges = O._edges(df, ["k"], "v", 16)
+    by_hash = df.select("v", F.xxhash64("v").alias("h")).toPandas().sort_values("h")
+    found = edges.first()["_edges"]
+    assert len(found) == 16 and found == sorted(found)
+    share = 4 * 16 / 20000
+    assert (by_hash.set_index("v")["h"][found].abs() <= share * 2.0 ** 63).all()
