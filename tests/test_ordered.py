@@ -118,3 +118,34 @@ def test_cut_points_are_few_hashes(spark):
     assert len(found) == 16 and found == sorted(found)
     share = 4 * 16 / 20000
     assert (by_hash.set_index("v")["h"][found].abs() <= share * 2.0 ** 63).all()
+
+
+def test_row_ranks_spread_a_heavy_value(frame):
+    pdf, df = frame
+    one = df.select("k", "v", "y", F.lit(1.0).alias("w"))
+    got = O.row_ranks(one, ["k"], "v", "y", "w", "r", samples=37).toPandas()
+    want = pdf.assign(r=pdf.groupby("k")["v"].rank())
+    by = ["k", "v", "y"]
+    pd.testing.assert_series_equal(got.sort_values(by)["r"].reset_index(drop=True), want.sort_values(by)["r"].reset_index(drop=True))
+    assert (got.r_all == got.k.map(pdf.k.value_counts())).all()
+    joins = O.row_ranks(one, [], "v", "y", "w", "r").toPandas()  # without keys
+    assert sorted(joins.r) == sorted(pdf.v.rank())
+
+
+def test_spearman_of_many_rows_computes_values_once(frame):
+    pdf, df = frame
+    calls = df.sparkSession.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            calls.add(len(batch))
+            yield batch
+
+    for y in ("y", "t"):  # few equal pairs, many equal pairs
+        rows = df.select("k", "v", y).mapInPandas(count, f"k string, v double, {y} double")
+        calls.value = 0
+        got = sort(M.spearman(rows, ["k"], "v", y, hot_rows=5), "k")
+        assert calls.value == 2 * len(pdf)  # the sizes of the keys, and the values
+        for _, row in got.iterrows():
+            part = pdf[pdf.k == row.k]
+            assert row.rho == pytest.approx(part.v.rank().corr(part[y].rank())) and row.n == len(part)
