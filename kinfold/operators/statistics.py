@@ -103,7 +103,7 @@ def spearman_pairs(df: DataFrame, features: Sequence[str], min_pairs: int) -> Da
 
 def correlation_clusters(df: DataFrame, features: Sequence[str], threshold: float, min_pairs: int) -> DataFrame:
     """Feature clusters (components of the graph of pairs at the threshold) and neighbours by strength."""
-    pairs = spearman_pairs(df, features, min_pairs)
+    pairs = cut(spearman_pairs(df, features, min_pairs))  # one row per pair of features, read by the graph and the result
     both = pairs.union(pairs.select("r", "l", "rho")).toDF("feature", "other", "rho")
     strong = both.select("feature", F.when(F.col("rho") >= threshold, F.col("other")).otherwise(F.col("feature")).alias("other"))
     label = graph.components(strong, "feature", "other").select(F.col("node").alias("feature"), F.col("component").alias("cluster"))

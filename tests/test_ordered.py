@@ -149,3 +149,11 @@ def test_spearman_of_many_rows_computes_values_once(frame):
         for _, row in got.iterrows():
             part = pdf[pdf.k == row.k]
             assert row.rho == pytest.approx(part.v.rank().corr(part[y].rank())) and row.n == len(part)
+
+
+def test_correlation_clusters_rank_once(spark):
+    from kinfold.operators import statistics as T
+    rows = spark.range(50).select(F.col("id").cast("double").alias("a"), (-F.col("id")).cast("double").alias("b"), F.pmod(F.xxhash64("id"), F.lit(7)).cast("double").alias("c"))
+    got = T.correlation_clusters(rows, ["a", "b", "c"], 0.85, 20)
+    assert "Window" not in got._jdf.queryExecution().optimizedPlan().toString()  # ranks were written, not planned again
+    assert {r["feature"]: r["cluster"] for r in got.collect()} == {"a": "a", "b": "a", "c": "c"}
