@@ -8,13 +8,14 @@ from typing import Iterator, Sequence
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window, functions as F
 
 from kinfold.operators.ordered import exact_quantiles
 from kinfold.operators.rollup import medians
 from kinfold.session import cut
 
-CHUNK = 2048
+CHUNK = 8192
 BOXES = 4096
 CELLS = 4_000_000  # box bounds are computed for so many (row, box, component) cells at a time
 
@@ -53,50 +54,102 @@ def scaled_rows(df: DataFrame, stats: DataFrame, record: str, own_fold: str, fol
     return rows.select("fold", record, (F.col("fold") != F.col(own_fold)).alias("is_training"), F.array(*z).alias("x"))
 
 
-def _nearest(k: int):
-    def best_of(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        empty = pd.DataFrame({"fold": [], "pattern": [], "feature_index": [], "distance": [], "donor": [], "donor_value": []})
-        if left.empty or right.empty:
-            return empty
-        want = np.array(left["x"].tolist(), dtype=float)
-        have = np.array(right["x"].tolist(), dtype=float)
-        donor = right["record"].to_numpy()
-        order = np.argsort(donor, kind="stable")
-        have, donor = have[order], donor[order]
-        p = want.shape[1]
-        total = np.zeros((len(want), len(have)))
-        common = np.zeros((len(want), len(have)))
-        for j in range(p):
-            gap = want[:, j, None] - have[None, :, j]
-            seen = ~np.isnan(gap)
-            total += np.where(seen, gap * gap, 0.0)
-            common += seen
-        with np.errstate(divide="ignore", invalid="ignore"):
-            distance = np.sqrt(p / common * total)
-        distance[common == 0] = np.nan
-        out = []
+def _matrix(column: pa.ChunkedArray | pa.Array, p: int) -> np.ndarray:
+    """Lists of ``p`` doubles as rows, null as NaN."""
+    return np.array(pc.list_flatten(column if isinstance(column, pa.ChunkedArray) else pa.chunked_array([column])).to_numpy(), dtype=float).reshape(-1, p)
+
+
+def _lists(x: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(np.arange(len(x) + 1, dtype=np.int32) * x.shape[1], pa.array(x.ravel()))
+
+
+@np.errstate(all="ignore")
+def _distances(want: np.ndarray, have: np.ndarray) -> np.ndarray:
+    """Distances over the components that both have (NaN without one), summed in their order: rows and columns broadcast."""
+    p = want.shape[-1]
+    total = common = 0.0
+    for j in range(p):
+        gap = want[..., j] - have[..., j]
+        seen = ~np.isnan(gap)
+        total = total + np.where(seen, gap * gap, 0.0)
+        common = common + seen
+    return np.where(common > 0, np.sqrt(p / common * total), np.nan)
+
+
+@np.errstate(all="ignore")  # infinite values end in full comparisons
+def nearest_donors(want: np.ndarray, have: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """``(row, component, donor, distance)`` of the k nearest donors of every missing cell; equal distances go to the earlier donor.
+
+    Matrix products give all distances up to rounding. The few smallest of a row are computed again as sums in order, and
+    stand where the k-th of them is below all others by more than that rounding; other rows are computed in full.
+    """
+    p, n = want.shape[1], len(have)
+    lacks, usable = np.isnan(want), ~np.isnan(have)
+    b, mb = np.nan_to_num(have), usable.astype(float)
+    b2, longest = b * b, float((b * b).sum(1).max(initial=0.0))
+    out = []
+
+    def pick(rows: np.ndarray, donors: np.ndarray, exact: np.ndarray, beyond: np.ndarray | None) -> np.ndarray:
+        """Appends the nearest of each row's ``donors`` (in order); returns rows for which others may be as near as ``beyond``."""
+        unsure = np.zeros(len(rows), bool)
+        found = []
         for j in range(p):
-            lacking = np.flatnonzero(np.isnan(want[:, j]))
-            usable = np.flatnonzero(~np.isnan(have[:, j]))
-            if not len(lacking) or not len(usable):
+            own = np.flatnonzero(lacks[rows, j])
+            if not len(own):
                 continue
-            d = distance[np.ix_(lacking, usable)]
-            d = np.where(np.isnan(d), np.inf, d)
-            # stable order: donors are sorted by id, so equal distances keep the smaller id
+            d = np.where(usable[donors[own], j] & ~np.isnan(exact[own]), exact[own], np.inf)
             best = np.argsort(d, axis=1, kind="stable")[:, :k]
-            rows = np.repeat(lacking, best.shape[1])
-            cols = best.ravel()
-            dist = np.take_along_axis(d, best, axis=1).ravel()
-            ok = np.isfinite(dist)
-            out.append(pd.DataFrame({
-                "fold": left["fold"].iloc[0], "pattern": left["pattern"].to_numpy()[rows[ok]], "feature_index": j,
-                "distance": dist[ok], "donor": donor[usable[cols[ok]]], "donor_value": have[usable[cols[ok]], j]}))
-        return pd.concat(out, ignore_index=True) if out else empty
-
+            dist = np.take_along_axis(d, best, axis=1)
+            if beyond is not None:
+                unsure[own] |= ~(dist[:, -1] ** 2 * (1 + 1e-12) < beyond[own]) if best.shape[1] == k else True
+            found.append((own, j, np.take_along_axis(donors[own], best, axis=1), dist))
+        for own, j, chosen, dist in found:
+            ok = np.isfinite(dist) & ~unsure[own][:, None]
+            out.append((np.repeat(rows[own], dist.shape[1])[ok.ravel()], np.full(int(ok.sum()), j), chosen[ok], dist[ok]))
+        return rows[unsure]
+
+    few = 4 * k + 16
+    again = np.flatnonzero(lacks.any(1))
+    if n > 2 * few:
+        step, wanted, again = max(1, CELLS // (2 * n)), again, []
+        for at in range(0, len(wanted), step):
+            rows = wanted[at:at + step]
+            a, ma = np.nan_to_num(want[rows]), (~lacks[rows]).astype(float)
+            total = (a * a) @ mb.T
+            total -= 2 * (a @ b.T)
+            total += ma @ b2.T
+            # a product or sum of p terms is off by p roundings of its size at most, and common components are counted exactly
+            slack = 16 * (p + 4) * np.finfo(float).eps * ((a * a).sum(1) + longest) * p
+            common = ma @ mb.T
+            total *= p / common
+            total[common == 0] = np.inf
+            donors = np.argpartition(total, few, axis=1)[:, :few + 1]
+            edge = np.take_along_axis(total, donors[:, few:], axis=1)[:, 0] - slack
+            donors = np.sort(donors[:, :few], axis=1)
+            again.append(pick(rows, donors, _distances(want[rows][:, None], have[donors]), edge))
+        again = np.concatenate(again) if again else np.zeros(0, int)
+    step = max(1, CELLS // (8 * max(n, 1)))
+    for at in range(0, len(again), step):
+        rows = again[at:at + step]
+        pick(rows, np.broadcast_to(np.arange(n), (len(rows), n)), _distances(want[rows][:, None], have[None]), None)
+    if not out:
+        return (np.zeros(0, int),) * 3 + (np.zeros(0),)
+    return tuple(np.concatenate(c) for c in zip(*out))
+
+
+def _nearest(k: int, p: int):
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         schema = pa.schema([("fold", pa.int32()), ("pattern", left.schema.field("pattern").type), ("feature_index", pa.int32()),
                             ("distance", pa.float64()), ("donor", right.schema.field("record").type), ("donor_value", pa.float64())])
-        return pa.Table.from_pandas(best_of(left.to_pandas(), right.to_pandas()), schema, preserve_index=False)
+        if not len(left) or not len(right):
+            return schema.empty_table()
+        # donors in the order of their ids, so equal distances keep the smaller id
+        right = right.take(pa.array(np.argsort(right.column("record").to_pandas().to_numpy(), kind="stable")))
+        have = _matrix(right.column("x"), p)
+        row, j, donor, distance = nearest_donors(_matrix(left.column("x"), p), have, k)
+        return pa.Table.from_arrays([
+            pa.array(np.full(len(row), left.column("fold")[0].as_py()), pa.int32()), left.column("pattern").take(pa.array(row)), pa.array(j, pa.int32()),
+            pa.array(distance), right.column("record").take(pa.array(donor)), pa.array(have[donor, j])], schema=schema)
     return run
 
 
@@ -148,22 +201,24 @@ def _route(boxes: dict[int, dict[str, np.ndarray]], k: int, again: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             schema = pa.schema([("fold", pa.int32()), ("pattern", batch.schema.field("pattern").type), ("x", pa.list_(pa.float64())), ("box", pa.int32())])
-            for fold, part in batch.to_pandas().groupby("fold"):
+            folds = batch.column("fold").to_numpy()
+            for fold in np.unique(folds):
                 if fold not in boxes:
                     continue
                 box = boxes[fold]
-                x = np.array(part["x"].tolist(), dtype=float)
-                reach = None
+                part = batch.filter(pa.array(folds == fold))
+                x, reach = _matrix(part.column("x"), box["low"].shape[1]), None
                 if again:
-                    reach = np.array(part["reach"].tolist(), dtype=float)
+                    reach = _matrix(part.column("reach"), x.shape[1])
                     reach = np.where(np.isnan(reach), np.inf, reach)
                 step = max(1, CELLS // box["low"].size)
                 for at in range(0, len(x), step):
                     rows, cols = np.nonzero(choose(x[at:at + step], box, None if reach is None else reach[at:at + step]))
-                    if not len(rows):
-                        continue
-                    chosen = pd.DataFrame({"fold": fold, "pattern": part["pattern"].to_numpy()[at + rows], "x": list(x[at + rows]), "box": box["box"][cols]})
-                    yield from pa.Table.from_pandas(chosen, schema, preserve_index=False).to_batches()
+                    for low in range(0, len(rows), 1 << 16):
+                        own = at + rows[low:low + (1 << 16)]
+                        yield pa.RecordBatch.from_arrays([
+                            pa.array(np.full(len(own), fold), pa.int32()), part.column("pattern").take(pa.array(own)), _lists(x[own]),
+                            pa.array(box["box"][cols[low:low + (1 << 16)]], pa.int32())], schema=schema)
     return run
 
 
@@ -204,7 +259,7 @@ def routed(patterns: DataFrame, boxes: dict[int, dict[str, np.ndarray]], k: int)
     return patterns.mapInArrow(_route(boxes, k, "reach" in patterns.columns), f"fold int, pattern {kind}, x array<double>, box int")
 
 
-def _search(pairs: DataFrame, donors: DataFrame, k: int, chunk: int, pieces: int) -> DataFrame:
+def _search(pairs: DataFrame, donors: DataFrame, k: int, p: int, chunk: int, pieces: int) -> DataFrame:
     """The k best donors of each box per missing cell; rows of a box are dealt out so that a task holds about chunk x chunk."""
     pairs = cut(pairs)
     load = pairs.groupBy("fold", "box").agg(F.ceil(F.count("*") / chunk).cast("int").alias("_parts"))
@@ -215,7 +270,7 @@ def _search(pairs: DataFrame, donors: DataFrame, k: int, chunk: int, pieces: int
     by = ["fold", "box", "lc", "rc"]
     pattern, record = pairs.schema["pattern"].dataType.simpleString(), donors.schema["record"].dataType.simpleString()
     return left.groupBy(*by).cogroup(right.groupBy(*by)).applyInArrow(
-        _nearest(k), f"fold int, pattern {pattern}, feature_index int, distance double, donor {record}, donor_value double")
+        _nearest(k, p), f"fold int, pattern {pattern}, feature_index int, distance double, donor {record}, donor_value double")
 
 
 def knn_completion(scaled: DataFrame, record: str, features: Sequence[str], k: int, chunk: int = CHUNK) -> DataFrame:
@@ -239,14 +294,14 @@ def knn_completion(scaled: DataFrame, record: str, features: Sequence[str], k: i
     # beyond BOXES x chunk donors the boxes grow and are compared piece by piece
     most = max((b["size"].max() for b in boxes.values()), default=1)
     pieces = max(1, math.ceil(most / (2 * chunk)))
-    near = cut(_search(routed(patterns, boxes, k), donors, k, chunk, pieces))
+    near = cut(_search(routed(patterns, boxes, k), donors, k, p, chunk, pieces))
     if any(len(b["box"]) > 1 for b in boxes.values()):
         cell = Window.partitionBy("fold", "pattern", "feature_index").orderBy("distance", "donor")
         kth = near.withColumn("_r", F.row_number().over(cell)).where(F.col("_r") == k).groupBy("fold", "pattern").agg(
             F.map_from_entries(F.collect_list(F.struct("feature_index", "distance"))).alias("_kth"))
         reach = F.transform(F.sequence(F.lit(0), F.lit(p - 1)), lambda j: F.try_element_at("_kth", j))
         bounded = patterns.join(kth, ["fold", "pattern"], "left").withColumn("reach", F.coalesce(reach, F.array_repeat(F.lit(None).cast("double"), p))).drop("_kth")
-        near = near.unionByName(_search(routed(bounded, boxes, k), donors, k, chunk, pieces))
+        near = near.unionByName(_search(routed(bounded, boxes, k), donors, k, p, chunk, pieces))
     best = Window.partitionBy("fold", "pattern", "feature_index").orderBy("distance", "donor")
     top = near.withColumn("_r", F.row_number().over(best)).where(F.col("_r") <= k)
     zero = F.count_if(F.col("distance") == 0) > 0

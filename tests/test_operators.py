@@ -170,6 +170,25 @@ def test_knn_completion(spark, chunk):
     assert all(got[c] == pytest.approx(want[c]) for c in want)
 
 
+@pytest.mark.parametrize("p, whole", [(6, True), (64, False)])
+def test_nearest_donors_computes_few_distances_in_full(monkeypatch, p, whole):
+    rng = np.random.default_rng(3)
+    want, have = rng.normal(size=(40, p)), rng.normal(size=(600, p))
+    if whole:  # many equal distances
+        want, have = want.round(), have.round()
+    want[rng.random(want.shape) < 0.2], have[rng.random(have.shape) < 0.2] = np.nan, np.nan
+    pairs, own = [], impute._distances
+    monkeypatch.setattr(impute, "_distances", lambda a, b: pairs.append(np.broadcast_shapes(a.shape, b.shape)[:-1]) or own(a, b))
+    got = sorted(zip(*(c.tolist() for c in impute.nearest_donors(want, have, 7))))
+    expected, d = [], own(want[:, None], have[None])
+    for i, j in np.argwhere(np.isnan(want)):
+        near = sorted((x, n) for n, x in enumerate(d[i]) if not np.isnan(x) and not np.isnan(have[n, j]))
+        expected += [(i, j, n, x) for x, n in near[:7]]
+    assert got == sorted(expected)
+    if not whole:
+        assert sum(a * b for a, b in pairs) < 0.15 * d.size
+
+
 def clustered(n, p, seed):
     """Rows around 12 far centres; two missing masks by row, and a few rows with gaps of their own."""
     rng = np.random.default_rng(seed)
