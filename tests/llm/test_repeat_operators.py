@@ -200,3 +200,20 @@ def test_line_segments_find_changed_words(spark):
     df = spark.createDataFrame(list(enumerate(pool)), "doc_id long, text string")
     got = {r["doc_id"]: r["n_removed"] for r in lines.dedupe_lines(df, search="segments", equal_least=1).select("row.doc_id", "n_removed").collect()}
     assert got == {k: int(label[k] != k) for k in range(len(pool))} and sum(got.values()) > 60
+
+
+def test_a_word_put_in_leaves_an_equal_segment_and_frequent_words_make_none():
+    """A line and the same with a word more share a window; lines that only share a word used twice in a segment do not."""
+    from kinfold.llm.hashing import word_hashes
+
+    def segments(words):
+        raw = np.frombuffer(" ".join(words).encode(), np.uint8)
+        return set(lines.segment_hashes(*word_hashes(raw, np.array([0, len(raw)]), lines.GAPS))[1].tolist())
+
+    rng = random.Random(5)
+    for size in (6, 7, 11, 23, 31, 40, 63, 150, 700):
+        base = [f"w{rng.randint(0, 10 ** 6)}" for _ in range(size)]
+        for at in range(size + 1):
+            assert segments(base) & segments([*base[:at], "new", *base[at:]])
+    assert not segments("the the one a b c".split()) & segments("the the two d e f".split())
+    assert not segments("one two three four five".split())
