@@ -22,6 +22,7 @@ from kinfold.session import cut
 
 SAMPLES = 256
 HOT_ROWS = 2_000_000
+FEW_ROWS = 4_096
 
 
 def attach(df: DataFrame, other: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -195,23 +196,49 @@ def _hot_quantiles(hot: DataFrame, keys: list[str], specs: Mapping[str, tuple[st
         (F.col(f"{o}_lo") + (F.col(f"{o}_hi") - F.col(f"{o}_lo")) * F.col(f"{o}_share")).alias(o) for o in specs])
 
 
+def _middle(values: Column, prob: float) -> Column:
+    """The linear-interpolated quantile of an array's values, in the arithmetic of ``percentile``."""
+    sorted_ = F.sort_array(values)
+    at = (F.size(values) - 1) * F.lit(float(prob))
+    low, high = F.get(sorted_, F.floor(at).cast("int")), F.get(sorted_, F.ceil(at).cast("int"))
+    return F.when(low == high, low).otherwise((F.ceil(at) - at) * low + (at - F.floor(at)) * high)
+
+
 MEASURE = object()
+FEW = object()
+
+
+def _few(df: DataFrame, keys: Sequence[str], bound: Sequence[str] | None) -> tuple[bool, int]:
+    """Whether every key has few rows, and the rows of the largest (of ``bound``, if those decide it)."""
+    most = largest_key(df, bound) if bound else None
+    if most is None or most > FEW_ROWS:
+        most = largest_key(df, keys)
+    return most <= FEW_ROWS, most
 
 
 def exact_quantiles(df: DataFrame, keys: Sequence[str], specs: Mapping[str, tuple[str, float]],
-                    hot=MEASURE, hot_rows: int = HOT_ROWS, also: Sequence[Column] = ()) -> DataFrame:
+                    hot=MEASURE, hot_rows: int = HOT_ROWS, also: Sequence[Column] = (), bound: Sequence[str] | None = None) -> DataFrame:
     """Exact linear-interpolated quantiles per key; ``specs`` maps output to (column, probability).
 
-    ``percentile`` holds a key's values in one task, which is right for ordinary keys. Keys above
+    Keys of a few rows each are sorted as arrays: ``percentile`` builds and ships a hash table for each key. It holds a key's
+    values in one task, which is right for ordinary keys. Keys above
     ``hot_rows`` rows take the bucketed path instead. ``hot`` is what :func:`hot_keys` returned, when
-    a caller measured already, or None when the rows per key are bounded by configuration. ``also``
-    are further aggregates, computed in the same pass.
+    a caller measured already, None, or FEW when the rows per key are a few by configuration. ``also``
+    are further aggregates, computed in the same pass. ``bound`` may name some of the keys whose rows, over all the others, are likely few
+    already: cheaper to measure.
     """
     keys = list(keys)
+    few = hot is FEW
     if hot is MEASURE:
-        hot = hot_keys(df, keys, hot_rows)
+        few, most = _few(df, keys, bound) if keys else (False, 0)
+        hot = None if keys and most <= hot_rows else hot_keys(df, keys, hot_rows)
+    if few and hot_rows >= FEW_ROWS:
+        columns = sorted({c for c, _ in specs.values()})
+        lists = df.groupBy(*keys).agg(*[F.collect_list(F.col(c).cast("double")).alias(f"_v{i}") for i, c in enumerate(columns)], *also)
+        kept = [c for c in lists.columns[len(keys) + len(columns):]]
+        return lists.select(*keys, *[_middle(F.col(f"_v{columns.index(c)}"), p).alias(o) for o, (c, p) in specs.items()], *kept)
     plain = [F.percentile(F.col(c), F.lit(float(p))).alias(o) for o, (c, p) in specs.items()]
-    if hot is None:
+    if hot is None or hot is FEW:
         return df.groupBy(*keys).agg(*plain, *also)
     used = sorted({c for c, _ in specs.values()})
     if not keys:
@@ -224,5 +251,5 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], specs: Mapping[str, tupl
 
 
 def medians(df: DataFrame, keys: Sequence[str], columns: Mapping[str, str], hot=MEASURE,
-            hot_rows: int = HOT_ROWS, also: Sequence[Column] = ()) -> DataFrame:
-    return exact_quantiles(df, keys, {o: (c, 0.5) for o, c in columns.items()}, hot, hot_rows, also)
+            hot_rows: int = HOT_ROWS, also: Sequence[Column] = (), bound: Sequence[str] | None = None) -> DataFrame:
+    return exact_quantiles(df, keys, {o: (c, 0.5) for o, c in columns.items()}, hot, hot_rows, also, bound)

@@ -6,7 +6,7 @@ from typing import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from kinfold.operators.ordered import exact_quantiles, hot_keys, medians
+from kinfold.operators.ordered import FEW, exact_quantiles, hot_keys, medians
 from kinfold.functions.scalars import first_max
 from kinfold.session import cut
 
@@ -26,14 +26,14 @@ def group_scores(df: DataFrame, keys: Sequence[str], group: str, target: str, bl
     """Record scores to one group score: median (primary), mean (sensitivity), record count."""
     ids = [*keys, group]
     return medians(df, ids, {score: score}, also=[
-        F.min(target).alias(target), F.min(block).alias(block), F.avg(score).alias("mean_score"), F.count("*").alias("n_records")])
+        F.min(target).alias(target), F.min(block).alias(block), F.avg(score).alias("mean_score"), F.count("*").alias("n_records")], bound=[group])
 
 
 def class_strata(df: DataFrame, keys: Sequence[str], group: str, true: str, block: str, scores: Sequence[str]) -> DataFrame:
     """Record class scores to group x class strata: per-class medians and the first-max class."""
     ids = [*keys, group, true]
     return medians(df, ids, {s: s for s in scores}, also=[
-        F.min(block).alias(block), F.count("*").alias("n_records")]).withColumns({
+        F.min(block).alias(block), F.count("*").alias("n_records")], bound=[group]).withColumns({
         "predicted": first_max(scores), "stratum_id": F.concat_ws("|", group, true)})
 
 
@@ -95,7 +95,7 @@ def _reduce(df, ids, how, bounded):
     mids = {c: c for c, h in how.items() if h == "median"}
     means = [F.avg(c).alias(c) for c, h in how.items() if h == "mean"]
     if bounded:
-        return medians(df, ids, mids, hot=None, also=means)  # rows per key are partitions or repeats
+        return medians(df, ids, mids, hot=FEW, also=means)  # rows per key are partitions or repeats
     return medians(df, ids, mids, also=means)
 
 

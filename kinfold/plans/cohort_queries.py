@@ -150,7 +150,7 @@ def a7(spark, sf):
     base = records(spark, sf)
     raw = base.select("group_id", F.when(F.col("record_id") % 200 != 0, F.col("class3")).alias("class3"))
     domain = table(spark, sf, "customer").select(F.col("c_custkey").alias("group_id"), F.when(F.col("c_nationkey") < 3, "out_of_domain").otherwise("primary").alias("domain"))
-    strata = R.class_strata(class_oof(spark, sf).where("repeat = 1"), ["model"], "group_id", "true_code", "block", ["s0", "s1", "s2"])
+    strata = R.class_strata(class_oof(spark, sf, by="group_id").where("repeat = 1"), ["model"], "group_id", "true_code", "block", ["s0", "s1", "s2"])
     recall = R.error_audit(strata, ["group_id", "model"], "true_code", "predicted", 3).groupBy("group_id").agg(
         F.countDistinct("model").alias("n_models"), F.percentile("recall", F.lit(0.5)).alias("median_recall"))
     return C.group_flags(raw, "group_id", "class3", domain, 5, base.where("f_qty is null"), recall, 4, 0.5)

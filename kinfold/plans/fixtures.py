@@ -14,6 +14,7 @@ from kinfold.functions.draws import draw_int
 
 FEATURES = ["f_total", "f_bal", "f_qty", "f_price", "f_disc", "f_tax"]
 CLASSES = ["F", "O", "P"]
+TASK_RECORDS = 150_000
 MODELS = ["gbt", "mlp", "rf", "svm"]
 SHIFT = {"gbt": 0.30, "mlp": 0.21, "rf": 0.24, "svm": 0.18}
 FEATURE_SCALE = {"f_total": 100000.0, "f_bal": 5000.0, "f_qty": 100.0, "f_price": 100000.0,
@@ -68,6 +69,13 @@ def stable(spark: SparkSession, sf: str) -> DataFrame:
     return records(spark, sf).where(F.col("group_id") % 25 != 0)
 
 
+def _dealt(df: DataFrame, spark: SparkSession, sf: str, by: str) -> DataFrame:
+    """Records dealt by one column before they are copied per model, class or feature: aggregates that have ``by``
+    among their keys need no further exchange, and a task's rows do not grow with the table."""
+    tasks = -(-table(spark, sf, "orders").count() // TASK_RECORDS)  # answered by the file's footers
+    return df.repartition(max(spark.sparkContext.defaultParallelism, tasks), by)
+
+
 def _per_model_repeat(df: DataFrame) -> DataFrame:
     models = F.array(*[F.struct(F.lit(m).alias("model"), F.lit(SHIFT[m]).alias("shift"))
                        for m in MODELS])
@@ -78,16 +86,16 @@ def _per_model_repeat(df: DataFrame) -> DataFrame:
     )
 
 
-def oof(spark: SparkSession, sf: str) -> DataFrame:
-    base = stable(spark, sf).select("record_id", "group_id", "block", F.col("label").alias("target")).repartition(spark.sparkContext.defaultParallelism, "record_id")
+def oof(spark: SparkSession, sf: str, by: str = "record_id") -> DataFrame:
+    base = _dealt(stable(spark, sf).select("record_id", "group_id", "block", F.col("label").alias("target")), spark, sf, by)
     u = draw_int(F.col("model"), F.col("repeat"), F.col("record_id")) / F.lit(4294967296.0)
     return _per_model_repeat(base).select(
         "model", "repeat", "record_id", "group_id", "block", "target",
         (F.lit(0.7) * u + F.col("target") * F.col("shift")).alias("score"))
 
 
-def class_oof(spark: SparkSession, sf: str) -> DataFrame:
-    base = records(spark, sf).select("record_id", "group_id", "block", F.col("class_code").alias("true_code")).repartition(spark.sparkContext.defaultParallelism, "record_id")
+def class_oof(spark: SparkSession, sf: str, by: str = "record_id") -> DataFrame:
+    base = _dealt(records(spark, sf).select("record_id", "group_id", "block", F.col("class_code").alias("true_code")), spark, sf, by)
     digest = F.md5(F.concat_ws(":", "model", "repeat", "record_id"))
     hexed = lambda i: F.conv(F.substring("digest", 1 + 8 * i, 8), 16, 10).cast("bigint")
     raw = _per_model_repeat(base).withColumn("digest", digest)
@@ -101,8 +109,8 @@ def class_oof(spark: SparkSession, sf: str) -> DataFrame:
         *[(F.col(f"e{i}") / total).alias(f"s{i}") for i in range(3)])
 
 
-def attr(spark: SparkSession, sf: str) -> DataFrame:
-    base = records(spark, sf).repartition(spark.sparkContext.defaultParallelism, "record_id")
+def attr(spark: SparkSession, sf: str, by: str = "record_id") -> DataFrame:
+    base = _dealt(records(spark, sf), spark, sf, by)
     cells = F.array(*[
         F.struct(
             F.lit(f).alias("feature"), F.lit(i).alias("f_pos"), F.col(f).alias("observed"),

@@ -78,7 +78,7 @@ def j7(spark, sf):
 @query("j8_unordered_pairs", with_views("group_oof", """
 SELECT a.group_id, a.repeat, a.model AS "left", b.model AS "right", round(a.score - b.score, 6) AS difference FROM group_oof a JOIN group_oof b ON a.group_id = b.group_id AND a.repeat = b.repeat AND a.model < b.model"""))
 def j8(spark, sf):
-    scores = R.group_scores(oof(spark, sf), ["model", "repeat"], "group_id", "target", "block", "score")
+    scores = R.group_scores(oof(spark, sf, by="group_id"), ["model", "repeat"], "group_id", "target", "block", "score")
     pairs = J.unordered_pairs(scores, ["group_id", "repeat"], "model", "score")
     return pairs.select("group_id", "repeat", "left", "right", r6(F.col("left_value") - F.col("right_value")).alias("difference"))
 
@@ -86,7 +86,7 @@ def j8(spark, sf):
 @query("j9_parameter_grid", with_views("group_oof", """
 SELECT model, repeat, CAST(g AS INTEGER) AS slot, count(*) FILTER (target = 1 AND score >= g / 10.0::DOUBLE) AS tp, count(*) FILTER (target = 0 AND score >= g / 10.0::DOUBLE) AS fp FROM group_oof, (SELECT range AS g FROM range(1, 10)) GROUP BY 1, 2, 3"""))
 def j9(spark, sf):
-    scores = R.group_scores(oof(spark, sf), ["model", "repeat"], "group_id", "target", "block", "score")
+    scores = R.group_scores(oof(spark, sf, by="group_id"), ["model", "repeat"], "group_id", "target", "block", "score")
     grid = M.grid_metrics(scores, ["model", "repeat"], "target", "score", [i / 10 for i in range(1, 10)])
     return grid.select("model", "repeat", F.round(F.col("threshold") * 10).cast("int").alias("slot"), "tp", "fp")
 
@@ -134,7 +134,7 @@ WITH x AS (SELECT model, group_id, true_code, predicted FROM strata_pred JOIN cu
  n AS (SELECT model, count(*) AS n_strata, count(DISTINCT group_id) AS n_groups FROM x GROUP BY 1)
 SELECT model, round(avg(coalesce(2.0::DOUBLE * tp / nullif(s + d, 0), 0)), 6) AS macro_f1, any_value(n_strata) AS n_strata, any_value(n_groups) AS n_groups FROM per JOIN n USING (model) GROUP BY 1"""))
 def j14(spark, sf):
-    strata = R.class_strata(class_oof(spark, sf), ["model", "repeat"], "group_id", "true_code", "block", ["s0", "s1", "s2"])
+    strata = R.class_strata(class_oof(spark, sf, by="group_id"), ["model", "repeat"], "group_id", "true_code", "block", ["s0", "s1", "s2"])
     domain = table(spark, sf, "customer").select(F.col("c_custkey").alias("group_id"), F.when(F.col("c_nationkey") >= 5, "primary").otherwise("out_of_domain").alias("domain"))
     kept = cut(strata.join(domain, "group_id").where("domain = 'primary'"))
     f1 = M.class_metrics(M.confusion(kept, ["model"], "true_code", "predicted", 3), 3, "fixed").select("model", r6("macro_f1").alias("macro_f1"))

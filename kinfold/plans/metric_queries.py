@@ -31,7 +31,7 @@ BY_REPEAT = "WITH " + AUC.format("group_oof") + """, by_repeat AS (SELECT model,
 
 
 def group_scores(spark, sf):
-    return R.group_scores(oof(spark, sf), ["model", "repeat"], "group_id", "target", "block", "score")
+    return R.group_scores(oof(spark, sf, by="group_id"), ["model", "repeat"], "group_id", "target", "block", "score")
 
 
 def by_repeat(spark, sf):
@@ -76,7 +76,7 @@ mm AS (SELECT {key}, avg(f) FILTER (support + called > 0) AS macro_f1, avg(r) FI
 
 
 def strata(spark, sf):
-    return R.class_strata(class_oof(spark, sf), ["model", "repeat"], "group_id", "true_code", "block", S3)
+    return R.class_strata(class_oof(spark, sf, by="group_id"), ["model", "repeat"], "group_id", "true_code", "block", S3)
 
 
 def multi(spark, sf, keys=("model", "repeat"), labels="seen"):

@@ -157,3 +157,25 @@ def test_correlation_clusters_rank_once(spark):
     got = T.correlation_clusters(rows, ["a", "b", "c"], 0.85, 20)
     assert "Window" not in got._jdf.queryExecution().optimizedPlan().toString()  # ranks were written, not planned again
     assert {r["feature"]: r["cluster"] for r in got.collect()} == {"a": "a", "b": "a", "c": "c"}
+
+
+def test_small_keys_are_sorted_as_arrays(spark):
+    """Few rows per key: no hash table per key, same quantiles as ``percentile``, nulls left out, an empty key null."""
+    rows = [(k, None if i % 4 == 3 else float((i * 7919 + k) % 11) / 3, k % 5) for k in range(40) for i in range(1 + k % 9)] + [(99, None, 0)]
+    df = spark.createDataFrame(rows, "k int, v double, b int")
+    got = O.exact_quantiles(df, ["k"], {"m": ("v", 0.5), "q": ("v", 0.3)}, also=[F.min("b").alias("b"), F.count("*").alias("n")], bound=["b"])
+    want = df.groupBy("k").agg(F.percentile("v", F.lit(0.5)).alias("m"), F.percentile("v", F.lit(0.3)).alias("q"), F.min("b").alias("b"), F.count("*").alias("n"))
+    assert "percentile" not in got._jdf.queryExecution().executedPlan().toString()
+    assert sorted(got.collect()) == sorted(want.collect(), key=lambda r: r["k"])
+
+
+def test_records_are_dealt_by_group_in_bounded_tasks(spark, monkeypatch):
+    """Group medians of scores need no exchange after rows are copied per model, and tasks grow with the table."""
+    from kinfold.plans import fixtures, metric_queries
+
+    sf = "/root/testdata/sf0.001"
+    monkeypatch.setattr(fixtures, "TASK_RECORDS", 100)
+    records = spark.read.parquet(f"{sf}/orders.parquet").count()
+    assert fixtures.class_oof(spark, sf).rdd.getNumPartitions() == max(spark.sparkContext.defaultParallelism, -(-records // 100))
+    plan = metric_queries.strata(spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan[:plan.index("Generate explode")]
