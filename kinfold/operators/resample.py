@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from kinfold.functions.draws import bootstrap_counts, draw_uniform, replicate_column, round_keys, shuffled_positions
 from kinfold.operators import metrics as M
-from kinfold.operators.ordered import attach, largest_key, ordered_totals, positions
+from kinfold.operators.ordered import attach, average_ranks, largest_key, ordered_totals, positions
 from kinfold.session import cut
 
 BROADCAST_ROWS = 500_000  # components beyond which ranks are shuffled to the permutations, whatever their compressed size
@@ -132,7 +132,7 @@ def permutation_spearman(components: DataFrame, unit: str, x: str, y: str, repli
     :func:`shuffled_position`'s, keyed by seed and replicate, none of them is sorted.
     """
     # ranks of distinct values, joined back to the components
-    rx, ry = (M.average_ranks(components, [], c, f"_r{i}") for i, c in enumerate((x, y)))
+    rx, ry = (average_ranks(components, [], c, f"_r{i}") for i, c in enumerate((x, y)))
     ranked = components.join(rx.drop("n_all"), x).join(ry, y)
     numbered = cut(ranked.join(positions(components.select(unit), [], unit).select(unit, "position"), unit).select("position", "_r0", "_r1", "n_all"))
     n = numbered.count()
