@@ -12,6 +12,7 @@ import math
 from pyspark.sql import Column, DataFrame, functions as F
 
 SPAN = 4294967296.0
+TASK_DRAWS = 1_000_000
 
 
 def draw_int(*parts) -> Column:
@@ -38,17 +39,19 @@ def bootstrap_counts(units: DataFrame, unit: str, replicates: int, seed: int) ->
     """How often each unit is drawn in each replicate: ``(replicate, unit, weight)``.
 
     ``units`` holds one row per unit with its zero-based ``position`` and the number of units
-    ``n_units``. Every row makes ``replicates`` draws, so the draws are spread as the units are;
+    ``n_units``; it is counted and read twice. Every row makes ``replicates`` draws, and the units may come from one ordered
+    window, so they are spread first, and a task's draws do not grow with the units;
     they are counted before the join that turns positions into units, and weights stand in for
     copied rows from then on. Draws are dealt by position once, for counting and for that join. Spark
     takes them for as many as the units, so no join may broadcast them: the result carries a hint.
     """
-    draws = units.select(
+    tasks = max(units.sparkSession.sparkContext.defaultParallelism, -(-units.count() * replicates // TASK_DRAWS))
+    draws = units.repartition(tasks, "position").select(
         "n_units", F.col("position").alias("draw"), replicate_column(replicates).alias("replicate")
     ).select(
         "replicate",
         draw_index(F.col("n_units"), seed, F.col("replicate"), F.col("draw")).alias("position"),
-    ).repartition("position")
+    ).repartition(tasks, "position")
     counted = draws.groupBy("replicate", "position").agg(F.count("*").cast("double").alias("weight"))
     return counted.join(units.select(unit, "position").hint("merge"), "position").select(
         "replicate", unit, "weight"

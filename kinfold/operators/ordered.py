@@ -210,7 +210,7 @@ FEW = object()
 
 def _few(df: DataFrame, keys: Sequence[str], bound: Sequence[str] | None) -> tuple[bool, int]:
     """Whether every key has few rows, and the rows of the largest (of ``bound``, if those decide it)."""
-    most = largest_key(df, bound) if bound else None
+    most = largest_key(df, bound) if bound and set(bound) != set(keys) else None
     if most is None or most > FEW_ROWS:
         most = largest_key(df, keys)
     return most <= FEW_ROWS, most

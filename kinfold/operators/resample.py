@@ -22,7 +22,7 @@ BROADCAST_ROWS = 500_000  # components beyond which ranks are shuffled to the pe
 
 def unit_draws(df: DataFrame, unit: str, replicates: int, seed: int) -> DataFrame:
     """``(replicate, unit, weight)``; units are numbered by their order."""
-    units = positions(df.where(F.col(unit).isNotNull()).select(unit), [], unit)
+    units = cut(positions(df.where(F.col(unit).isNotNull()).select(unit), [], unit))
     return bootstrap_counts(units, unit, replicates, seed)
 
 

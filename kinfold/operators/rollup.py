@@ -96,7 +96,7 @@ def _reduce(df, ids, how, bounded):
     means = [F.avg(c).alias(c) for c, h in how.items() if h == "mean"]
     if bounded:
         return medians(df, ids, mids, hot=FEW, also=means)  # rows per key are partitions or repeats
-    return medians(df, ids, mids, also=means)
+    return medians(df, ids, mids, also=means, bound=ids[-1:])
 
 
 def record_bridge(df: DataFrame, record: str, features: Sequence[str], feature: str = "feature") -> DataFrame:

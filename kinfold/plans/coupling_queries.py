@@ -16,8 +16,8 @@ GT = """gt AS (SELECT feature, class AS task, group_id, min(block) AS block, med
 
 
 def group_tasks(spark, sf):
-    rows = attr(spark, sf).where("repeat = 1 and class in ('F', 'P')").withColumnRenamed("class", "task")
-    return O.medians(rows, ["feature", "task", "group_id"], {"value": "completed", "shap": "shap"}, also=[F.min("block").alias("block")])
+    rows = attr(spark, sf, by="group_id").where("repeat = 1 and class in ('F', 'P')").withColumnRenamed("class", "task")
+    return O.medians(rows, ["feature", "task", "group_id"], {"value": "completed", "shap": "shap"}, also=[F.min("block").alias("block")], bound=["group_id"])
 
 
 CONC = f"""{GT}, s0 AS (SELECT task, feature, value AS completed, shap, 1 AS w FROM gt), {wrho('s0', 'task, feature', name='rh')}, im AS (SELECT task, feature, avg(abs(shap)) AS imp FROM gt GROUP BY 1, 2),
@@ -65,8 +65,8 @@ CG = """pu AS (SELECT group_id, min(block) AS block, median(score) AS p_u FROM o
 
 
 def groups(spark, sf):
-    pu = O.medians(oof(spark, sf).where("model = 'gbt' and repeat = 1"), ["group_id"], {"p_u": "score"}, also=[F.min("block").alias("block")])
-    one = class_oof(spark, sf).where("repeat = 1 and model in ('gbt', 'rf')").select(
+    pu = O.medians(oof(spark, sf, by="group_id").where("model = 'gbt' and repeat = 1"), ["group_id"], {"p_u": "score"}, also=[F.min("block").alias("block")])
+    one = class_oof(spark, sf, by="group_id").where("repeat = 1 and model in ('gbt', 'rf')").select(
         "group_id", F.when(F.col("model") == "gbt", F.col("s2")).alias("a"), F.when(F.col("model") == "rf", F.col("s2")).alias("b"))
     return pu.join(O.medians(one, ["group_id"], {"p_s": "a", "p_c": "b"}), "group_id")
 

@@ -84,8 +84,8 @@ def b3(spark, sf):
 
 def group_attr(spark, sf):
     """Group-level attribution of class P, first repeat."""
-    rows = attr(spark, sf).where("repeat = 1 and class = 'P'")
-    return O.medians(rows, ["feature", "group_id"], {"shap": "shap", "completed": "completed"}, also=[F.min("block").alias("block")])
+    rows = attr(spark, sf, by="group_id").where("repeat = 1 and class = 'P'")
+    return O.medians(rows, ["feature", "group_id"], {"shap": "shap", "completed": "completed"}, also=[F.min("block").alias("block")], bound=["group_id"])
 
 
 GA = "ga AS (SELECT feature, group_id, min(block) AS block, median(shap) AS shap, median(completed) AS completed FROM attr WHERE repeat = 1 AND class = 'P' GROUP BY 1, 2)"
@@ -124,7 +124,8 @@ GP = """gp AS (SELECT repeat, fold, class, feature, group_id, min(block) AS bloc
 
 
 def partition_groups(spark, sf):
-    return cut(O.medians(attr(spark, sf), ["repeat", "fold", "class", "feature", "group_id"], {"completed": "completed", "shap": "shap"}, also=[F.min("block").alias("block")]))
+    return cut(O.medians(attr(spark, sf, by="group_id"), ["repeat", "fold", "class", "feature", "group_id"], {"completed": "completed", "shap": "shap"},
+                         also=[F.min("block").alias("block")], bound=["group_id"]))
 
 
 @query("b6_direction_stability", with_views("attr", f"""WITH {GP}, p1 AS (SELECT repeat, fold, class, feature, completed, shap, 1 AS w FROM gp), {wrho('p1', 'repeat, fold, class, feature', name='pr')},

@@ -80,7 +80,7 @@ def a15(spark, sf):
 WITH p AS (SELECT class, feature, repeat, group_id, median(shap) AS shap, median(completed) AS completed, avg(imputed) AS imputed FROM attr GROUP BY 1, 2, 3, 4)
 SELECT class, feature, group_id, round(median(shap), 6) AS shap, round(median(completed), 6) AS completed, round(avg(imputed), 6) AS imputed FROM p GROUP BY 1, 2, 3"""))
 def a16(spark, sf):
-    got = R.attribution_rollup(attr(spark, sf), ["class", "feature"], "group_id", ["repeat"], {"shap": ("median", "median"), "completed": ("median", "median"), "imputed": ("mean", "mean")})
+    got = R.attribution_rollup(attr(spark, sf, by="group_id"), ["class", "feature"], "group_id", ["repeat"], {"shap": ("median", "median"), "completed": ("median", "median"), "imputed": ("mean", "mean")})
     return rounded(got, ["shap", "completed", "imputed"])
 
 
@@ -88,7 +88,7 @@ def a16(spark, sf):
 WITH p AS (SELECT class, feature, repeat, fold, group_id, median(shap) AS shap, median(completed) AS completed FROM attr GROUP BY 1, 2, 3, 4, 5)
 SELECT class, feature, group_id, round(avg(shap), 6) AS shap, round(median(completed), 6) AS completed FROM p GROUP BY 1, 2, 3"""))
 def a17(spark, sf):
-    got = R.attribution_rollup(attr(spark, sf), ["class", "feature"], "group_id", ["repeat", "fold"], {"shap": ("median", "mean"), "completed": ("median", "median")})
+    got = R.attribution_rollup(attr(spark, sf, by="group_id"), ["class", "feature"], "group_id", ["repeat", "fold"], {"shap": ("median", "mean"), "completed": ("median", "median")})
     return rounded(got, ["shap", "completed"])
 
 

@@ -179,3 +179,17 @@ def test_records_are_dealt_by_group_in_bounded_tasks(spark, monkeypatch):
     assert fixtures.class_oof(spark, sf).rdd.getNumPartitions() == max(spark.sparkContext.defaultParallelism, -(-records // 100))
     plan = metric_queries.strata(spark, sf)._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan[:plan.index("Generate explode")]
+
+
+def test_draws_are_spread_over_bounded_tasks(spark, monkeypatch):
+    """Units come from one ordered window; their draws must not stay in its task, nor grow with the units."""
+    from kinfold.functions import draws
+    from kinfold.operators import resample as B
+
+    units = spark.range(50).withColumnRenamed("id", "u")
+    want = sorted(B.unit_draws(units, "u", 20, 3).collect())
+    monkeypatch.setattr(draws, "TASK_DRAWS", 10)
+    got = B.unit_draws(units, "u", 20, 3)
+    plan = got._jdf.queryExecution().toString()
+    assert plan.count(", 100), REPARTITION_BY_NUM") >= 2
+    assert sorted(got.collect()) == want
