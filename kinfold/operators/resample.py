@@ -7,10 +7,11 @@ copied, and all replicates of an analysis are one job.
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import combinations
 from typing import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from kinfold.functions.draws import bootstrap_counts, draw_uniform, replicate_column, round_keys, shuffled_positions
 from kinfold.operators import metrics as M
@@ -251,8 +252,23 @@ def weighted_resample(df: DataFrame, order: str, weight: Column, seed: int) -> D
 
 
 def random_mask(cells: DataFrame, keys: Sequence[str], record: str, fraction: float, minimum: int, seed, need: int = 10) -> DataFrame:
-    """Observed cells chosen per key: ``max(minimum, round(n·fraction))`` of them, in hash order."""
-    order = F.struct(F.md5(F.concat_ws(":", F.lit(str(seed)), *keys, record)).alias("h"), F.col(record).alias("r"))
-    ranked = ordered_totals(cells.withColumn("_o", order), keys, "_o", {"n": F.lit(1)})
-    size = F.least(F.col("n_all"), F.greatest(F.lit(minimum), F.round(F.col("n_all") * fraction))).cast("bigint")
-    return ranked.where((F.col("n_all") >= need) & (F.col("n_before") < size)).select(*keys, F.col("_o.r").alias(record))
+    """Observed cells chosen per key: ``max(minimum, round(n·fraction))`` of them, in hash order.
+
+    Nothing is sorted but one slot of the hashes per key: counts per slot (the first 16 bits) tell which slots are chosen whole,
+    and only the one where the last chosen cell lies is ordered.
+    """
+    keys = list(keys)
+    hashed = cells.select(*keys, record, F.md5(F.concat_ws(":", F.lit(str(seed)), *keys, record)).alias("_h")).withColumn("_slot", F.substring("_h", 1, 4))
+    whole = Window.partitionBy(*keys)
+    earlier = whole.orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)
+    slots = hashed.groupBy(*keys, "_slot").agg(F.count("*").alias("_n")).select(
+        *keys, "_slot", "_n", F.sum("_n").over(whole).alias("_all"), F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    size = F.least(F.col("_all"), F.greatest(F.lit(minimum), F.round(F.col("_all") * fraction))).cast("bigint")
+    slots = cut(slots.withColumn("_size", size).where((F.col("_all") >= need) & (F.col("_before") < F.col("_size"))))
+    other = slots.withColumnsRenamed({c: f"_of_{c}" for c in [*keys, "_slot"]})
+    near = hashed.join(other, reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in [*keys, "_slot"]]))
+    inside = near.where(F.col("_before") + F.col("_n") <= F.col("_size")).select(*keys, record).distinct()
+    order = F.struct(F.col("_h").alias("h"), F.col(record).alias("r"))
+    edge = near.where(F.col("_before") + F.col("_n") > F.col("_size")).withColumn("_o", order)
+    ranked = ordered_totals(edge, [*keys, "_before", "_size"], "_o", {"n": F.lit(1)})
+    return inside.unionByName(ranked.where(F.col("_before") + F.col("n_before") < F.col("_size")).select(*keys, F.col("_o.r").alias(record)))

@@ -193,3 +193,21 @@ def test_draws_are_spread_over_bounded_tasks(spark, monkeypatch):
     plan = got._jdf.queryExecution().toString()
     assert plan.count(", 100), REPARTITION_BY_NUM") >= 2
     assert sorted(got.collect()) == want
+
+
+def test_mask_orders_one_slot_only(spark):
+    """Chosen cells are those with the smallest hashes, and only one slot of the hashes is ordered."""
+    import hashlib
+
+    from kinfold.operators import resample as B
+
+    rows = [(f, r) for f, n in (("a", 3000), ("b", 9), ("c", 12)) for r in range(n)]
+    df = spark.createDataFrame(rows + [("a", 7)], "feature string, record_id long")  # one cell twice
+    got = B.random_mask(df, ["feature"], "record_id", 0.1, 5, 9)
+    want = set()
+    for f, n in (("a", 3001), ("c", 12)):
+        own = sorted((hashlib.md5(f"9:{f}:{r}".encode()).hexdigest(), r) for g, r in rows + [("a", 7)] if g == f)
+        size = min(n, max(5, round(n * 0.1)))
+        want |= {(f, r) for i, (_, r) in enumerate(own) if own.index(own[i]) < size}
+    assert sorted((x.feature, x.record_id) for x in got.collect()) == sorted(want)
+    assert "_slot" in got._jdf.queryExecution().toString()
