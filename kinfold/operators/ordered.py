@@ -204,6 +204,15 @@ def _middle(values: Column, prob: float) -> Column:
     return F.when(low == high, low).otherwise((F.ceil(at) - at) * low + (at - F.floor(at)) * high)
 
 
+def _percentiles(df: DataFrame, keys: list[str], specs: Mapping[str, tuple[str, float]], also: Sequence[Column]) -> DataFrame:
+    """``percentile`` of every spec; those of a column share one table of its values."""
+    columns = list(dict.fromkeys(c for c, _ in specs.values()))
+    of = {c: [o for o, (own, _) in specs.items() if own == c] for c in columns}
+    found = df.groupBy(*keys).agg(*[F.percentile(F.col(c), F.array(*[F.lit(float(specs[o][1])) for o in of[c]])).alias(f"_p{i}") for i, c in enumerate(columns)], *also)
+    kept = found.columns[len(keys) + len(columns):]
+    return found.select(*keys, *[F.get(f"_p{columns.index(c)}", F.lit(of[c].index(o))).alias(o) for o, (c, _) in specs.items()], *kept)
+
+
 MEASURE = object()
 FEW = object()
 
@@ -237,14 +246,13 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], specs: Mapping[str, tupl
         lists = df.groupBy(*keys).agg(*[F.collect_list(F.col(c).cast("double")).alias(f"_v{i}") for i, c in enumerate(columns)], *also)
         kept = [c for c in lists.columns[len(keys) + len(columns):]]
         return lists.select(*keys, *[_middle(F.col(f"_v{columns.index(c)}"), p).alias(o) for o, (c, p) in specs.items()], *kept)
-    plain = [F.percentile(F.col(c), F.lit(float(p))).alias(o) for o, (c, p) in specs.items()]
     if hot is None or hot is FEW:
-        return df.groupBy(*keys).agg(*plain, *also)
+        return _percentiles(df, keys, specs, also)
     used = sorted({c for c, _ in specs.values()})
     if not keys:
         found = _hot_quantiles(df.select(F.lit(1).alias("_one"), *used), ["_one"], specs).drop("_one")
         return attach(found, df.agg(*also), []) if also else found
-    cold = df.join(hot, keys, "left_anti").groupBy(*keys).agg(*plain, *also)
+    cold = _percentiles(df.join(hot, keys, "left_anti"), keys, specs, also)
     large = df.join(hot, keys, "left_semi")
     found = _hot_quantiles(large.select(*keys, *used), keys, specs)
     return cold.unionByName(found.join(large.groupBy(*keys).agg(*also), keys) if also else found)

@@ -214,6 +214,50 @@ def test_knn_completion_takes_string_ids_and_stays_exact_over_many_boxes(spark):
     assert all(got[c] == pytest.approx(want[c]) for c in want)
 
 
+def test_knn_completion_writes_no_row_per_recipient_and_box(spark, monkeypatch):
+    """Without structure every recipient meets every box; what is written must not grow with the boxes."""
+    rng = np.random.default_rng(12)
+    x = rng.normal(size=(200, 5))
+    x[rng.random(x.shape) < 0.3] = np.nan
+    written, own = [], impute.cut
+    monkeypatch.setattr(impute, "cut", lambda df: written.append(own(df)) or written[-1])
+    got = {(r["record"], int(r["feature"])): r["z"] for r in impute.knn_completion(as_rows(spark, x), "record", [str(j) for j in range(5)], 3, 10).collect()}
+    want = brute_knn(x, x, 3)
+    assert got.keys() == want.keys()
+    assert all(got[c] == pytest.approx(want[c]) for c in want)
+    assert max(df.count() for df in written) <= 200  # by 20 boxes before
+
+
+def test_knn_completion_with_an_id_that_comes_twice_and_none(spark):
+    x = clustered(40, 5, 3)
+    x[7], x[9] = [1, np.nan, 2, 3, 4], [-1, np.nan, 5, 6, 7]
+    name = {7: 3, 9: 3, 3: 3, 5: None}
+    got = impute.knn_completion(as_rows(spark, x, lambda i: name.get(i, i)), "record", [str(j) for j in range(5)], 2, 10)
+    seen = sorted(((-1 if r["record"] is None else r["record"]), int(r["feature"]), round(r["z"], 9)) for r in got.collect())
+    want = brute_knn(x, x, 2)
+    own = lambda i: -1 if name.get(i, i) is None else name.get(i, i)
+    assert seen == sorted((own(i), j, round(z, 9)) for (i, j), z in want.items())
+
+
+@pytest.mark.parametrize("scale", [1.0, 1e-20, 1e25])
+def test_streamed_donors_are_those_of_full_distances(scale):
+    """Ties go to the smaller id across boxes, and single precision loses nothing, whatever the size of the values."""
+    rng = np.random.default_rng(5)
+    want, have = rng.normal(size=(30, 6)).round(1) * scale, rng.normal(size=(300, 6)).round(1) * scale
+    want[rng.random(want.shape) < 0.3], have[rng.random(have.shape) < 0.2] = np.nan, np.nan
+    ids = rng.permutation(300)
+    near = impute.Nearest(want, 4)
+    for own in np.array_split(np.arange(300), 7):
+        part = have[own]
+        seen = (~np.isnan(part)).sum(0)
+        near.meet(part, ids[own], {"low": np.nanmin(part, 0)[None], "high": np.nanmax(part, 0)[None], "seen_by": seen[None], "size": np.array([len(own)]),
+                                   "lacks": np.array([np.isnan(part).sum(1).max()])})
+    d = impute._distances(want[:, None], have[None])
+    for cell, (i, j) in enumerate(np.argwhere(np.isnan(want))):
+        expected = sorted((v, ids[n], have[n, j]) for n, v in enumerate(d[i]) if not np.isnan(v) and not np.isnan(have[n, j]))[:4]
+        assert list(zip(near.distance[cell], near.donor[cell], near.value[cell])) == expected
+
+
 def test_far_boxes_are_never_compared(spark):
     x, k = clustered(960, 6, 9), 3
     donors, boxes = impute.donor_boxes(as_rows(spark, x).select("fold", "record", "x"), 6, 20)
