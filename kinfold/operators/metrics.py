@@ -11,7 +11,7 @@ from typing import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from kinfold.operators.ordered import HOT_ROWS, attach, largest_key, ordered_totals, row_ranks, with_buckets
+from kinfold.operators.ordered import HOT_ROWS, attach, below, largest_key, ordered_totals, row_ranks, with_buckets
 from kinfold.session import cut
 
 
@@ -98,7 +98,8 @@ def grid_metrics(df: DataFrame, keys: Sequence[str], target: str, score: str, gr
     over the grid give every confusion table, instead of repeating all rows per threshold.
     """
     points = F.array(*[F.lit(float(g)) for g in grid])
-    placed = df.select(*keys, target, F.size(F.filter(points, lambda g: g <= F.col(score))).alias("_slot"))
+    # by compiled halving steps; a filter over the points would be interpreted for every row
+    placed = below(df.select(*keys, target, score), points, F.col(score), len(grid), "_slot", including=True)
     counted = placed.groupBy(*keys, "_slot").agg(
         F.count_if(F.col(target) == 1).alias("_p"), F.count_if(F.col(target) == 0).alias("_n"))
     # per key at most len(grid) + 1 slots: arrays indexed by slot

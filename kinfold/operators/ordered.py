@@ -65,14 +65,15 @@ def _edges(level: DataFrame, keys: Sequence[str], order: str, samples: int, by:
     return picked.groupBy(*keys).agg(F.array_sort(F.collect_set(order)).alias("_edges"))
 
 
-def _below(df: DataFrame, edges: str, value: Column, samples: int, out: str) -> DataFrame:
-    """Add ``out``: how many of the sorted ``edges`` are smaller than ``value``, by halving steps.
+def below(df: DataFrame, edges: str | Column, value: Column, samples: int, out: str, including: bool = False) -> DataFrame:
+    """Add ``out``: how many of the sorted ``edges``, ``samples`` at most, are smaller than ``value`` (or equal, with ``including``), by halving steps.
 
     One column per step: Spark compiles these into the scan, a function over the array would be interpreted.
     """
     df = df.withColumn(out, F.lit(0))
     for i in reversed(range(samples.bit_length())):
-        step = F.when(F.get(edges, F.col(out) + F.lit((1 << i) - 1)) < value, 1 << i).otherwise(0)
+        edge = F.get(edges, F.col(out) + F.lit((1 << i) - 1))
+        step = F.when(edge <= value if including else edge < value, 1 << i).otherwise(0)
         df = df.withColumn(out, F.col(out) + step)
     return df
 
@@ -82,7 +83,7 @@ def with_buckets(level: DataFrame, keys: Sequence[str], order: str, samples: int
     result sees the same ones, and their file size decides whether they are broadcast."""
     edges = cut(_edges(level, keys, order, samples))
     placed = level.join(edges, list(keys)) if keys else level.withColumn("_edges", edges.scalar())
-    return _below(placed, "_edges", F.col(order), samples, "_bucket").drop("_edges")
+    return below(placed, "_edges", F.col(order), samples, "_bucket").drop("_edges")
 
 
 def _cells(sums: DataFrame, keys: Sequence[str], totals: Sequence[str]) -> DataFrame:
@@ -163,7 +164,7 @@ def row_ranks(df: DataFrame, keys: Sequence[str], value: str, other: str, weight
 
     def place(rows: DataFrame) -> DataFrame:
         rows = rows.join(edges, keys) if keys else rows.withColumn("_edges", edges.scalar())
-        return _below(rows, "_edges", F.col(value), samples, "_at").withColumn("_tied", tied).withColumn(
+        return below(rows, "_edges", F.col(value), samples, "_at").withColumn("_tied", tied).withColumn(
             "_bucket", F.col("_at") * 2 + F.col("_tied").cast("int")).drop("_edges", "_at")
 
     offsets = _cells(place(rows).groupBy(*keys, "_bucket").agg(F.sum(weight).alias("_w_sum")), keys, ["_w"])

@@ -506,3 +506,13 @@ def test_compiled_permutations_are_the_same(spark, n):
     rows = rows.withColumn("want", shuffled_position(F.col("id"), n, F.col("keys")))
     got = shuffled_positions(rows, "id", n, "keys", "t")
     assert got.count() == 20 * n and got.where("not (t <=> want)").isEmpty()
+
+
+def test_grid_slots_are_compiled(spark):
+    """Counts at every grid point, also for scores on a point, null and NaN; no function over the points is interpreted per row."""
+    grid = [round(0.1 + i * 0.05, 3) for i in range(17)]
+    rows = [(i % 2, i / 100) for i in range(101)] + [(1, g) for g in grid] + [(0, None), (1, float("nan")), (0, 5.0)]
+    got = M.grid_metrics(spark.createDataFrame(rows, "target int, score double"), [], "target", "score", grid)
+    above = lambda t, g: sum(1 for v, s in rows if v == t and s is not None and (s != s or s >= g))
+    assert {r["threshold"]: (r["tp"], r["fp"]) for r in got.collect()} == {g: (above(1, g), above(0, g)) for g in grid}
+    assert "filter(" not in got._jdf.queryExecution().executedPlan().toString()
