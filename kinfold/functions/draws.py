@@ -35,6 +35,17 @@ def replicate_column(replicates: int) -> Column:
     return F.explode(F.sequence(F.lit(1), F.lit(replicates)))
 
 
+def _draws(units: DataFrame, replicates: int, seed: int) -> DataFrame:
+    """``(replicate, position)`` of every draw, dealt by position."""
+    tasks = max(units.sparkSession.sparkContext.defaultParallelism, -(-units.count() * replicates // TASK_DRAWS))
+    return units.repartition(tasks, "position").select(
+        "n_units", F.col("position").alias("draw"), replicate_column(replicates).alias("replicate")
+    ).select(
+        "replicate",
+        draw_index(F.col("n_units"), seed, F.col("replicate"), F.col("draw")).alias("position"),
+    ).repartition(tasks, "position")
+
+
 def bootstrap_counts(units: DataFrame, unit: str, replicates: int, seed: int) -> DataFrame:
     """How often each unit is drawn in each replicate: ``(replicate, unit, weight)``.
 
@@ -45,19 +56,21 @@ def bootstrap_counts(units: DataFrame, unit: str, replicates: int, seed: int) ->
     copied rows from then on. Draws are dealt by position once, for counting and for that join. Spark
     takes them for as many as the units, so no join may broadcast them: the result carries a hint.
     """
-    tasks = max(units.sparkSession.sparkContext.defaultParallelism, -(-units.count() * replicates // TASK_DRAWS))
-    draws = units.repartition(tasks, "position").select(
-        "n_units", F.col("position").alias("draw"), replicate_column(replicates).alias("replicate")
-    ).select(
-        "replicate",
-        draw_index(F.col("n_units"), seed, F.col("replicate"), F.col("draw")).alias("position"),
-    ).repartition(tasks, "position")
+    draws = _draws(units, replicates, seed)
     counted = draws.groupBy("replicate", "position").agg(F.count("*").cast("double").alias("weight"))
     return counted.join(units.select(unit, "position").hint("merge"), "position").select(
         "replicate", unit, "weight"
     ).hint("merge")
 
 
+def bootstrap_vectors(units: DataFrame, unit: str, replicates: int, seed: int, out: str) -> DataFrame:
+    """The draws of :func:`bootstrap_counts` as one row per unit: ``out`` holds 1, then the unit's draws in each replicate."""
+    counted = _draws(units, replicates, seed).groupBy("position").agg(*[
+        F.count_if(F.col("replicate") == r).cast("int").alias(f"_{r}") for r in range(1, replicates + 1)])
+    counts = [F.coalesce(f"_{r}", F.lit(0)) for r in range(1, replicates + 1)]
+    return units.select(unit, "position").join(counted.hint("merge"), "position", "left").select(unit, F.array(F.lit(1), *counts).alias(out))
+
+
 ROUNDS = 8
 PRIME = 2147483647
 

@@ -13,9 +13,10 @@ from typing import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from kinfold.functions.draws import bootstrap_counts, draw_uniform, replicate_column, round_keys, shuffled_positions
+from kinfold.functions.draws import bootstrap_counts, bootstrap_vectors, draw_uniform, replicate_column, round_keys, shuffled_positions
 from kinfold.operators import metrics as M
 from kinfold.operators.ordered import attach, average_ranks, largest_key, ordered_totals, positions
+from kinfold.operators.replicates import replicate_spearman
 from kinfold.session import cut
 
 BROADCAST_ROWS = 500_000  # components beyond which ranks are shuffled to the permutations, whatever their compressed size
@@ -27,6 +28,12 @@ def unit_draws(df: DataFrame, unit: str, replicates: int, seed: int) -> DataFram
     return bootstrap_counts(units, unit, replicates, seed)
 
 
+def unit_vectors(df: DataFrame, unit: str, replicates: int, seed: int) -> DataFrame:
+    """``(unit, _drawn)``: 1, then how often the unit is drawn in each replicate."""
+    units = cut(positions(df.where(F.col(unit).isNotNull()).select(unit), [], unit))
+    return bootstrap_vectors(units, unit, replicates, seed, "_drawn")
+
+
 def interval(df: DataFrame, keys: Sequence[str], value: str, low: float = 0.025, high: float = 0.975, also: Sequence[Column] = ()) -> DataFrame:
     """Percentile interval over replicates (a configured number of rows per key); NULLs are dropped and counted out.
 
@@ -105,14 +112,18 @@ def spearman_interval(df: DataFrame, keys: Sequence[str], unit: str, x: str, y:
                       min_rows: int = 8, min_distinct: int = 4) -> DataFrame:
     """Spearman direction with an interval from resampling ``unit`` (group or cluster).
 
-    Re-ranking inside each replicate happens on weights; the rows of a (key, replicate) are at most the
-    rows of the key, which are measured once.
+    Re-ranking inside each replicate happens on weights, for all replicates in two sorts; the estimate is the replicate that has every row once.
     """
+    keys = list(keys)
     rows = cut(df.select(*dict.fromkeys([*keys, unit, x, y])).where(F.col(x).isNotNull() & F.col(y).isNotNull()))
-    bound = largest_key(rows, keys)
-    draws = unit_draws(rows, unit, replicates, seed)
-    whole = M.spearman(rows, keys, x, y, "estimate", min_rows=min_rows, min_distinct=min_distinct, max_rows=bound)
-    each = M.spearman(rows.join(draws, unit), [*keys, "replicate"], x, y, "rho", weight=F.col("weight"), min_rows=3, min_distinct=2, max_rows=bound)
+    vectors = unit_vectors(rows, unit, replicates, seed)
+    # rows without a unit are never drawn
+    never = F.array(F.lit(1), *[F.lit(0)] * replicates)
+    drawn = rows.join(vectors.hint("merge"), unit, "left").withColumn("_drawn", F.coalesce("_drawn", never))
+    found = cut(replicate_spearman(drawn, keys, x, y, "_drawn", replicates + 1, largest_key(rows, keys)))
+    valid = (F.col("n") >= min_rows) & (F.col("kinds") >= min_distinct)
+    whole = found.where("replicate = 0").groupBy(*keys).agg(F.max(F.when(valid, F.col("rho"))).alias("estimate"), F.max("n").alias("n"))
+    each = found.where("replicate > 0 and n > 0").withColumn("rho", F.when(F.col("n") >= 3, F.col("rho")))
     return attach(whole, interval(each, keys, "rho"), keys)
 
 

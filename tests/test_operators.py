@@ -508,6 +508,42 @@ def test_compiled_permutations_are_the_same(spark, n):
     assert got.count() == 20 * n and got.where("not (t <=> want)").isEmpty()
 
 
+@pytest.mark.parametrize("bucket_rows, keyed", [(1_000, True), (20, True), (20, False)])
+def test_replicate_spearman_ranks_every_replicate(spark, bucket_rows, keyed):
+    """All replicates from two sorts, in one bucket or many; ties, a value that holds a third of a key, and rows that are not drawn."""
+    from kinfold.operators.replicates import replicate_spearman
+
+    rng = np.random.default_rng(2)
+    rows = []
+    for key in ("a", "b", None) if keyed else ("a",):
+        for i in range(150):
+            x = 2.5 if i % 3 == 0 else float(rng.integers(0, 40))
+            rows.append((key, x, float(np.round(x + rng.normal(scale=20), 0)), [1, *rng.poisson(1, 3).tolist()]))
+    rows += [("c", 1.0, float(i), [1, 0, 2, 1]) for i in range(30)] if keyed else []  # x does not vary
+    df = spark.createDataFrame(rows, "k string, x double, y double, w array<int>")
+    got = {(r["k"] if keyed else "a", r["replicate"]): r for r in replicate_spearman(df, ["k"] if keyed else [], "x", "y", "w", 4, 150, bucket_rows).collect()}
+    assert len(got) == 4 * len({r[0] for r in rows})
+    for (key, replicate), r in got.items():
+        own = [v for v in rows if v[0] == key]
+        x, y = ([v[c] for v in own for _ in range(v[3][replicate])] for c in (1, 2))
+        assert r["n"] == len(x) and r["kinds"] == len({v[1] for v in own})
+        assert r["rho"] is None if len(set(x)) < 2 else r["rho"] == pytest.approx(pd.Series(x).rank().corr(pd.Series(y).rank()))
+
+
+def test_spearman_interval_copies_no_row_per_replicate(spark, monkeypatch):
+    from kinfold.operators import replicates
+
+    df = spark.range(400).select((F.col("id") % 2).alias("k"), (F.col("id") % 90).alias("u"), F.rand(1).alias("x"), F.rand(2).alias("y"))
+    written = []
+    for module in (B, M, replicates):
+        monkeypatch.setattr(module, "cut", lambda d, own=module.cut: written.append(own(d)) or written[-1])
+    got = B.spearman_interval(df, ["k"], "u", "x", "y", 40, 7).collect()
+    assert len(got) == 2 and all(r["replicates_valid"] == 40 for r in got)
+    plan = B.spearman_interval(df, ["k"], "u", "x", "y", 40, 7)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan  # each replicate's rows were ranked in a window of their own
+    assert max(d.count() for d in written) <= 400
+
+
 def test_grid_slots_are_compiled(spark):
     """Counts at every grid point, also for scores on a point, null and NaN; no function over the points is interpreted per row."""
     grid = [round(0.1 + i * 0.05, 3) for i in range(17)]
