@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from kinfold.functions.scalars import passed_names, same_sign
 from kinfold.operators import joins as J, metrics as M, resample as B, weights as W
 from kinfold.operators.deletion import spearman_without
-from kinfold.operators.ordered import exact_quantiles, medians
+from kinfold.operators.ordered import FEW, exact_quantiles, medians
 from kinfold.operators.selection import top_n
 from kinfold.session import cut
 
@@ -17,7 +17,7 @@ from kinfold.session import cut
 def group_by_repeat(df: DataFrame) -> DataFrame:
     """Record attributions to one row per (feature, repeat, group)."""
     return medians(df, ["feature", "repeat", "group_id"], {"shap": "shap", "completed": "completed"}, also=[
-        F.min("block").alias("block"), F.avg("imputed").alias("imputed")])
+        F.min("block").alias("block"), F.avg("imputed").alias("imputed")], bound=["group_id"])
 
 
 def global_importance(df: DataFrame, replicates: int, seed: int, top: int = 10) -> DataFrame:
@@ -35,9 +35,9 @@ def global_importance(df: DataFrame, replicates: int, seed: int, top: int = 10)
     # sign 0 counts as a sign of its own
     agreement = rho.groupBy("feature").agg(
         (F.greatest(F.count_if(sign == 1), F.count_if(sign == -1), F.count_if(sign == 0)) / F.count("*")).alias("direction_agreement"))
-    overall = cut(per_repeat.groupBy("feature", "group_id").agg(
-        F.min("block").alias("block"), F.percentile("shap", F.lit(0.5)).alias("shap"), F.percentile("completed", F.lit(0.5)).alias("completed"),
-        F.avg("imputed").alias("imputed")))
+    # rows per key are repeats, a configured few
+    overall = cut(medians(per_repeat, ["feature", "group_id"], {"shap": "shap", "completed": "completed"}, hot=FEW, also=[
+        F.min("block").alias("block"), F.avg("imputed").alias("imputed")]))
     size = B.mean_abs_interval(overall, ["feature"], "group_id", "shap", replicates, seed).select(
         "feature", F.col("estimate").alias("mean_abs"), F.col("ci_low").alias("mean_abs_low"), F.col("ci_high").alias("mean_abs_high"))
     way = B.spearman_interval(overall, ["feature"], "group_id", "completed", "shap", replicates, seed).select(
@@ -84,7 +84,7 @@ def block_influence(df: DataFrame, primary: Sequence[str], top: int) -> DataFram
     Importances after deletion are totals minus the block's share, directions come from :mod:`deletion`, which ranks once.
     """
     groups = cut(medians(df, ["class", "feature", "group_id", "block"], {"completed": "completed"}, also=[
-        F.avg(F.abs("shap")).alias("mean_abs"), F.avg("shap").alias("shap")]))
+        F.avg(F.abs("shap")).alias("mean_abs"), F.avg("shap").alias("shap")], bound=["group_id"]))
     base = groups.groupBy("class", "feature").agg(F.avg("mean_abs").alias("base"))
     left = J.leave_one_out_mean(groups, ["class", "feature"], "block", "mean_abs")
     both = cut(W.importance_ranks(W.importance_ranks(

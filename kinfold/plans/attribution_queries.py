@@ -7,6 +7,7 @@ from kinfold.plans.fixtures import FEATURES, attr, records, with_views
 from kinfold.plans.metric_queries import rounded
 from kinfold.plans.registry import query
 from kinfold.plans.resample_queries import draws, wrho
+from kinfold.session import cut
 
 r6 = lambda c: F.round(c, 6)
 REPS = 30
@@ -28,7 +29,7 @@ NUM = ["mean_abs", "mean_abs_low", "mean_abs_high", "mean_rank", "rank_sd", "dir
 
 
 def importance(spark, sf):
-    return A.global_importance(attr(spark, sf).where("class = 'P'"), REPS, 7, top=3)
+    return A.global_importance(attr(spark, sf, by="group_id").where("class = 'P'"), REPS, 7, top=3)
 
 
 @query("x4_global_importance", with_views("attr", f"WITH {GLOBAL} SELECT feature, " + ", ".join(f"round({c}, 6) AS {c}" for c in NUM) + ", top_repeat_count, ci_excludes_zero, new_rank FROM gi"))
@@ -56,7 +57,7 @@ WITH g AS (SELECT class, feature, group_id, block, median(completed) AS complete
  c AS (SELECT l.class, omitted, max(abs(l.rho - f.rho)) AS mx, count(*) FILTER (sign(l.rho) * sign(f.rho) < 0) AS sign_flips FROM less_ l JOIN full_ f USING (class, feature) GROUP BY 1, 2)
 SELECT class, omitted, round(rank_rho, 6) AS rank_rho, round(jaccard, 6) AS jaccard, remaining_groups, round(mx, 6) AS max_direction_change, sign_flips FROM k LEFT JOIN c USING (class, omitted)"""))
 def x6(spark, sf):
-    return rounded(A.block_influence(attr(spark, sf), ["f_bal"], 3), ["rank_rho", "jaccard", "max_direction_change"])
+    return rounded(A.block_influence(attr(spark, sf, by="group_id"), ["f_bal"], 3), ["rank_rho", "jaccard", "max_direction_change"])
 
 
 RULE = {"max_rank": 4, "max_rank_sd": 5.0, "min_agreement": 0.67, "max_missing": 0.05, "max_gap": 0.1}
@@ -69,9 +70,10 @@ RULE = {"max_rank": 4, "max_rank_sd": 5.0, "min_agreement": 0.67, "max_missing":
 SELECT feature, coalesce(new_rank, 0) AS new_rank, CASE WHEN new_rank IS NOT NULL AND failed = '' THEN 'reproduced' ELSE 'not_reproduced' END AS status, CASE WHEN new_rank IS NULL THEN 'feature_not_in_retained_panel' WHEN failed = '' THEN 'all_checks_passed' ELSE failed END AS reason FROM c"""))
 def x9(spark, sf):
     rows = attr(spark, sf).where("class = 'P'")
-    gap = rows.where("repeat = 1").groupBy("feature").agg(F.abs(F.avg(F.when(F.col("label") == 1, F.col("imputed"))) - F.avg(F.when(F.col("label") == 0, F.col("imputed")))).alias("label_gap"))
+    gap = cut(rows.where("repeat = 1").groupBy("feature").agg(F.abs(F.avg(F.when(F.col("label") == 1, F.col("imputed"))) - F.avg(F.when(F.col("label") == 0, F.col("imputed")))).alias("label_gap")))
     table = importance(spark, sf).join(gap, "feature").withColumn("in_quality_panel", F.col("feature") != "f_qty")
-    locked = rows.select(F.explode(F.array(*[F.lit(f) for f in ("f_total", "f_bal", "f_qty", "f_none")])).alias("feature")).distinct()
+    # the gaps have rows where the attributions have
+    locked = gap.select(F.explode(F.array(*[F.lit(f) for f in ("f_total", "f_bal", "f_qty", "f_none")])).alias("feature")).distinct()
     return A.reproducibility(table, locked, RULE).withColumn("new_rank", F.coalesce("new_rank", F.lit(0)))
 
 
